@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, quality, simhash, toxicity
-from spanloom.llm.common import table
+from spanloom.llm import bpe, decontaminate, quality, sharding, simhash, toxicity
+from spanloom.llm.common import shared_dir, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +27,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map's first version is stored in the shared folder and read back from there."""
+    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    sharding.store(sharding.slot_map(sharding.slot_sizes(docs), 24), at)
+    placed = sharding.assign(docs, sharding.load(spark, at))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +51,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_sharding": op7_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.oracle(),
+}
