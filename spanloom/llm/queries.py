@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, decontaminate, quality, sharding, simhash, toxicity
+from spanloom.llm import bpe, chat, decontaminate, html, quality, sharding, simhash, toxicity
 from spanloom.llm.common import shared_dir, table
 
 
@@ -50,6 +50,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op7_sharding": op7_sharding,
+    "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
