@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, decontaminate, html, quality, sharding, simhash, toxicity
+from spanloom.llm import bpe, chat, decontaminate, html, quality, sharding, simhash, tokencount, toxicity
 from spanloom.llm.common import shared_dir, table
 
 
@@ -41,6 +41,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map's first version is stored in the shared folder and read back from there."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
