@@ -124,3 +124,13 @@ named AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots USING (rid) LEFT JOIN named USING (rid)"""
+
+
+def accept(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of any item.
+
+    The list of the others is broadcast up to ``max_broadcast`` rows and joined by shuffle beyond.
+    """
+    hit = materialize(matches(docs, items, key, text).where(F.size("spans") > 0).select(F.col("key").alias("_hit_key"), F.col("mark").alias("_hit_mark")), "hit")
+    hit = F.broadcast(hit) if hit.count() <= max_broadcast else hit
+    return docs.join(hit, docs[key].eqNullSafe(F.col("_hit_key")) & (F.xxhash64(docs[text]) == F.col("_hit_mark")), "left_anti")

@@ -125,3 +125,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     for o in over:
         bad = bad | F.coalesce(o, F.lit(False))
     return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), *FENCES)
+
+
+def accept(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept. Rows are written once with their measures, so texts are read once and not shuffled."""
+    packed = docs.select(F.col(text).alias("_t"), F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.struct(*docs.columns).alias("_row"))
+    return judged(packed, "_t", "_lang", "_source", ("_row",)).where("kept").select("_row.*")

@@ -192,3 +192,109 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["key", "hashes"])
 
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), run, f"key {kind}, hashes array<long>").withColumnRenamed("key", key)
+
+
+#: Bits within which distinct-word fingerprints are compared, least shingle similarity of a link, rounds of leaders.
+RADIUS, SIMILARITY, ROUNDS = 9, 0.8, 2
+#: Rows of (hash, key) that may be broadcast (about 80 MB); longer lists are joined by shuffle.
+MAX_BROADCAST = 2_000_000
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """Marked for broadcast if it has no more than ``most`` rows (it should be a written table)."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _node(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keyed_nodes(nodes: DataFrame) -> DataFrame:
+    """(node, fp) to (key, node, fp) rows, a key for each pair of segments' Golay indices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for at in range(0, len(fp), 2048):
+                rows, keys = fuzzy_pair_keys(fp[at : at + 2048].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[at : at + 2048][rows]), pa.array(fp[at : at + 2048][rows])], names=["key", "node", "fp"])
+
+    return map_rows(nodes.select("node", "fp"), run, "key long, node long, fp long")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """The (a, b) pairs of text hashes whose shingle sets' Jaccard similarity is ``similarity`` or more, exactly."""
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    texts = docs.select(_node(text).alias("node"), F.col(text).alias("text")).join(small(wanted), "node", "left_semi")
+    # Equal texts have equal sets: one of each is enough.
+    sets = materialize(shingle_sets(texts, "node", "text", width).groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
+    a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    sizes = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
+    return pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label): each distinct text's hash and its group's, groups being joined by links of ``similarity`` over ``width``-word shingles.
+
+    Fingerprints are of distinct words (near copies differ least there); texts meet where two of three segments share a
+    Golay index, are compared at ``RADIUS`` bits and verified on their shingles. No bucket's pairs are all made: in each
+    round a bucket's members meet one leader only, and what links joins a component. At last the members outside a bucket's
+    largest component meet all others of another component. So every pair of a bucket is compared or already joined, while
+    a group of copies of any size costs its bucket one row a member and round.
+    """
+    shrunk = docs.select(_node(text).alias("node"), F.col(text).alias("text"))
+    prints = fingerprints(shrunk, "node", "text", 1, distinct=True)
+    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
+    keys = materialize(keyed_nodes(nodes), "pair-keys")
+    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("node", "fp")).alias("x"), F.max(F.struct("node", "fp")).alias("y")).where("n > 1")
+    met = materialize(met, "met")
+    near = f"bit_count(a_fp ^ b_fp) <= {RADIUS}"
+    first = met.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("x.fp").alias("a_fp"), F.col("y.fp").alias("b_fp")).where(near).select("a", "b")
+    crowd = materialize(keys.join(met.where("n > 2").select("key"), "key", "left_semi"), "crowd")
+    links, label = [], nodes.select("node", F.col("node").alias("label"))
+
+    def at_work() -> DataFrame:
+        return crowd.join(label, "node")
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal label
+        found = _similar(materialize(pairs.distinct(), "pairs"), docs, text, width, similarity)
+        links.append(materialize(found, "links"))
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        named = components(every).withColumnRenamed("v", "node")
+        label = materialize(nodes.select("node").join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+    for turn in range(ROUNDS):
+        now = at_work()
+        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "fp", "label")).alias("l"))
+        pairs = now.join(leader, "key").where((F.col("label") != F.col("l.label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= RADIUS))
+        pairs = pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
+        verify(pairs.union(first) if turn == 0 else pairs)
+    now = materialize(at_work(), "crowd")
+    sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    rest = now.join(largest.select("key", F.col("top.label").alias("top")), "key").where("label <> top")
+    rest = rest.select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("label").alias("other_label"))
+    left = now.join(rest, (now["key"] == rest["key"]) & (F.col("label") != F.col("other_label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= RADIUS))
+    tried = left.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    verify(tried)
+    return label
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest key stays (null keys last).
+
+    Null texts count as empty; texts without words are copies of each other. Of repeated rows one stays.
+    """
+    label = similar_groups(docs, text, width, similarity)
+    order = F.struct(F.col("key").isNull().alias("null"), "key", "node")
+    rows = docs.select(F.col(key).alias("key"), _node(text).alias("node"))
+    kept = rows.join(label, "node").groupBy("label").agg(F.min(order).alias("k")).select("k.*")
+    kept = materialize(kept.select(F.col("node").alias("_kept_node"), F.col("key").alias("_kept_key")), "kept")
+    alone = docs.join(small(kept), (_node(text) == F.col("_kept_node")) & F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi")
+    repeated = rows.groupBy("key", "node").count().where("count > 1").limit(1).count()
+    return alone.dropDuplicates([key]) if repeated else alone
