@@ -34,6 +34,7 @@ STRONG, REJECT, EMBEDDED, UNKNOWN_SUFFIX, BARE_ACCENTS, BOOST = 92, 25, 90, 50,
 _COMPANY = re.compile(r"\s+(Nonprofit\s+)?(Kft\.|Zrt\.|Nyrt\.|Bt\.|Kkt\.|Kht\.|Ec\.|Rt\.)$", re.I)
 _BEFORE, _AFTER = re.compile(f"[{LETTERS}0-9]"), re.compile(f"[{LETTERS}]")
 _PLAIN = str.maketrans(ACCENTED, PLAIN)
+_PLAIN_BEFORE, _PLAIN_AFTER = re.compile("[a-z0-9]"), re.compile("[a-z]")
 _LINE_END = re.compile("[-\xad][ \t]*\r?\n[ \t]*")
 
 
@@ -152,6 +153,26 @@ def search_text(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*places, *range(at, len(text) + 1)]
 
 
+def _trie(words: Iterable[str]) -> dict:
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = word
+    return root
+
+
+def _longest(trie: dict, text: str, at: int, after: re.Pattern) -> str | None:
+    """The longest word of a trie at a place that no letter follows."""
+    node, found = trie, None
+    while at < len(text) and (node := node.get(text[at])) is not None:
+        at += 1
+        if "" in node and not after.match(text, at):
+            found = node[""]
+    return found
+
+
 class Matcher:
     """All forms of a case's entities in one trie."""
 
@@ -179,21 +200,12 @@ class Matcher:
                 parts = {"org": strip_company_form(e.name) if e.kind == "org" else e.name}
             self.stems += [(e.id, s) for s in stems if s.strip()]
             self.fragments += [(e.id, w.translate(_PLAIN).lower(), part) for part, value in parts.items() for w in value.split() if len(w) >= 3]
-        self.trie: dict = {}
-        for text in self.by_text:
-            node = self.trie
-            for c in text:
-                node = node.setdefault(c, {})
-            node[""] = text
-
-    def _at(self, text: str, start: int) -> str | None:
-        """The longest form at ``start`` that no letter follows."""
-        node, at, found = self.trie, start, None
-        while (node := node.get(text[at : at + 1] or None)) is not None:
-            at += 1
-            if "" in node and not _AFTER.match(text, at):
-                found = node[""]
-        return found
+        self.trie, self.bare_trie = _trie(self.by_text), _trie(self.bare)
+        self.owner: dict[str, str] = {}
+        for entity, stem in self.stems:
+            self.owner.setdefault(stem, entity)
+        stems = "|".join(map(re.escape, sorted(self.owner, key=len, reverse=True)))
+        self.suffixed = re.compile(f"(?<![{LETTERS}0-9])({stems})([{LETTERS}]{{1,14}})(?![{LETTERS}])") if stems else None
 
     def _context(self, text: str, start: int, end: int, f: Form) -> int:
         """What surrounds a weak form adds to its confidence; the first rule that holds counts."""
@@ -226,7 +238,7 @@ class Matcher:
 
         at = 0
         while at < len(text):
-            found = None if at and _BEFORE.match(text, at - 1) else self._at(text, at)
+            found = None if at and _BEFORE.match(text, at - 1) else _longest(self.trie, text, at, _AFTER)
             if found is None:
                 at += 1
                 continue
@@ -241,19 +253,19 @@ class Matcher:
             put(at, at + len(found), best.entity, best.core, best.case, confidence, ambiguous, best.upper, tuple(ids))
             at += len(found)
         folded = text.translate(_PLAIN).lower()
-        for needle, f in self.bare.items():
-            for m in re.finditer(f"(?<![a-z0-9]){re.escape(needle)}(?![a-z])", folded):
-                if not any(taken[m.start() : m.end()]) and text[m.start() : m.end()] != f.text:
-                    put(m.start(), m.end(), f.entity, f.core, f.case, BARE_ACCENTS)
+        for at in range(len(folded) if self.bare else 0):
+            if (at == 0 or not _PLAIN_BEFORE.match(folded, at - 1)) and (needle := _longest(self.bare_trie, folded, at, _PLAIN_AFTER)):
+                end, f = at + len(needle), self.bare[needle]
+                if not any(taken[at:end]) and text[at:end] != f.text:
+                    put(at, end, f.entity, f.core, f.case, BARE_ACCENTS)
         for start, end, token, _ in tokens(text):
             low = token.translate(_PLAIN).lower()
             owner = next((i for i, needle, _ in self.fragments if fragment_places(low, needle)), None)
             if owner is not None and not any(taken[start:end]):
                 put(start, end, owner, "identifier", "NOM", EMBEDDED)
-        for entity, stem in self.stems:
-            for m in re.finditer(f"(?<![{LETTERS}0-9]){re.escape(stem)}([{LETTERS}]{{1,14}})(?![{LETTERS}])", text):
-                if m[1] == m[1].lower() and not any(taken[m.start() : m.end()]):
-                    put(m.start(), m.end(), entity, None, None, UNKNOWN_SUFFIX)
+        for m in self.suffixed.finditer(text) if self.suffixed else ():
+            if m[2] == m[2].lower() and not any(taken[m.start() : m.end()]):
+                put(m.start(), m.end(), self.owner[m[1]], None, None, UNKNOWN_SUFFIX)
         hits.sort(key=lambda h: h["start"])
         known: set[str] = set()
         for h in hits:
