@@ -108,7 +108,7 @@ def units(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["path", "unit_no", "part", "kind", "text"])
 
     good = files.where("error IS NULL")
-    plain = good.where(~F.col("extension").isin("pdf", "docx")).select("path", F.lit(0).alias("unit_no"), F.lit("").alias("part"), F.lit("text").alias("kind"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    plain = good.where(~F.col("extension").isin("pdf", "docx")).select("path", F.lit(0).alias("unit_no"), F.lit("").alias("part"), F.lit("text").alias("kind"), F.decode("content", "UTF-8").alias("text"))
     return good.where("extension = 'docx'").select("path", "content").mapInArrow(run, "path string, unit_no int, part string, kind string, text string").unionByName(plain)
 
 
