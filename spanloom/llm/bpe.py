@@ -31,8 +31,7 @@ from spanloom.llm.common import map_rows
 
 #: Fixed value: the split of text before merging, as the vocabulary's own format defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 4096
-CACHE = 400_000
+BLOCK, SHORT, CACHE = 4096, 48, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,7 +48,8 @@ class Merges:
         self.ids, self.special = tokens, special
         self.bytes_of = {i: t for t, i in tokens.items()} | {i: t.encode() for t, i in special.items()}
         self.single = [tokens.get(bytes([b])) for b in range(256)]
-        self.rank = {(tokens[a], tokens[b]): (r, tokens[a + b]) for r, (a, b) in reversed([*enumerate(merges)])}
+        self.rank = {(tokens[a], tokens[b]): r for r, (a, b) in reversed([*enumerate(merges)])}
+        self.made, self.none = [tokens[a + b] for a, b in merges], len(merges)
         self.lookahead = sufficient_lookahead(merges)
 
     @classmethod
@@ -63,28 +63,44 @@ class Merges:
         return cls({raw(t): i for t, i in file["model"]["vocab"].items() if t not in special}, [(raw(a), raw(b)) for a, b in pairs], special)
 
     def merge(self, piece: bytes) -> list[int]:
-        """All merges of a whole piece: lowest rank first, leftmost first among equals; n log n by a heap over a linked list."""
+        """All merges of a whole piece: lowest rank first, leftmost first among equals."""
+        return self._merge_short(piece) if len(piece) <= SHORT else self._merge_long(piece)
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """Ranks of all neighbours in a list; the least one is merged and its neighbours ranked anew."""
+        ids = [self.single[b] for b in piece]
+        get, none = self.rank.get, self.none
+        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            ids[i : i + 2] = [new] = [self.made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same by a heap over a linked list, in n log n."""
         ids = [self.single[b] for b in piece]
-        n, rank = len(ids), self.rank
-        if n < 2:
-            return ids
+        n, rank, made = len(ids), self.rank, self.made
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := rank.get((ids[i], ids[i + 1])))]
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = made[r], -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := rank.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[k]))
-            if (h := before[i]) >= 0 and (m := rank.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
+                if (q := rank.get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (q, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (q := rank.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (q, h, ids[h], ids[i]))
         return [x for x in ids if x != -1]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
