@@ -404,3 +404,49 @@ def render_theme(spark, sf_dir):
     hits = variant_match(spark, sf_dir)
     pseudo = assign_pseudonyms(spark, sf_dir).select("case_id", F.col("entity_id").alias("id"), F.lit("person").alias("kind"), F.regexp_extract("replacement", r"^(\S+)", 1).alias("surname"), F.regexp_extract("replacement", r"^\S+ (.*)$", 1).alias("given"))
     return render.render_theme(hits, render.core_table(pseudo, "case_id"), "case_id").select("case_id", "k", "start", "end", "surface", "entity_id", "core", "case_tag", "replacement")
+
+
+@query(f"WITH {SPANS_SQL}, e AS (SELECT DISTINCT doc, s + 2 AS s, s + 4 AS e FROM spans WHERE confidence = 51), w AS (SELECT DISTINCT doc, s, e, s * 1000 + e AS id FROM spans) SELECT e.doc, e.s AS start, e.e AS \"end\", arg_min(w.id, w.s * 100000 + w.e) FILTER (WHERE w.s <= e.s AND e.e <= w.e) AS span_id FROM e LEFT JOIN w ON w.doc = e.doc GROUP BY ALL")
+def edit_containment(spark, sf_dir):
+    rows = span_rows(spark, sf_dir)
+    edits = rows.where("confidence = 51").select("doc", (F.col("start") + 2).alias("start"), (F.col("start") + 4).alias("end")).distinct()
+    return spans.first_container(edits, rows.select("doc", "start", "end", (F.col("start") * 1000 + F.col("end")).alias("span_id")).distinct(), ["doc"])
+
+
+@query("WITH l AS (SELECT user_id, event_type AS literal, count(*) AS found FROM events GROUP BY ALL), k AS (SELECT user_id, event_type AS literal, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT user_id, literal, CAST(found AS BIGINT) AS found, CAST(found - coalesce(n, 0) AS BIGINT) AS excess FROM l LEFT JOIN k USING (user_id, literal) WHERE found > coalesce(n, 0)")
+def leak_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("literal"), "event_id")
+    kept = rows.where("event_id % 3 <> 0").groupBy("user_id", "literal").agg(F.count("*").alias("n"))
+    return verify.within_budget(rows.groupBy("user_id", "literal").agg(F.count("*").alias("found")), kept, ["user_id", "literal"])
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS INT) AS number FROM customer")
+def entity_numbering(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("kind"))
+    return assign.numbering(rows, "c_nationkey", "c_custkey").select("c_custkey", "number")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand || 'x') ELSE p_brand || 'x' END AS cased FROM part")
+def case_matching(spark, sf_dir):
+    source = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.match_case(source, F.concat("p_brand", F.lit("x"))).alias("cased"))
+
+
+@query("SELECT conv_id, turn, n, n = 1 OR regexp_matches(substr(text, greatest(n - 4, 1), least(n - 1, 4)), '[.!?:;]\\s*$|\\n\\s*$|^\\s*$') AS starts FROM (SELECT conv_id, turn, text, CAST(1 + turn * 7 AS INT) AS n FROM conversations WHERE length(text) > 80)")
+def sentence_starts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 80").withColumn("n", (1 + F.col("turn") * 7).cast("int"))
+    return rows.select("conv_id", "turn", "n", text.sentence_initial(F.col("text"), F.col("n") - 1).alias("starts"))
+
+
+_ROOT = "regexp_replace(lower({}), '(os|es|ös|ás|és|i|ó|ő|s|a|e)$', '')"
+
+
+@query(f"WITH p AS (SELECT p_partkey, p_name AS a, p_name || CASE p_partkey % 4 WHEN 0 THEN 'i' WHEN 1 THEN 'os' WHEN 2 THEN 'xyz' ELSE '' END AS b FROM part), r AS (SELECT *, {_ROOT.format('a')} AS x, {_ROOT.format('b')} AS y FROM p) SELECT p_partkey, x = y OR (x <> '' AND starts_with(y, x) AND length(y) - length(x) <= 2) OR (y <> '' AND starts_with(x, y) AND length(x) - length(y) <= 2) AS related FROM r")
+def shared_roots(spark, sf_dir):
+    end = F.when(F.col("p_partkey") % 4 == 0, "i").when(F.col("p_partkey") % 4 == 1, "os").when(F.col("p_partkey") % 4 == 2, "xyz").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", text.same_root(F.col("p_name"), F.concat("p_name", end)).alias("related"))
+
+
+@query(f"WITH {people_sql()} SELECT k, kind, CASE WHEN kind IN ('helyrajzi_szam', 'cim', 'iranyitoszam') THEN 'place' ELSE 'other' END AS label, 'AZONOSITO:' || kind AS raw_label FROM people")
+def entity_shapes(spark, sf_dir):
+    return identifiers.as_entities(identifiers.resolved(people(spark, sf_dir), ["k"])).select("k", "kind", "label", "raw_label")
