@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import map_rows, materialize, words
+from spanloom.llm.common import discard, map_rows, materialize, words
 from spanloom.llm.graph import components
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -194,8 +194,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFr
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), run, f"key {kind}, hashes array<long>").withColumnRenamed("key", key)
 
 
-#: Bits within which distinct-word fingerprints are compared, least shingle similarity of a link, rounds of leaders.
-RADIUS, SIMILARITY, ROUNDS = 9, 0.8, 2
+#: Bits within which fingerprints of distinct words and of word pairs are compared, least shingle similarity of a link.
+RADIUS, PAIR_RADIUS, SIMILARITY = 9, 13, 0.8
+#: Rows of a bucket up to which members without a close mate are taken out before anything is joined.
+BUCKET = 4096
 #: Rows of (hash, key) that may be broadcast (about 80 MB); longer lists are joined by shuffle.
 MAX_BROADCAST = 2_000_000
 
@@ -209,17 +211,84 @@ def _node(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def text_prints(docs: DataFrame, text: str) -> DataFrame:
+    """(node, fp, pairs): each distinct text's hash with its fingerprints over distinct words and over word pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
+            for i, value in enumerate(batch.column(1)):
+                tokens = words(value.as_py())
+                one[i], two[i] = simhash(np.unique(shingle_hashes(tokens, 1))), simhash(shingle_hashes(tokens, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["node", "fp", "pairs"])
+
+    prints = map_rows(docs.select(_node(text).alias("node"), F.col(text).cast("binary").alias("text")), run, "node long, fp long, pairs long")
+    return prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("pairs").alias("pairs"))
+
+
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, fp) to (key, node, fp) rows, a key for each pair of segments' Golay indices."""
+    """(node, fp, pairs) to (key, node, fp, pairs) rows, a key for each pair of segments' Golay indices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for at in range(0, len(fp), 2048):
-                rows, keys = fuzzy_pair_keys(fp[at : at + 2048].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[at : at + 2048][rows]), pa.array(fp[at : at + 2048][rows])], names=["key", "node", "fp"])
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            for at in range(0, batch.num_rows, 2048):
+                part = [c[at : at + 2048] for c in columns]
+                rows, keys = fuzzy_pair_keys(part[1].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in part)], names=["key", "node", "fp", "pairs"])
+
+    return map_rows(nodes.select("node", "fp", "pairs"), run, "key long, node long, fp long, pairs long")
+
+
+def _companions(key: np.ndarray, fp: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of rows sorted by key: which have another of their key within both radii."""
+    found, step = np.zeros(len(key), dtype=bool), 1
+    fp, pairs = fp.view(np.uint64), pairs.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
+    while len(at := np.flatnonzero(key[step:] == key[:-step])) if step < len(key) else False:
+        near = at[(np.bitwise_count(fp[at] ^ fp[at + step]) <= RADIUS) & (np.bitwise_count(pairs[at] ^ pairs[at + step]) <= PAIR_RADIUS)]
+        found[near] = found[near + step] = True
+        step += 1
+    return found
 
-    return map_rows(nodes.select("node", "fp"), run, "key long, node long, fp long")
+
+def with_companions(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` that a bucket-mate is close to; buckets that only chance has filled go. Buckets of over ``BUCKET`` rows pass whole.
+
+    Keys are dealt out and sorted once; buckets pass one by one, so memory is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
+        schema = None
+
+        def emit(columns: list[np.ndarray], passing: int | None) -> pa.RecordBatch:
+            keep = _companions(columns[0], columns[2], columns[3])
+            if passing is not None:
+                keep |= columns[0] == passing
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=schema)
+
+        for batch in batches:
+            schema = batch.schema.names
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            if held is not None:
+                columns = [np.concatenate([a, b]) for a, b in zip(held, columns, strict=True)]
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            tail = len(columns[0]) - cut
+            if cut:
+                yield emit([c[:cut] for c in columns], large)
+                large = None
+            held = [c[cut:] for c in columns]
+            if tail > BUCKET:
+                large = int(columns[0][-1])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=schema)
+                held = [c[:0] for c in held]
+        if held is not None and len(held[0]):
+            yield emit(held, large)
+
+    return map_rows(keys.repartition("key").sortWithinPartitions("key"), run, "key long, node long, fp long, pairs long")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
@@ -232,56 +301,51 @@ def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarit
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     sizes = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
-    return pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select("a", "b")
+    found = materialize(pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select("a", "b"), "links")
+    discard(wanted, sets)
+    return found
 
 
 def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): each distinct text's hash and its group's, groups being joined by links of ``similarity`` over ``width``-word shingles.
 
     Fingerprints are of distinct words (near copies differ least there); texts meet where two of three segments share a
-    Golay index, are compared at ``RADIUS`` bits and verified on their shingles. No bucket's pairs are all made: in each
-    round a bucket's members meet one leader only, and what links joins a component. At last the members outside a bucket's
-    largest component meet all others of another component. So every pair of a bucket is compared or already joined, while
-    a group of copies of any size costs its bucket one row a member and round.
+    Golay index, are compared at ``RADIUS`` bits (and at ``PAIR_RADIUS`` bits over word pairs) and verified on their
+    shingles. No bucket's pairs are all made: in each of three rounds, one for each pair of segments, a bucket's members
+    meet one leader only, and what links joins a component. At last the members outside a bucket's largest component meet
+    all others of another component. So every pair of a bucket is compared or already joined, while a group of copies of
+    any size costs its bucket one row a member and round.
     """
-    shrunk = docs.select(_node(text).alias("node"), F.col(text).alias("text"))
-    prints = fingerprints(shrunk, "node", "text", 1, distinct=True)
-    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
-    keys = materialize(keyed_nodes(nodes), "pair-keys")
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("node", "fp")).alias("x"), F.max(F.struct("node", "fp")).alias("y")).where("n > 1")
-    met = materialize(met, "met")
-    near = f"bit_count(a_fp ^ b_fp) <= {RADIUS}"
-    first = met.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("x.fp").alias("a_fp"), F.col("y.fp").alias("b_fp")).where(near).select("a", "b")
-    crowd = materialize(keys.join(met.where("n > 2").select("key"), "key", "left_semi"), "crowd")
-    links, label = [], nodes.select("node", F.col("node").alias("label"))
-
-    def at_work() -> DataFrame:
-        return crowd.join(label, "node")
+    nodes = materialize(text_prints(docs, text), "nodes")
+    crowd = materialize(with_companions(keyed_nodes(nodes)), "crowd")
+    links, label = None, nodes.select("node", F.col("node").alias("label"))
+
+    def close(a: str, b: str):
+        bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+        return (bits(f"{a}fp", f"{b}fp") <= RADIUS) & (bits(f"{a}pairs", f"{b}pairs") <= PAIR_RADIUS)
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal label
-        found = _similar(materialize(pairs.distinct(), "pairs"), docs, text, width, similarity)
-        links.append(materialize(found, "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        named = components(every).withColumnRenamed("v", "node")
+        nonlocal label, links
+        pairs = materialize(pairs.distinct(), "pairs")
+        found = _similar(pairs, docs, text, width, similarity)
+        discard(pairs)
+        links = found if links is None else links.union(found)
+        named = components(links).withColumnRenamed("v", "node")
         label = materialize(nodes.select("node").join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
-    for turn in range(ROUNDS):
-        now = at_work()
-        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "fp", "label")).alias("l"))
-        pairs = now.join(leader, "key").where((F.col("label") != F.col("l.label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= RADIUS))
-        pairs = pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
-        verify(pairs.union(first) if turn == 0 else pairs)
-    now = materialize(at_work(), "crowd")
+    for family in range(len(SEGMENTS)):
+        now = crowd.where(F.shiftright("key", 40) == family).join(label, "node")
+        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(family), "node").alias("h"), "node", "fp", "pairs", "label")).alias("l"))
+        pairs = now.join(leader, "key").where((F.col("label") != F.col("l.label")) & close("", "l."))
+        verify(pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")))
+    now = crowd.join(label, "node")
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    rest = now.join(largest.select("key", F.col("top.label").alias("top")), "key").where("label <> top")
-    rest = rest.select("key", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("label").alias("other_label"))
-    left = now.join(rest, (now["key"] == rest["key"]) & (F.col("label") != F.col("other_label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= RADIUS))
-    tried = left.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    verify(tried)
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
+    open_ = materialize(now.join(largest, "key"), "open")
+    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "fp", "pairs", "label")))
+    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & close("", "o_"))
+    verify(left.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")))
+    discard(crowd, open_, nodes)
     return label
 
 
