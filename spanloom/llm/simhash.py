@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import discard, map_rows, materialize, words
@@ -194,7 +195,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFr
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), run, f"key {kind}, hashes array<long>").withColumnRenamed("key", key)
 
 
-#: Bits within which fingerprints of distinct words and of word pairs are compared, least shingle similarity of a link.
+#: Bits within which the Golay rounds compare fingerprints of distinct words and of word pairs (they only save work: what lies beyond meets by shingles), least shingle similarity of a link.
 RADIUS, PAIR_RADIUS, SIMILARITY = 9, 13, 0.8
 #: Rows of a bucket up to which members without a close mate are taken out before anything is joined.
 BUCKET = 4096
@@ -291,62 +292,115 @@ def with_companions(keys: DataFrame) -> DataFrame:
     return map_rows(keys.repartition("key").sortWithinPartitions("key"), run, "key long, node long, fp long, pairs long")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+def _least(size: int, similarity: float) -> int:
+    """Shingles that a set of ``size`` has at least in common with any set of that similarity."""
+    return max(1, ceil(similarity * size - 1e-9))
+
+
+def prefix_keys(docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """(key, node, need): the first shingle hashes in ascending order of each text, and how many of them a text with a near copy shares.
+
+    Two sets of ``similarity`` have ``_least`` shingles in common, so the k-th common one is among the first size - least + k
+    of each. An eighth of the set more than the least prefix is listed, and an eighth of the least is needed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, 256):
+                part, keys, needs = nodes[at : at + 256], [], []
+                for value in batch.column(1).slice(at, 256):
+                    hashes = _filled(np.unique(shingle_hashes(words(value.as_py()), width)))
+                    least = _least(len(hashes), similarity)
+                    keys.append(hashes[: len(hashes) - least + max(1, len(hashes) // 8)])
+                    needs.append(max(1, least // 8))
+                sizes = [len(k) for k in keys]
+                flat = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(part, sizes)), pa.array(np.repeat(np.array(needs, np.int32), sizes))], names=["key", "node", "need"])
+
+    return map_rows(docs.select(_node(text).alias("node"), F.col(text).cast("binary").alias("text")), run, "key long, node long, need int")
+
+
+def _filled(hashes: np.ndarray) -> np.ndarray:
+    """Texts without words are copies of each other: their sets hold one zero."""
+    return hashes if len(hashes) else np.zeros(1, dtype=np.uint64)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) pairs of text hashes whose shingle sets' Jaccard similarity is ``similarity`` or more, exactly."""
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    texts = docs.select(_node(text).alias("node"), F.col(text).alias("text")).join(small(wanted), "node", "left_semi")
-    # Equal texts have equal sets: one of each is enough.
-    sets = materialize(shingle_sets(texts, "node", "text", width).groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     sizes = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
-    found = materialize(pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select("a", "b"), "links")
-    discard(wanted, sets)
-    return found
+    return materialize(pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, label): each distinct text's hash and its group's, groups being joined by links of ``similarity`` over ``width``-word shingles.
-
-    Fingerprints are of distinct words (near copies differ least there); texts meet where two of three segments share a
-    Golay index, are compared at ``RADIUS`` bits (and at ``PAIR_RADIUS`` bits over word pairs) and verified on their
-    shingles. No bucket's pairs are all made: in each of three rounds, one for each pair of segments, a bucket's members
-    meet one leader only, and what links joins a component. At last the members outside a bucket's largest component meet
-    all others of another component. So every pair of a bucket is compared or already joined, while a group of copies of
-    any size costs its bucket one row a member and round.
+    """(node, label): each distinct text's hash and its group's, groups being joined by all links of ``similarity`` over ``width``-word shingles.
+
+    A text that shares too few of its first shingles with any other has no link and is left out at once. The others meet
+    twice. Golay keys of fingerprints come first and join most copies cheaply: in each of three rounds, one for each pair of
+    segments, a bucket's members meet one leader only, and what links joins a component. Then texts meet in every shingle of
+    their prefix, rarest first: two sets of that similarity have one there in common, so no link is missed. Of a shingle's
+    texts each meets one leader, and at last those outside its largest component meet all others of another component, if
+    sizes and places in the prefix leave room for the similarity. So every pair is compared or already joined, while a group
+    of copies of any size costs a bucket one row a member and round.
     """
-    nodes = materialize(text_prints(docs, text), "nodes")
+    every = Window.partitionBy("key")
+    shared = prefix_keys(docs, text, width, similarity).withColumn("shared", F.min("node").over(every) < F.max("node").over(every)).where("shared")
+    near = materialize(shared.groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("node"), "near")
+    texts = docs.select(_node(text).alias("node"), F.col(text).alias("text")).join(small(near), "node", "left_semi").select("text")
+    # Equal texts have equal sets: one of each is enough.
+    sets = shingle_sets(texts.select(_node("text").alias("node"), "text"), "node", "text", width).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+    sets = materialize(sets.select("node", F.when(F.size("hashes") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("hashes")).alias("hashes")), "sets")
+    nodes = materialize(text_prints(texts, "text"), "nodes")
     crowd = materialize(with_companions(keyed_nodes(nodes)), "crowd")
-    links, label = None, nodes.select("node", F.col("node").alias("label"))
+    links, tested, label = None, [], nodes.select("node", F.col("node").alias("label"))
 
     def close(a: str, b: str):
         bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
         return (bits(f"{a}fp", f"{b}fp") <= RADIUS) & (bits(f"{a}pairs", f"{b}pairs") <= PAIR_RADIUS)
 
+    def room(a: str, b: str):
+        # At the first common shingle no more than what is left of either set can be in common.
+        x, y = F.col(f"{a}size"), F.col(f"{b}size")
+        most = 1 + F.least(x - F.col(f"{a}place"), y - F.col(f"{b}place"))
+        return (F.least(x, y) >= similarity * F.greatest(x, y)) & ((1 + similarity) * most >= similarity * (x + y) - 1e-6)
+
     def verify(pairs: DataFrame) -> None:
         nonlocal label, links
-        pairs = materialize(pairs.distinct(), "pairs")
-        found = _similar(pairs, docs, text, width, similarity)
-        discard(pairs)
+        pairs = pairs.distinct()
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tested.append(pairs)
+        found = _similar(pairs, sets, similarity)
         links = found if links is None else links.union(found)
         named = components(links).withColumnRenamed("v", "node")
         label = materialize(nodes.select("node").join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
-    for family in range(len(SEGMENTS)):
-        now = crowd.where(F.shiftright("key", 40) == family).join(label, "node")
-        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(family), "node").alias("h"), "node", "fp", "pairs", "label")).alias("l"))
-        pairs = now.join(leader, "key").where((F.col("label") != F.col("l.label")) & close("", "l."))
+    def with_leaders(now: DataFrame, salt: int, fits, *held: str) -> None:
+        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", *held, "label")).alias("l"))
+        pairs = now.join(leader, "key").where((F.col("label") != F.col("l.label")) & fits("", "l."))
         verify(pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")))
-    now = crowd.join(label, "node")
+
+    for family in range(len(SEGMENTS)):
+        with_leaders(crowd.where(F.shiftright("key", 40) == family).join(label, "node"), family, close, "fp", "pairs")
+    listed = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key")).withColumn("n", F.count("*").over(every))
+    placed = listed.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "key")))
+    prefix = F.col("size") - F.greatest(F.ceil(similarity * F.col("size") - 1e-9), F.lit(1)) + 1
+    met = materialize(placed.where((F.col("place") <= prefix) & (F.col("n") > 1)).select("key", "node", "size", "place"), "met")
+    with_leaders(met.join(label, "node"), len(SEGMENTS), room, "size", "place")
+    now = met.join(label, "node")
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
     open_ = materialize(now.join(largest, "key"), "open")
-    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "fp", "pairs", "label")))
-    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & close("", "o_"))
+    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label")))
+    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & room("", "o_"))
     verify(left.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")))
-    discard(crowd, open_, nodes)
-    return label
+    whole = materialize(docs.select(_node(text).alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
+    discard(near, sets, crowd, met, open_, nodes, *tested)
+    return whole
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:

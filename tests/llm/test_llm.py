@@ -175,6 +175,22 @@ def test_one_of_each_group_stays(spark):
     assert simhash.deduplicate(twice).count() == 1
 
 
+def test_copies_with_added_and_removed_passages_are_found(spark):
+    r = random.Random(21)
+    word = lambda tag: f"{tag}{r.randint(0, 999)}"
+    texts = []
+    for k in range(60):
+        base = [word("w") for _ in range(r.randint(60, 200))]
+        more = [word(f"new{k}x") for _ in range(len(base) * r.randint(2, 22) // 100)]
+        cut = r.randint(0, len(base))
+        texts += [base, [*base, *more], [*base[:cut], *more, *base[cut:]], base[len(more) :]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_hashes(words(t.encode()), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 60
+    assert {x.doc_id for x in simhash.deduplicate(docs(spark, texts)).collect()} == set(components(links, range(len(texts))).values())
+
+
 # 4
 
 
