@@ -415,4 +415,4 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     kept = materialize(kept.select(F.col("node").alias("_kept_node"), F.col("key").alias("_kept_key")), "kept")
     alone = docs.join(small(kept), (_node(text) == F.col("_kept_node")) & F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi")
     repeated = rows.groupBy("key", "node").count().where("count > 1").limit(1).count()
-    return alone.dropDuplicates([key]) if repeated else alone
+    return alone.withColumn("_kept_node", _node(text)).dropDuplicates([key, "_kept_node"]).drop("_kept_node") if repeated else alone

@@ -191,6 +191,14 @@ def test_copies_with_added_and_removed_passages_are_found(spark):
     assert {x.doc_id for x in simhash.deduplicate(docs(spark, texts)).collect()} == set(components(links, range(len(texts))).values())
 
 
+def test_repeated_rows_do_not_cost_other_rows_of_their_key(spark):
+    texts = ["one two three four five six", "a b c d e f g", "red green blue black white grey", "red green blue black white grey"]
+    keys = [None, None, 7, 7]
+    rows = spark.createDataFrame([*zip(keys, texts, strict=True), (7, "sun moon star sky sea land")], "doc_id long, text string")
+    got = [(x.doc_id, x.text) for x in simhash.deduplicate(rows).collect()]
+    assert sorted(got, key=repr) == sorted({*zip(keys, texts, strict=True), (7, "sun moon star sky sea land")}, key=repr)
+
+
 # 4
 
 
