@@ -15,16 +15,20 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from spanloom.llm.common import map_rows, remainder, words
+from spanloom.llm.common import map_rows, materialize, remainder, words
 
 ORDER = 5
 START, END = "\x02", "\x03"
 DISCOUNT = 0.9
-#: Bounds: n-grams kept in the model (the most frequent), remembered words per worker, rows of the calibration sample, rows of labels that may be broadcast.
+#: Bounds: n-grams up to which the model is broadcast (beyond, all of them stay in tables), remembered words per worker, rows of the calibration sample, rows of labels that may be broadcast.
 MAX_GRAMS, MAX_WORDS, MAX_CALIBRATION, MAX_BROADCAST = 400_000, 300_000, 20_000, 2_000_000
+#: Words whose ratios are broadcast where the model is kept in tables.
+COMMON = 100_000
 #: A word is evidence by what its log ratio exceeds this.
 MARGIN = 3.0
 
@@ -134,6 +138,132 @@ class Compact:
         return self.model
 
 
+class Tables:
+    """The same model for any number of n-grams: its counts are written tables, and distinct words' n-grams are joined with them.
+
+    Joins are on distinct n-grams and on contexts, whose rows an alphabet bounds; no key of them is hot.
+    """
+
+    def __init__(self, counts: DataFrame):
+        self.top = counts
+        head = F.expr("left(gram, length(gram) - 1)").alias("context")
+        self.heads = materialize(counts.groupBy(head).agg(F.sum("toxic").alias("n_a"), F.sum("ordinary").alias("n_b"), F.count_if(F.col("toxic") > 0).alias("kinds_a"), F.count_if(F.col("ordinary") > 0).alias("kinds_b")), "heads")
+        shorter = _suffixes(counts)
+        longer = counts.select("gram").union(shorter.where("length(x) > 1"))
+        # Pooled continuation counts: in how many one longer contexts a shorter n-gram occurs.
+        self.lower = materialize(longer.groupBy(F.expr("substring(gram, 2)").alias("x")).agg(F.count("*").alias("n")), "lower")
+        self.lower_heads = materialize(self.lower.groupBy(F.expr("left(x, length(x) - 1)").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "lower_heads")
+        first = self.lower_heads.where("context = ''").first()
+        self.first = (first.total, first.kinds) if first else (1, 0)
+
+    def both(self) -> bool:
+        sums = self.top.agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b")).first()
+        return bool(sums.a and sums.b)
+
+    def gram_ratios(self, wanted: DataFrame) -> DataFrame:
+        """(gram, ratio) of distinct n-grams."""
+        shared = None
+        for m in range(1, ORDER):
+            x = wanted.where(f"length(gram) > {m}").select(F.expr(f"right(gram, {m})").alias("x")).distinct().join(self.lower, "x", "left")
+            if m == 1:
+                total, kinds = self.first
+                level = x.withColumns({"total": F.lit(total), "kinds": F.lit(kinds), "below": F.lit(1.0 / (kinds + 1))})
+            else:
+                level = x.withColumns({"context": F.expr("left(x, length(x) - 1)"), "tail": F.expr("substring(x, 2)")}).join(self.lower_heads, "context", "left")
+                level = level.join(shared.where(f"length(x) = {m - 1}").select(F.col("x").alias("tail"), F.col("p").alias("below")), "tail")
+            seen = F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0))
+            p = F.when(F.col("total").isNull(), F.col("below")).otherwise((seen + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total"))
+            level = materialize(level.select("x", p.alias("p")), "shared")
+            shared = level if shared is None else shared.union(level)
+        rows = wanted.withColumns({"context": F.expr("left(gram, length(gram) - 1)"), "x": F.expr("substring(gram, 2)")}).join(self.heads, "context").join(self.top, "gram", "left").join(shared, "x")
+
+        def chance(count: str, kinds: str, total: str):
+            return (F.greatest(F.coalesce(count, F.lit(0)) - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(kinds) + 1.0) * F.col("p")) / (F.col(total) + 1.0)
+
+        return rows.select("gram", F.log(chance("toxic", "kinds_a", "n_a") / chance("ordinary", "kinds_b", "n_b")).alias("ratio"))
+
+    def word_ratios(self, docs: DataFrame, text: str) -> DataFrame:
+        """(word, n, ratio) of all distinct words of ``docs``."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter[bytes] = Counter()
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()).cast(pa.string()), pa.array([*seen.values()], pa.int64())], names=["word", "n"])
+                seen.clear()
+                return out
+
+            for batch in batches:
+                for value in batch.column(0):
+                    seen.update(words(value.as_py()))
+                    if len(seen) > MAX_WORDS:
+                        yield flush()
+            yield flush()
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Words go by number: a long one has as many n-grams as characters.
+            held: list[tuple[int, str, int]] = []
+
+            def packed(rows: list[tuple[int, str, int]]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["id", "gram", "times"])
+
+            for batch in batches:
+                for number, word in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    held.extend((number, g, n) for g, n in Counter(grams(word.as_py())).items())
+                    if len(held) > 100_000:
+                        yield packed(held)
+                        held.clear()
+                if held:
+                    yield packed(held)
+                    held.clear()
+
+        found = materialize(map_rows(docs.select(F.col(text).cast("binary").alias("text")), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "words")
+        pieces = materialize(map_rows(found.select("id", "word"), cut, "id long, gram string, times long"), "pieces")
+        # Many words begin alike: such n-grams' rows are dealt over sixteen salts.
+        ratios = self.gram_ratios(pieces.select("gram").distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        sums = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(ratios, ["gram", "salt"]).groupBy("id").agg(F.sum(F.col("ratio") * F.col("times")).alias("ratio"))
+        return materialize(found.join(sums, "id", "left").select("word", "n", F.coalesce("ratio", F.lit(0.0)).alias("ratio")), "ratios")
+
+    def featured(self, docs: DataFrame, key: str, text: str, more: dict[str, str]) -> DataFrame:
+        """As ``featured``: the commonest words' ratios are broadcast, all others are looked up by a join in which no word is hot."""
+        ratios = self.word_ratios(docs, text)
+        common = ratios.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(dict(zip((w.encode() for w in common["word"].to_pylist()), common["ratio"].to_pylist(), strict=True)))
+        least = min(common["n"].to_pylist(), default=0)
+        fields = [StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate((key, *more))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, row = known.value, TaskContext.get().partitionId() << 33
+            for batch in batches:
+                out = []
+                for value in batch.column(0):
+                    counts = Counter(words(value.as_py()))
+                    r = [(held[w], n) for w, n in counts.items() if w in held]
+                    rare = [(w, n) for w, n in counts.items() if w not in held]
+                    out.append((row, counts.total(), sum(x * n for x, n in r), sum(max(x - MARGIN, 0.0) * n for x, n in r), max((x for x, _ in r), default=0.0), [w.decode() for w, _ in rare], [n for _, n in rare]))
+                    row += 1
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+                cols = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*(f.name for f in fields), "row", "n", "total", "beyond", "top", "words", "times"])
+
+        picked = docs.select(F.col(text).cast("binary").alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate((key, *more))))
+        tail = StructType.fromDDL("row long, n long, total double, beyond double, top double, words array<string>, times array<long>")
+        drafts = materialize(map_rows(picked, run, StructType([*fields, *tail.fields])), "drafts")
+        rare = drafts.select("row", F.explode(F.arrays_zip("words", "times")).alias("z")).select("row", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
+        found = rare.join(ratios.where(F.col("n") <= least).select("word", "ratio"), "word").groupBy("row")
+        others = found.agg(F.sum(F.col("ratio") * F.col("times")).alias("o_total"), F.sum(F.greatest(F.col("ratio") - MARGIN, F.lit(0.0)) * F.col("times")).alias("o_beyond"), F.max("ratio").alias("o_top"))
+        size = F.greatest("n", F.lit(1))
+        summed = lambda c: (F.col(c) + F.coalesce(f"o_{c}", F.lit(0.0))) / size
+        most = F.least(F.greatest("top", F.coalesce("o_top", F.lit(0.0)), F.lit(0.0)), F.lit(20.0))
+        names = [F.col(f"c{k}").alias(c) for k, c in enumerate((key, *more))]
+        return drafts.join(others, "row", "left").select(*names, summed("total").alias("x0"), summed("beyond").alias("x1"), most.alias("x2"))
+
+
+def _suffixes(counts: DataFrame) -> DataFrame:
+    """(x): the distinct shorter endings of n-grams."""
+    return counts.select(F.explode(F.array(*(F.when(F.length("gram") > m, F.expr(f"right(gram, {m})")) for m in range(1, ORDER)))).alias("x")).where("x IS NOT NULL").distinct()
+
+
 def count_grams(joined: DataFrame, text: str, label: str) -> DataFrame:
     """(gram, toxic, ordinary) over labelled rows, summed within each task before they are shuffled."""
 
@@ -177,8 +307,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 6
     return w
 
 
-def featured(docs: DataFrame, model, key: str, text: str, more: dict[str, str]) -> DataFrame:
-    """(key, *more, x0, x1, x2): the evidence of each whole text under a broadcast model."""
+def featured(docs: DataFrame, model: Compact | Tables, key: str, text: str, more: dict[str, str]) -> DataFrame:
+    """(key, *more, x0, x1, x2): the evidence of each whole text; a compact model is broadcast."""
+    if isinstance(model, Tables):
+        return model.featured(docs, key, text, more)
+    model = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in (key, *more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +326,22 @@ def featured(docs: DataFrame, model, key: str, text: str, more: dict[str, str])
     return out.withColumnsRenamed({f"c{k}": c for k, (c, _) in enumerate(kinds)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1) -> tuple[Compact, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1) -> tuple[Compact | Tables, np.ndarray] | None:
     """A model and its curve from the labelled rows whose crc32(key) modulo ``folds`` is not ``held_out``; None without both labels.
 
-    Counts cover all these rows but the calibration folds. Labels are broadcast up to ``MAX_BROADCAST`` rows and joined by
+    Counts cover all n-grams of all these rows but the calibration folds. The model is broadcast up to ``MAX_GRAMS`` n-grams
+    and kept in tables beyond. Labels are broadcast up to ``MAX_BROADCAST`` rows and joined by
     shuffle beyond. A key with several labels counts as toxic if one of them is; null labels are left out.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key, folds) != held_out)).groupBy(F.col(key).alias("label_key")).agg(F.max(label).alias("label"))
     known = F.broadcast(known) if known.count() <= MAX_BROADCAST else known
     joined = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(known, "label_key")
     calibrates = remainder("label_key", 5 * folds).isin(*(k for k in range(5 * folds) if k % 5 == 4 and k % folds != held_out))
-    total = F.col("toxic") + F.col("ordinary")
-    top = count_grams(joined.where(~calibrates), "text", "label").orderBy(total.desc(), "gram").limit(MAX_GRAMS).toArrow()
-    model = Compact(top)
+    counts = materialize(count_grams(joined.where(~calibrates), "text", "label"), "grams")
+    model = Compact(counts.toArrow()) if counts.count() <= MAX_GRAMS else Tables(counts)
     if not model.both():
         return None
-    sample = featured(joined.where(calibrates), spark.sparkContext.broadcast(model), "label_key", "text", {"label": ""})
+    sample = featured(joined.where(calibrates), model, "label_key", "text", {"label": ""})
     rows = sample.orderBy(F.xxhash64("label_key"), "label_key").limit(MAX_CALIBRATION).collect()
     y = np.array([float(r.label > 0) for r in rows])
     if not 0 < y.sum() < len(y):
@@ -218,13 +350,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model, fit_curve(np.array([(r.x0, r.x1, r.x2) for r in rows]), y)
 
 
-def score(docs: DataFrame, fitted: tuple[Compact, np.ndarray] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[Compact | Tables, np.ndarray] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): each whole text's probability of label 1. Null and empty texts have no evidence and get the curve's
     value there; without a model every score is 0. Repeated rows give repeated rows."""
     if fitted is None:
         return docs.select(key, F.lit(0.0).alias("score"))
     model, w = fitted
-    rows = featured(docs, docs.sparkSession.sparkContext.broadcast(model), key, text, {})
+    rows = featured(docs, model, key, text, {})
     z = sum((F.col(f"x{k}") * float(w[k]) for k in range(3)), F.lit(float(w[3])))
     return rows.select(key, (1 / (1 + F.exp(-z))).alias("score"))
 
@@ -236,10 +368,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: st
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under ``threshold``; rows pass through the scorer, nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose score is under ``threshold``; with a broadcast model rows pass through the scorer, nothing is shuffled."""
     fitted = fit(docs, labels, key, text)
     if fitted is None:
         return docs
+    if isinstance(fitted[0], Tables):
+        packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+        return score(packed, fitted, "_row", "_text").where(F.col("score") < threshold).select("_row.*")
     model, w = docs.sparkSession.sparkContext.broadcast(fitted[0]), fitted[1]
     place = docs.columns.index(text)
 

@@ -370,6 +370,20 @@ def test_toxic_words_and_roots(spark):
     assert {x.doc_id for x in kept.collect()} == {i for i, x in rows.items() if not x.predicted} and kept.columns == table.columns
 
 
+def test_no_ngram_is_dropped_beyond_the_broadcast_size(spark, monkeypatch):
+    plain = sample(120, 23)
+    texts = [*(t + " moron" * (i % 4 == 0) for i, t in enumerate(plain)), *ODD]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    table = docs(spark, texts)
+    want = {x.doc_id: x.score for x in toxicity.toxicity(table, labels).collect()}
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 50)
+    monkeypatch.setattr(toxicity, "COMMON", 20, raising=False)
+    got = {x.doc_id: x.score for x in toxicity.toxicity(table, labels).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
+    kept = toxicity.accept(table, labels)
+    assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == {i for i, x in want.items() if x < 0.7}
+
+
 def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [x.score for x in toxicity.toxicity(docs(spark, ["a", None]), none).collect()] == [0.0, 0.0]
