@@ -8,8 +8,12 @@ rank, the reach of such a chain is summed up once:
     reach[x] = max over merges (x, y) so far of  len(y) + max(reach[y], built[y])
     built[x y] = max(reach[y], built[y])   at the time of the merge that makes it
 
-The largest value, with one token more for the token under way, is the merge list's sufficient lookahead. The encoder
+The largest value, with one token more for the token under way, is the merge list's sufficient lookahead. The transducer
 never holds more than that and one block of bytes, however long the piece is.
+
+A text passes in chunks. The splitter holds back what a chunk's end leaves open (the last two pieces, the beginning of a
+special token) and hands a run that outgrows a chunk to the transducer bit by bit; tokens go to digests and to the decoder
+as they come. So beyond the row itself, which Arrow delivers, memory does not grow with the text.
 """
 
 from __future__ import annotations
@@ -31,7 +35,10 @@ from spanloom.llm.common import map_rows
 
 #: Fixed value: the split of text before merging, as the vocabulary's own format defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK, SHORT, CACHE = 4096, 48, 300_000
+#: Bytes that a transducer takes at once, length up to which a list is quicker than a heap (the merges are the same), pieces remembered by a task, characters of a chunk, characters from which an open run is streamed.
+BLOCK, SHORT, CACHE, CHUNK, LONG = 1024, 48, 120_000, 1 << 16, 2048
+#: What goes on a run of each class of characters.
+RUNS = {k: regex.compile(p) for k, p in {"letter": r"\p{L}*", "number": r"\p{N}*", "blank": r"\s*", "other": r"[^\s\p{L}\p{N}]*"}.items()}
 
 
 def byte_letters() -> dict[str, int]:
@@ -104,21 +111,37 @@ class Merges:
         return [x for x in ids if x != -1]
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of one piece that arrives in chunks; memory holds the lookahead and one block."""
-        held = b""
+        """Tokens of one piece that arrives in chunks."""
+        transducer = Transducer(self)
         for chunk in chunks:
-            for at in range(0, len(chunk), BLOCK):
-                held += chunk[at : at + BLOCK]
-                if len(held) <= 2 * self.lookahead:
-                    continue
-                end, stable = 0, len(held) - self.lookahead
-                for token in self.merge(held):
-                    if end + len(self.bytes_of[token]) > stable:
-                        break
-                    end += len(self.bytes_of[token])
-                    yield token
-                held = held[end:]
-        yield from self.merge(held)
+            yield from transducer.push(chunk)
+        yield from transducer.end()
+
+
+class Transducer:
+    """One piece in, tokens out as soon as they are stable; memory holds twice the lookahead and one block."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held = merges, b""
+
+    def push(self, chunk: bytes) -> list[int]:
+        out: list[int] = []
+        for at in range(0, len(chunk), BLOCK):
+            self.held += chunk[at : at + BLOCK]
+            if len(self.held) <= 2 * self.merges.lookahead:
+                continue
+            end, stable = 0, len(self.held) - self.merges.lookahead
+            for token in self.merges.merge(self.held):
+                if end + len(self.merges.bytes_of[token]) > stable:
+                    break
+                end += len(self.merges.bytes_of[token])
+                out.append(token)
+            self.held = self.held[end:]
+        return out
+
+    def end(self) -> list[int]:
+        rest, self.held = self.held, b""
+        return self.merges.merge(rest) if rest else []
 
 
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -133,36 +156,85 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Encoder:
-    """Text to ids. Pieces seen before come from a bounded memory, which is emptied when full."""
+    """Text to ids, chunk by chunk. Pieces seen before come from a bounded memory, which is emptied when full."""
 
     def __init__(self, merges: Merges, pattern: str = PATTERN):
         self.merges, self.find = merges, regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
         names = sorted(merges.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.begins = {n[:k] for n in names for k in range(1, len(n))}
+        self.longest = max(map(len, self.begins), default=0)
+        self.run: tuple[str, Transducer] | None = None
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        if len(raw) > 2 * self.merges.lookahead:
-            return tuple(self.merges.stream([raw]))
         if len(self.pieces) >= CACHE:
             self.pieces.clear()
-        ids = self.pieces[piece] = tuple(self.merges.merge(raw))
+        ids = tuple(self.merges.stream([piece.encode()]))
+        if len(piece) <= SHORT:
+            self.pieces[piece] = ids
         return ids
 
+    def whole(self, found: list[str]) -> Iterator[int]:
+        got = [*map(self.pieces.get, found)]
+        if None in got:
+            got = [ids or self.pieces.get(p) or self.piece(p) for ids, p in zip(got, found, strict=True)]
+        return chain.from_iterable(got)
+
+    def ids(self, text: str, chunk: int = CHUNK) -> Iterator[list[int]]:
+        """Ids of a whole text in lists, one for each chunk; strings of special tokens become their ids, as the tokenizers
+        library does by default."""
+        held, self.run = "", None
+        for at in range(0, len(text), chunk):
+            out: list[int] = []
+            held = self._take(held + text[at : at + chunk], at + chunk >= len(text), out)
+            yield out
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; strings of special tokens become their ids, as the tokenizers library does by default."""
-        out: list[int] = []
-        for part in self.cut.split(text) if self.cut and any(s in text for s in self.merges.special) else (text,):
+        return [*chain.from_iterable(self.ids(text))]
+
+    def _take(self, text: str, final: bool, out: list[int]) -> str:
+        """Put what is settled into ``out``; what is not comes back."""
+        parts = self.cut.split(text) if self.cut and any(s in text for s in self.merges.special) else [text]
+        for part in parts[:-1]:
             if part in self.merges.special:
                 out.append(self.merges.special[part])
-                continue
-            found = self.find(part)
-            got = [*map(self.pieces.get, found)]
-            if None in got:
-                got = [ids or self.pieces.get(p) or self.piece(p) for ids, p in zip(got, found, strict=True)]
-            out.extend(chain.from_iterable(got))
-        return out
+            else:
+                self._split(part, True, out)
+        last, kept = parts[-1], ""
+        if not final:
+            n = next((n for n in range(min(self.longest, len(last)), 0, -1) if last[-n:] in self.begins), 0)
+            last, kept = last[: len(last) - n], last[len(last) - n :]
+        return self._split(last, final, out) + kept
+
+    def _split(self, text: str, final: bool, out: list[int]) -> str:
+        if self.run is not None:
+            kind, transducer = self.run
+            n = RUNS[kind].match(text).end()
+            going_on = n == len(text) and not final
+            # A run's last blank may belong to what follows.
+            take = n - 1 if kind == "blank" and n and (going_on or n < len(text)) else n
+            out.extend(transducer.push(text[:take].encode()))
+            text = text[take:]
+            if going_on:
+                return text
+            out.extend(transducer.end())
+            self.run = None
+        found = self.find(text)
+        if final or not found:
+            out.extend(self.whole(found))
+            return ""
+        # The last piece may go on, and with the one before it may turn out to be a contraction.
+        settled, open_ = found[:-2], found[-2:]
+        out.extend(self.whole(settled))
+        if len(last := open_[-1]) <= LONG:
+            return "".join(open_)
+        out.extend(self.whole(open_[:-1]))
+        kind = next(k for k, r in RUNS.items() if r.match(last[-1]).end())
+        self.run = kind, Transducer(self.merges)
+        take = len(last) - (kind == "blank")
+        out.extend(self.run[1].push(last[:take].encode()))
+        return last[take:]
 
 
 class Decoder:
@@ -174,9 +246,12 @@ class Decoder:
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
         return self.state.decode(b"".join(map(self.bytes_of.__getitem__, ids)), final)
 
-    def decode(self, ids: list[int], step: int = 65536) -> str:
+    def decode(self, lists: Iterable[list[int]]) -> Iterator[str]:
+        """The text of lists of ids, in parts."""
         self.state.reset()
-        return "".join(self.feed(ids[at : at + step], at + step >= len(ids)) for at in range(0, max(1, len(ids)), step))
+        for ids in lists:
+            yield self.feed(ids)
+        yield self.feed((), True)
 
 
 @cache
@@ -185,6 +260,24 @@ def _machine(path: str) -> tuple[Encoder, Decoder]:
     return Encoder(merges), Decoder(merges)
 
 
+def _digests(encoder: Encoder, decoder: Decoder, text: str) -> tuple[int, str, str, int]:
+    n, size, listed, decoded = 0, 0, hashlib.sha256(), hashlib.sha256()
+
+    def passed() -> Iterator[list[int]]:
+        nonlocal n
+        for ids in encoder.ids(text):
+            if ids:
+                listed.update(("," * (n > 0) + ",".join(map(str, ids))).encode())
+                n += len(ids)
+            yield ids
+
+    for part in decoder.decode(passed()):
+        raw = part.encode()
+        decoded.update(raw)
+        size += len(raw)
+    return n, listed.hexdigest(), decoded.hexdigest(), size
+
+
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of each whole text; null and empty texts have no ids. Repeated rows give repeated rows."""
     kind = docs.schema[key].dataType.simpleString()
@@ -194,6 +287,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             ids = pa.array([encoder.encode(v.as_py() or "") for v in batch.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
+        encoder.pieces.clear()
 
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
@@ -205,7 +299,7 @@ def decode(ids: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = _machine(vocabulary)
         for batch in batches:
-            texts = pa.array([decoder.decode(v.as_py() or []) for v in batch.column(1)], pa.string())
+            texts = pa.array(["".join(decoder.decode([v.as_py() or []])) for v in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["key", "text"])
 
     return map_rows(ids.select(F.col(key).alias("key"), F.col(column).alias("ids")), run, f"key {kind}, text string").withColumnRenamed("key", key)
@@ -214,20 +308,18 @@ def decode(ids: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "
 def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256, n_bytes): each whole text encoded and decoded again in one pass, in digests.
 
-    Ids and decoded text are dropped row by row, so nothing of the corpus is shuffled or kept.
+    Each chunk's ids go into their digest and through the decoder into the other and are dropped, so nothing of the corpus
+    is shuffled or kept. Null and empty texts have no tokens; repeated rows give repeated rows.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _machine(vocabulary)
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                ids = encoder.encode(value.as_py() or "")
-                decoded = decoder.decode(ids).encode()
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(decoded)))
+            rows = [_digests(encoder, decoder, value.as_py() or "") for value in batch.column(1)]
             n, a, b, size = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(size, pa.int64())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+        encoder.pieces.clear()
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema).withColumnRenamed("key", key)

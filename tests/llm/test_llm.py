@@ -377,7 +377,7 @@ def test_no_ngram_is_dropped_beyond_the_broadcast_size(spark, monkeypatch):
     table = docs(spark, texts)
     want = {x.doc_id: x.score for x in toxicity.toxicity(table, labels).collect()}
     monkeypatch.setattr(toxicity, "MAX_GRAMS", 50)
-    monkeypatch.setattr(toxicity, "COMMON", 20, raising=False)
+    monkeypatch.setattr(toxicity, "COMMON", 20)
     got = {x.doc_id: x.score for x in toxicity.toxicity(table, labels).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
     kept = toxicity.accept(table, labels)
@@ -419,9 +419,38 @@ def test_streams_equal_whole_pieces():
         assert merges._merge_short(raw) == merges._merge_long(raw)
 
 
+def test_chunks_of_any_size_give_the_library_ids():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Merges.from_json(path))
+    r = random.Random(31)
+    bits = ["we're", "they'll", "'v", "'", "e", "l", "  ", "\n\n", " ", "\t", "12", "é", "漢", "!?", "<|endoftext|>", "<|end", "\u3000", "word"]
+    for _ in range(300):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 40)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        for chunk in (1, 2, 5, 17):
+            assert [i for part in encoder.ids(text, chunk) for i in part] == ids, text
+
+
+def test_long_runs_pass_through_the_transducer_in_chunks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LONG", 300)
+    path = queries.vocabulary()
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Merges.from_json(path))
+    r = random.Random(32)
+    for letters in ("etaoin", "=-_*'", "12", " ", " \n\t"):
+        for tail in ("", "x", " x", "!", "<|endoftext|>y", "\nz"):
+            text = "a'" + "".join(r.choice(letters) for _ in range(4000)) + tail
+            parts = [*encoder.ids(text, 512)]
+            assert [i for part in parts for i in part] == library.encode(text, add_special_tokens=False).ids
+            assert max(map(len, parts)) < 3000
+
+
 def test_bad_bytes_become_replacement_marks():
     merges = bpe.Merges({bytes([b]): b for b in range(256)}, [], {})
-    assert bpe.Decoder(merges).decode([0xC3, 0x41, 0xE2, 0x82]) == b"\xc3A\xe2\x82".decode("utf-8", "replace")
+    assert "".join(bpe.Decoder(merges).decode([[0xC3], [0x41, 0xE2], [0x82]])) == b"\xc3A\xe2\x82".decode("utf-8", "replace")
 
 
 # pipeline
