@@ -181,20 +181,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return prints.join(known, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
-    """(key, hashes array<long>): the distinct shingle hashes of each whole text, sorted."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words(v.as_py()), width)).view(np.int64) for v in batch.column(1)]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["key", "hashes"])
-
-    return map_rows(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), run, f"key {kind}, hashes array<long>").withColumnRenamed("key", key)
-
-
 #: Bits within which the Golay rounds compare fingerprints of distinct words and of word pairs (they only save work: what lies beyond meets by shingles), least shingle similarity of a link.
 RADIUS, PAIR_RADIUS, SIMILARITY = 9, 13, 0.8
 #: Rows of a bucket up to which members without a close mate are taken out before anything is joined.
@@ -212,19 +198,26 @@ def _node(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def text_prints(docs: DataFrame, text: str) -> DataFrame:
-    """(node, fp, pairs): each distinct text's hash with its fingerprints over distinct words and over word pairs."""
+def text_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(node, fp, pairs, hashes): of each distinct text its hash, fingerprints over distinct words and over word pairs, and its
+    distinct shingle hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
-            for i, value in enumerate(batch.column(1)):
-                tokens = words(value.as_py())
-                one[i], two[i] = simhash(np.unique(shingle_hashes(tokens, 1))), simhash(shingle_hashes(tokens, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["node", "fp", "pairs"])
-
-    prints = map_rows(docs.select(_node(text).alias("node"), F.col(text).cast("binary").alias("text")), run, "node long, fp long, pairs long")
-    return prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("pairs").alias("pairs"))
+            for at in range(0, batch.num_rows, 256):
+                one, two, sets = [], [], []
+                for value in batch.column(1).slice(at, 256):
+                    tokens = words(value.as_py())
+                    one.append(simhash(np.unique(shingle_hashes(tokens, 1))))
+                    two.append(simhash(shingle_hashes(tokens, 2)))
+                    sets.append(_filled(np.unique(shingle_hashes(tokens, width))).view(np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *prints, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "fp", "pairs", "hashes"])
+
+    rows = map_rows(docs.select(_node(text).alias("node"), F.col(text).cast("binary").alias("text")), run, "node long, fp long, pairs long, hashes array<long>")
+    # Equal texts have equal sets: one of each is enough.
+    return rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("fp", "pairs", "hashes")))
 
 
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
@@ -327,35 +320,30 @@ def _filled(hashes: np.ndarray) -> np.ndarray:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) pairs of text hashes whose shingle sets' Jaccard similarity is ``similarity`` or more, exactly."""
+    """The pairs of text hashes whose shingle sets' Jaccard similarity is ``similarity`` or more, exactly."""
     a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     sizes = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
-    return materialize(pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select("a", "b"), "links")
+    return pairs.join(a, "a").join(b, "b").where(sizes & (common >= similarity * union)).select(*pairs.columns)
 
 
 def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): each distinct text's hash and its group's, groups being joined by all links of ``similarity`` over ``width``-word shingles.
 
     A text that shares too few of its first shingles with any other has no link and is left out at once. The others meet
-    twice. Golay keys of fingerprints come first and join most copies cheaply: in each of three rounds, one for each pair of
-    segments, a bucket's members meet one leader only, and what links joins a component. Then texts meet in every shingle of
-    their prefix, rarest first: two sets of that similarity have one there in common, so no link is missed. Of a shingle's
-    texts each meets one leader, and at last those outside its largest component meet all others of another component, if
-    sizes and places in the prefix leave room for the similarity. So every pair is compared or already joined, while a group
-    of copies of any size costs a bucket one row a member and round.
+    three times. Golay keys of fingerprints come first and join most copies cheaply: a bucket's members meet one leader, and
+    what links joins a component. Then texts meet in every shingle of their prefix, rarest first: two sets of that similarity
+    have one there in common, so no link is missed. Of a shingle's texts each meets one leader, and at last those outside its
+    largest component meet all others of another component, if sizes and places in the prefix leave room for the similarity.
+    So every pair is compared or already joined, while a group of copies of any size costs a bucket one row a member.
     """
     every = Window.partitionBy("key")
     shared = prefix_keys(docs, text, width, similarity).withColumn("shared", F.min("node").over(every) < F.max("node").over(every)).where("shared")
     near = materialize(shared.groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("node"), "near")
     texts = docs.select(_node(text).alias("node"), F.col(text).alias("text")).join(small(near), "node", "left_semi").select("text")
-    # Equal texts have equal sets: one of each is enough.
-    sets = shingle_sets(texts.select(_node("text").alias("node"), "text"), "node", "text", width).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
-    sets = materialize(sets.select("node", F.when(F.size("hashes") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("hashes")).alias("hashes")), "sets")
-    nodes = materialize(text_prints(texts, "text"), "nodes")
-    crowd = materialize(with_companions(keyed_nodes(nodes)), "crowd")
-    links, tested, label = None, [], nodes.select("node", F.col("node").alias("label"))
+    sets = materialize(text_sets(texts, "text", width), "sets")
+    label = sets.select("node", F.col("node").alias("label"))
 
     def close(a: str, b: str):
         bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
@@ -367,39 +355,36 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
         most = 1 + F.least(x - F.col(f"{a}place"), y - F.col(f"{b}place"))
         return (F.least(x, y) >= similarity * F.greatest(x, y)) & ((1 + similarity) * most >= similarity * (x + y) - 1e-6)
 
-    def verify(pairs: DataFrame) -> None:
-        nonlocal label, links
-        pairs = pairs.distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested.append(pairs)
-        found = _similar(pairs, sets, similarity)
-        links = found if links is None else links.union(found)
-        named = components(links).withColumnRenamed("v", "node")
-        label = materialize(nodes.select("node").join(named, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-
-    def with_leaders(now: DataFrame, salt: int, fits, *held: str) -> None:
-        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", *held, "label")).alias("l"))
+    def verify(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """The labels once the links among ``pairs`` (a, b, label_a, label_b) have joined their components."""
+        pairs = materialize(pairs.distinct(), "pairs")
+        links = materialize(_similar(pairs, sets, similarity), "links")
+        joined = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("v").alias("label"), F.col("label").alias("root"))
+        after = materialize(label.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        discard(pairs, links)
+        return after
+
+    def with_leaders(now: DataFrame, fits, *held: str) -> DataFrame:
+        leader = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", *held, "label")).alias("l"))
         pairs = now.join(leader, "key").where((F.col("label") != F.col("l.label")) & fits("", "l."))
-        verify(pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")))
+        return pairs.select(F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("label").alias("label_a"), F.col("l.label").alias("label_b"))
 
-    for family in range(len(SEGMENTS)):
-        with_leaders(crowd.where(F.shiftright("key", 40) == family).join(label, "node"), family, close, "fp", "pairs")
+    crowd = materialize(with_companions(keyed_nodes(sets)), "crowd")
+    label = verify(with_leaders(crowd.withColumn("label", F.col("node")), close, "fp", "pairs"), label)
     listed = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key")).withColumn("n", F.count("*").over(every))
     placed = listed.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "key")))
     prefix = F.col("size") - F.greatest(F.ceil(similarity * F.col("size") - 1e-9), F.lit(1)) + 1
     met = materialize(placed.where((F.col("place") <= prefix) & (F.col("n") > 1)).select("key", "node", "size", "place"), "met")
-    with_leaders(met.join(label, "node"), len(SEGMENTS), room, "size", "place")
+    label = verify(with_leaders(met.join(label, "node"), room, "size", "place"), label)
     now = met.join(label, "node")
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
     open_ = materialize(now.join(largest, "key"), "open")
     rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label")))
     left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & room("", "o_"))
-    verify(left.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")))
+    label = verify(left.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), *(F.when((F.col("node") < F.col("o_node")) == first, F.col("label")).otherwise(F.col("o_label")).alias(c) for first, c in ((True, "label_a"), (False, "label_b")))), label)
     whole = materialize(docs.select(_node(text).alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
-    discard(near, sets, crowd, met, open_, nodes, *tested)
+    discard(near, sets, crowd, met, open_)
     return whole
 
 
