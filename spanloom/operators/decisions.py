@@ -53,11 +53,12 @@ def case_ids(hits: DataFrame, document_no: str, order: list[str]) -> DataFrame:
     return hits.withColumn("match_id", F.col(document_no).cast("long") * 1_000_000 + place)
 
 
-def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each group, with the group's whole size."""
+def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
+    """The first ``k`` rows of each group (all of them, ranked, by default), with the group's whole size."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     total = F.count("*").over(Window.partitionBy(*by))
-    return ranked.withColumn("total", total).where(F.col("rank") <= k)
+    whole = ranked.withColumn("total", total)
+    return whole if k is None else whole.where(F.col("rank") <= k)
 
 
 def audit(hits: DataFrame, by: list[str]) -> DataFrame:

@@ -108,11 +108,17 @@ def gate(outputs: DataFrame, reports: DataFrame, by: list[str]) -> tuple[DataFra
 
 
 def count_leaks(outputs: DataFrame, literals: DataFrame, by: list[str], text: str = "text", key: str = "literal") -> DataFrame:
-    """(*by, literal, found): how often each known original is left in its document, grouping aside; a join on the document."""
-    squeezed = F.regexp_replace(F.lower(text), "[ \xa0.\\-/]", "")
-    joined = outputs.select(*by, squeezed.alias("_t")).join(literals.select(*by, F.col(key), F.regexp_replace(F.lower(key), "[ \xa0.\\-/]", "").alias("_k")).where(F.length("_k") >= 6), by)
-    found = (F.length("_t") - F.length(F.replace("_t", "_k", F.lit("")))) / F.length("_k")
-    return joined.select(*by, F.col(key), found.cast("long").alias("found")).where("found > 0")
+    """(*by, literal, found): how often each known original of six characters or more is left in its document; a join on the document.
+
+    Grouping is aside: any blanks, dots, dashes or slashes may stand between its characters. What is part of a longer number
+    or word is none.
+    """
+    sign = "[ \\xa0.\\-/]"
+    wanted = literals.select(*by, F.col(key), F.regexp_replace(F.lower(key), sign, "").alias("_k")).where(F.length("_k") >= 6)
+    spelled = F.transform(F.split("_k", ""), lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.array_join(spelled, f"{sign}*"), F.lit(r"(?![\p{L}\p{N}])"))
+    joined = outputs.select(*by, F.lower(text).alias("_t")).join(wanted.withColumn("_p", pattern), by)
+    return joined.select(*by, F.col(key), F.regexp_count("_t", F.col("_p")).cast("long").alias("found")).where("found > 0")
 
 
 def within_budget(leaks: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:

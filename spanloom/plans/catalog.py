@@ -143,10 +143,10 @@ def merge_adjacent(spark, sf_dir):
     return spans.merge_adjacent(unique, ["doc"], score="confidence")
 
 
-@query(f"""WITH {SPANS_SQL}, b AS (SELECT doc, s, e, min(label) AS label, max(confidence) AS confidence FROM spans WHERE label = 'A' GROUP BY doc, s, e)
-SELECT doc, s AS start, e AS "end", label, confidence FROM b WHERE NOT EXISTS (SELECT 1 FROM b AS o WHERE o.doc = b.doc AND o.s <= b.s AND o.e >= b.e AND (o.s < b.s OR o.e > b.e))""")
+@query(f"""WITH {SPANS_SQL}, b AS (SELECT doc, s, e, label, max(confidence) AS confidence FROM spans GROUP BY doc, s, e, label)
+SELECT doc, s AS start, e AS "end", label, confidence FROM b WHERE NOT EXISTS (SELECT 1 FROM b AS o WHERE o.doc = b.doc AND o.label = b.label AND o.s <= b.s AND o.e >= b.e AND (o.s < b.s OR o.e > b.e))""")
 def dedupe_windows(spark, sf_dir):
-    return spans.dedupe_windows(span_rows(spark, sf_dir).where("label = 'A'").select("doc", "start", "end", "label", "confidence"), ["doc"], score="confidence")
+    return spans.dedupe_windows(span_rows(spark, sf_dir).select("doc", "start", "end", "label", F.col("label").alias("kind"), "confidence"), ["doc", "kind"], score="confidence").drop("kind")
 
 
 @query("SELECT conv_id, turn, CAST(coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM conversations")
@@ -213,11 +213,11 @@ def amount_scan(spark, sf_dir):
     return found.select("k", "surface", "value", "currency", "confidence", "start", again.alias("again"))
 
 
-@query("""WITH v AS (SELECT DISTINCT o_custkey % 40 AS case_id, 'HUF' AS currency, floor(o_totalprice / 2500) AS value FROM orders WHERE o_orderkey % 8 = 0),
+@query("""WITH v AS (SELECT DISTINCT o_custkey % 40 AS case_id, 'HUF' AS currency, floor(o_totalprice / 2500) AS value FROM orders),
 n AS (SELECT case_id FROM v GROUP BY case_id HAVING count(*) <= 200), w AS (SELECT v.* FROM v JOIN n USING (case_id))
 SELECT a.case_id, a.currency, a.value AS a, b.value AS b, c.value AS c FROM w AS a JOIN w AS b ON a.case_id = b.case_id AND a.value <= b.value AND a.value > 0 JOIN w AS c ON c.case_id = a.case_id AND c.value = a.value + b.value AND c.value <> a.value AND c.value <> b.value""")
 def sum_relations(spark, sf_dir):
-    values = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").selectExpr("o_custkey % 40 AS case_id", "'HUF' AS currency", "CAST(floor(o_totalprice / 2500) AS DOUBLE) AS value").distinct()
+    values = table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 AS case_id", "'HUF' AS currency", "CAST(floor(o_totalprice / 2500) AS DOUBLE) AS value").distinct()
     return amounts.sums(values, "case_id")
 
 
@@ -243,7 +243,7 @@ def name_candidates_reduce(spark, sf_dir):
 def cluster_surface_forms(spark, sf_dir):
     full = people(spark, sf_dir).select(F.concat_ws(" ", "surname", "given").alias("form"))
     grouped = full.groupBy(text.cluster_key(F.col("form"), F.lit(True)).alias("key"), "form").agg(F.count("*").alias("n"))
-    return decisions.top_k(grouped, ["key"], [F.length("form").asc(), F.desc("n"), F.asc("form")], 1_000_000).select("key", "form", "n", "rank")
+    return decisions.top_k(grouped, ["key"], [F.length("form").asc(), F.desc("n"), F.asc("form")]).select("key", "form", "n", "rank")
 
 
 @query(f"SELECT c_custkey, {number_sql(hmac_sql('lower(c_name)'))} % 97 AS idx FROM customer")
@@ -353,10 +353,11 @@ def best_votes(spark, sf_dir):
     return ner.best_votes(votes, ["doc"]).select("doc", "word_no", "label", "score")
 
 
-@query(f"WITH {people_sql()} SELECT k, number AS literal, CAST(2 AS BIGINT) AS found FROM people")
+@query(f"""WITH {people_sql()}, t AS (SELECT k, number, regexp_replace(number, '[ .-]', '', 'g') AS bare, string_split(text || CASE WHEN k % 4 = 1 THEN ' / ' || number WHEN k % 4 = 2 THEN ' / 7' || number ELSE '' END, ' / ') AS parts FROM people)
+SELECT k, number AS literal, CAST(1 + len(list_filter(parts[2:], lambda x: regexp_replace(x, '[ .-]', '', 'g') = bare)) AS BIGINT) AS found FROM t""")
 def leak_counts(spark, sf_dir):
     rows = people(spark, sf_dir)
-    return verify.count_leaks(rows.select("k", F.concat("text", F.lit(" / "), "number").alias("text")), rows.select("k", F.col("number").alias("literal")), ["k"])
+    return verify.count_leaks(rows.select("k", F.concat("text", F.when(F.col("k") % 4 == 1, F.concat(F.lit(" / "), "number")).when(F.col("k") % 4 == 2, F.concat(F.lit(" / 7"), "number")).otherwise("")).alias("text")), rows.select("k", F.col("number").alias("literal")), ["k"])
 
 
 @query()
@@ -367,7 +368,7 @@ def inflect_paradigms(spark, sf_dir):
 
 def _case(spark, sf_dir):
     rows = people(spark, sf_dir)
-    return rows.select(F.col("c_nationkey").alias("case_id"), F.col("k").cast("string").alias("id"), F.lit("person").alias("kind"), "surname", "given", F.lit("N").alias("gender"), "k").dropDuplicates(["case_id", "surname", "given"])
+    return rows.select(F.col("c_nationkey").alias("case_id"), F.lit("person").alias("kind"), "surname", "given", F.lit("N").alias("gender"), "k").groupBy("case_id", "kind", "surname", "given", "gender").agg(F.min("k").alias("k")).withColumn("id", F.col("k").cast("string"))
 
 
 @query()
@@ -406,10 +407,10 @@ def render_theme(spark, sf_dir):
     return render.render_theme(hits, render.core_table(pseudo, "case_id"), "case_id").select("case_id", "k", "start", "end", "surface", "entity_id", "core", "case_tag", "replacement")
 
 
-@query(f"WITH {SPANS_SQL}, e AS (SELECT DISTINCT doc, s + 2 AS s, s + 4 AS e FROM spans WHERE confidence = 51), w AS (SELECT DISTINCT doc, s, e, s * 1000 + e AS id FROM spans) SELECT e.doc, e.s AS start, e.e AS \"end\", arg_min(w.id, w.s * 100000 + w.e) FILTER (WHERE w.s <= e.s AND e.e <= w.e) AS span_id FROM e LEFT JOIN w ON w.doc = e.doc GROUP BY ALL")
+@query(f"WITH {SPANS_SQL}, e AS (SELECT DISTINCT doc, s + 2 AS s, s + 4 AS e FROM spans), w AS (SELECT DISTINCT doc, s, e, s * 1000 + e AS id FROM spans) SELECT e.doc, e.s AS start, e.e AS \"end\", arg_min(w.id, w.s * 100000 + w.e) FILTER (WHERE w.s <= e.s AND e.e <= w.e) AS span_id FROM e LEFT JOIN w ON w.doc = e.doc GROUP BY ALL")
 def edit_containment(spark, sf_dir):
     rows = span_rows(spark, sf_dir)
-    edits = rows.where("confidence = 51").select("doc", (F.col("start") + 2).alias("start"), (F.col("start") + 4).alias("end")).distinct()
+    edits = rows.select("doc", (F.col("start") + 2).alias("start"), (F.col("start") + 4).alias("end")).distinct()
     return spans.first_container(edits, rows.select("doc", "start", "end", (F.col("start") * 1000 + F.col("end")).alias("span_id")).distinct(), ["doc"])
 
 
@@ -432,9 +433,9 @@ def case_matching(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.match_case(source, F.concat("p_brand", F.lit("x"))).alias("cased"))
 
 
-@query("SELECT conv_id, turn, n, n = 1 OR regexp_matches(substr(text, greatest(n - 4, 1), least(n - 1, 4)), '[.!?:;]\\s*$|\\n\\s*$|^\\s*$') AS starts FROM (SELECT conv_id, turn, text, CAST(1 + turn * 7 AS INT) AS n FROM conversations WHERE length(text) > 80)")
+@query("SELECT conv_id, turn, n, n = 1 OR regexp_matches(substr(text, greatest(n - 4, 1), least(n - 1, 4)), '[.!?:;]\\s*$|\\n\\s*$|^\\s*$') AS starts FROM (SELECT conv_id, turn, text, CAST(1 + turn * 7 AS INT) AS n FROM conversations)")
 def sentence_starts(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("length(text) > 80").withColumn("n", (1 + F.col("turn") * 7).cast("int"))
+    rows = table(spark, sf_dir, "conversations").withColumn("n", (1 + F.col("turn") * 7).cast("int"))
     return rows.select("conv_id", "turn", "n", text.sentence_initial(F.col("text"), F.col("n") - 1).alias("starts"))
 
 
