@@ -1,10 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches, in DataFrame functions only.
 
-Four ratios are measured per text. KLL sketches summarise each ratio per language and source, and merge into sketches per
-language and over all rows. A ratio's limit is a robust fence: the group's median plus a multiple of the distance from the
-median to the tail on the cleaner side, and never under a slack that no clean text reaches by chance. The median and that
-tail stay put as long as less than half of a group is bad, so a poor source does not loosen its own limits. Groups too small
-to tell use their language's sketch, then that of all rows.
+Four ratios and three sizes are measured per text. KLL sketches summarise each per language and source, and merge into
+sketches per language and over all rows. A limit is a fence around the group's median:
+
+    median + 8 * (the narrower of the distances from the median to the 5th and 95th percentile) + slack
+
+Bad texts lie on one side, so the narrower distance stays put as long as less than half of a group is bad, and a poor source
+does not loosen its own limits. The slack is what a few chance events (``CHANCE``: eight symbols, a line and a half, thirty
+words of one repeated passage, sixty characters of a long address) make of a text as short as the group's lower quartile, so
+it follows the group's own sizes. Limits of thin groups are drawn to their language's, and those to the limits of all rows,
+as if ``PSEUDO`` rows of the wider group were among theirs: there is no size from which a group counts.
+
+A sketch is exact up to about ``SKETCH_K`` rows; beyond, it draws at random, and a text just at a limit may fall either way
+between runs.
 """
 
 from __future__ import annotations
@@ -17,10 +25,14 @@ from spanloom.llm.common import materialize
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Rows of a group from which its own sketch counts; bits of a sketch's k.
-MIN_GROUP, SKETCH_K = 200, 200
-#: ratio -> (clean tail's quantile, multiple of median to tail, least slack). The tail lies on the side where bad texts are not.
-FENCES = {"symbol_ratio": (0.05, 8.0, 0.05), "dup_line_ratio": (0.05, 8.0, 0.4), "repeat_ratio": (0.05, 8.0, 0.35), "word_length": (0.05, 8.0, 0.75)}
+#: Weight, in rows, of the wider group in a group's limits; k of the sketches.
+PSEUDO, SKETCH_K = 50, 1024
+#: ratio -> (size, events by which a text of the group's lower-quartile size may exceed the fence).
+CHANCE = {"symbol_ratio": ("word_chars", 8.0), "dup_line_ratio": ("n_lines", 1.5), "repeat_ratio": ("n_words", 30.0), "word_length": ("n_words", 60.0)}
+SIZES = ("word_chars", "n_lines", "n_words")
+TIMES, SIDE = 8.0, 0.05
+#: Limits: upper ones for all ratios, a lower one for the length of words.
+LIMITS = (*(f"{r}_max" for r in CHANCE), "word_length_min")
 
 
 def word_array(text: str) -> Column:
@@ -31,16 +43,26 @@ def repeated_words(words: str, low: str) -> Column:
     """Words of an array within three-word windows that occur twice or more, each place once.
 
     A window's hash and its place share one long: the place in as many low bits as the length needs (column ``low`` masks
-    them), the hash in the others (49 of them for 20,000 words), so one sort of primitive longs brings equal windows together.
+    them), the hash in the others, so one sort of primitive longs brings equal windows together. Windows that agree in the
+    hash are then compared word by word, so chance never counts.
     """
     n, low = F.size(words), F.col(low)
     at = lambda i: F.get(words, i)
     coded = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
-    same = lambda s, i, j: s[i].bitwiseXOR(s[j]).bitwiseAND(F.bitwise_not(low)) == 0
+
+    def beside(s: Column, same) -> Column:
+        """The elements that equal the one before or behind."""
+        return F.filter(s, lambda x, i: F.when(i > 0, same(s[i], s[F.greatest(i - 1, F.lit(0))])).otherwise(False) | F.when(i < F.size(s) - 1, same(s[i], s[F.least(i + 1, F.size(s) - 1)])).otherwise(False))
+
+    def spelled(place: Column) -> Column:
+        i = place.cast("int")
+        return F.struct(at(i).alias("a"), at(i + 1).alias("b"), at(i + 2).alias("c"), i.alias("i"))
 
     def places(s: Column) -> Column:
-        kept = F.filter(s, lambda x, i: F.when(i > 0, same(s, i, F.greatest(i - 1, F.lit(0)))).otherwise(False) | F.when(i < F.size(s) - 1, same(s, i, F.least(i + 1, F.size(s) - 1))).otherwise(False))
-        return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(low)))
+        alike = beside(s, lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(low)) == 0)
+        windows = F.sort_array(F.transform(alike, lambda x: spelled(x.bitwiseAND(low))))
+        equal = F.transform(F.array(windows), lambda w: beside(w, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])))[0]
+        return F.sort_array(F.transform(equal, lambda x: x["i"].cast("long")))
 
     def covered(p: Column) -> Column:
         return F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")), lambda a, x: F.struct((a["n"] + x + 3 - F.greatest(a["end"], x)).alias("n"), (x + 3).alias("end")), lambda a: a["n"])
@@ -78,56 +100,60 @@ def with_ratios(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(rated: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, level, n, <ratio>_max): one row per group, per language (null source) and over all (level 2).
+    """(g_lang, g_source, level, n, LIMITS): a row per group (level 0), per language (1, null source) and over all (2).
 
     Texts that fail the base rules are no sample of a group's usual ones and stay out of its sketches. Rows are salted by
     their hash into sixteen partial sketches, so a hot group is summed by many tasks before its sketches merge.
     """
+    measured = (*CHANCE, *SIZES)
     salt = F.pmod(F.xxhash64("n_words", "word_chars"), F.lit(16))
-    parts = rated.where("NOT base_failed").groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), salt.alias("salt")).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in FENCES))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in FENCES)]
+    parts = rated.where("NOT base_failed").groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), salt.alias("salt")).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(r).cast("double"), F.lit(SKETCH_K)).alias(r) for r in measured))
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in measured)]
     fine = parts.groupBy("g_lang", "g_source").agg(*merged)
     language = fine.groupBy("g_lang").agg(*merged)
     whole = language.groupBy().agg(*merged).where("n > 0")
     null = F.lit(None).cast("string")
     levels = fine.withColumn("level", F.lit(0)).unionByName(language.withColumns({"g_source": null, "level": F.lit(1)})).unionByName(whole.withColumns({"g_lang": null, "g_source": null, "level": F.lit(2)}))
+    at = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
 
-    def fence(ratio: str) -> Column:
-        tail, times, slack = FENCES[ratio]
-        middle = F.kll_sketch_get_quantile_double(ratio, F.lit(0.5))
-        return middle + F.greatest(times * (middle - F.kll_sketch_get_quantile_double(ratio, F.lit(tail))), F.lit(slack))
+    def room(ratio: str) -> Column:
+        size, events = CHANCE[ratio]
+        middle = at(ratio, 0.5)
+        return TIMES * F.least(middle - at(ratio, SIDE), at(ratio, 1 - SIDE) - middle) + events / F.greatest(at(size, 0.25), F.lit(1.0))
 
-    return levels.select("g_lang", "g_source", "level", "n", *(fence(r).alias(f"{r}_max") for r in FENCES))
+    return levels.select("g_lang", "g_source", "level", "n", *((at(r, 0.5) + room(r)).alias(f"{r}_max") for r in CHANCE), (at("word_length", 0.5) - room("word_length")).alias("word_length_min"))
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, the measures, base_failed and kept for every row.
+    """``keep``, the measures, base_failed, kept, the ratios and the limits that held for every row.
 
-    Null languages and sources form groups of their own. A text is kept if it passes the base rules and no ratio exceeds its
-    group's limit. Groups' limits are joined as a broadcast only where Spark's own size check allows it.
+    Null texts have no words and fail; null languages and sources form groups of their own; repeated rows count as often as
+    they occur. A text is kept if it passes the base rules and lies within its group's limits. Limits are joined as a
+    broadcast only where Spark's own size check allows it.
     """
     held = tuple(dict.fromkeys((*keep, lang, source)))
     rated = with_ratios(materialize(measures(docs, text, held), "measures"))
     limits = materialize(thresholds(rated, lang, source), "limits")
-    own = limits.where((F.col("level") == 0) & (F.col("n") >= MIN_GROUP)).drop("level", "n")
-    language = limits.where((F.col("level") == 1) & (F.col("n") >= MIN_GROUP)).drop("level", "n", "g_source")
-    whole = limits.where("level = 2").drop("level", "n", "g_lang", "g_source")
-    names = [f"{r}_max" for r in FENCES]
-    rename = lambda df, tag: df.withColumnsRenamed({c: f"{tag}_{c}" for c in df.columns})
-    own, language, whole = rename(own, "o"), rename(language, "l"), rename(whole, "w")
+    level = lambda k, tag, *drop: limits.where(F.col("level") == k).drop("level", *drop).withColumnsRenamed({c: f"{tag}_{c}" for c in limits.columns})
     joined = (
-        rated.join(own, F.col(lang).eqNullSafe(F.col("o_g_lang")) & F.col(source).eqNullSafe(F.col("o_g_source")), "left")
-        .join(language, F.col(lang).eqNullSafe(F.col("l_g_lang")), "left")
-        .join(F.broadcast(whole), F.lit(True), "left")
+        rated.join(level(0, "o"), F.col(lang).eqNullSafe(F.col("o_g_lang")) & F.col(source).eqNullSafe(F.col("o_g_source")), "left")
+        .join(level(1, "l", "g_source"), F.col(lang).eqNullSafe(F.col("l_g_lang")), "left")
+        .join(F.broadcast(level(2, "w", "g_lang", "g_source")), F.lit(True), "left")
     )
-    over = [F.col(r) > F.coalesce(f"o_{n}", f"l_{n}", f"w_{n}") for r, n in zip(FENCES, names, strict=True)]
-    bad = F.lit(False)
-    for o in over:
-        bad = bad | F.coalesce(o, F.lit(False))
-    return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"), *FENCES)
+
+    def drawn(own: Column, n: Column, wider: Column) -> Column:
+        """A limit drawn to the wider group's; the wider group's where there is none."""
+        return F.coalesce((n * own + PSEUDO * wider) / (n + PSEUDO), wider)
+
+    limited = joined.withColumns({c: drawn(F.col(f"o_{c}"), F.col("o_n"), drawn(F.col(f"l_{c}"), F.col("l_n"), F.col(f"w_{c}"))) for c in LIMITS})
+    bad = F.col("word_length") < F.col("word_length_min")
+    for r in CHANCE:
+        bad = bad | (F.col(r) > F.col(f"{r}_max"))
+    return limited.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).alias("kept"), *CHANCE, *LIMITS)
 
 
 def accept(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept. Rows are written once with their measures, so texts are read once and not shuffled."""
+    """The rows of ``docs``, all columns, that are kept. Rows are written once with their measures, so texts are read once and
+    not shuffled. Null and empty texts go; repeated rows stay or go together; an empty table stays empty."""
     packed = docs.select(F.col(text).alias("_t"), F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.struct(*docs.columns).alias("_row"))
     return judged(packed, "_t", "_lang", "_source", ("_row",)).where("kept").select("_row.*")

@@ -226,6 +226,40 @@ def test_adaptive_limits_keep_the_clean_and_drop_the_odd(spark):
     assert quality.accept(docs(spark, [*clean, *odd])).columns == docs(spark, ["a"]).columns
 
 
+def test_limits_equal_those_of_exact_quantiles(spark):
+    r = random.Random(10)
+    rows = []
+    for i in range(240):
+        lang = r.choice(["en", "de", None])
+        ws = [r.choice("abcdefg") * r.randint(1, 9) + (r.choice(["", "", "#"])) for _ in range(r.randint(55, 160))]
+        rows.append((i, "\n".join(" ".join(ws[k : k + 9]) for k in range(0, len(ws), 9)), lang, r.choice(["s", "t", None])))
+    table = spark.createDataFrame([*rows, (900, None, "en", "s"), (901, "too short", "xx", "s"), rows[0]], "doc_id long, text string, lang string, source string")
+    got = [x.asDict() for x in quality.judged(table, keep=("doc_id", "lang", "source")).collect()]
+    good = [x | {"n_lines": len(dict((w[0], w[1]) for w in rows)[x["doc_id"]].split("\n"))} for x in got if not x["base_failed"]]
+    at = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+
+    def limits(part):
+        out = {}
+        for ratio, (size, events) in quality.CHANCE.items():
+            v = [x[ratio] for x in part]
+            room = 8 * min(at(v, 0.5) - at(v, 0.05), at(v, 0.95) - at(v, 0.5)) + events / max(1, at([x[size] for x in part], 0.25))
+            out[f"{ratio}_max"], out[f"{ratio}_min"] = at(v, 0.5) + room, at(v, 0.5) - room
+        return out
+
+    for x in got:
+        language = [y for y in good if y["lang"] == x["lang"]]
+        want = limits(good)
+        for part in (language, [y for y in language if y["source"] == x["source"]]):
+            if part:
+                own = limits(part)
+                want = {c: (len(part) * own[c] + quality.PSEUDO * want[c]) / (len(part) + quality.PSEUDO) for c in want}
+        for c in quality.LIMITS:
+            assert x[c] == pytest.approx(want[c], rel=1e-9), c
+        bad = any(x[c] > want[f"{c}_max"] for c in quality.CHANCE) or x["word_length"] < want["word_length_min"]
+        assert x["kept"] == (not x["base_failed"] and not bad)
+    assert len({x["symbol_ratio_max"] for x in got}) > 6
+
+
 # 5
 
 
