@@ -21,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from spanloom.llm.common import map_rows, materialize, remainder, words
+from spanloom.llm.common import discard, map_rows, materialize, remainder, words
 
 ORDER = 8
 START, END = "\x02", "\x03"
 DISCOUNT = 0.9
-#: Bounds: table rows up to which a model is broadcast (16 bytes each; beyond, it stays in tables), words remembered by a task, rows of the calibration sample, rows of labels that may be broadcast.
-MAX_GRAMS, MAX_WORDS, MAX_CALIBRATION, MAX_BROADCAST = 6_000_000, 200_000, 20_000, 2_000_000
+#: The documented bound of the classifier's sample: about so many labelled rows, drawn by the hash of their keys, and of them so many for the curve.
+MAX_LABELLED, MAX_CALIBRATION = 40_000, 8_000
+#: Table rows up to which a model is broadcast (12 bytes each; beyond, it stays in tables), words remembered by a task.
+MAX_GRAMS, MAX_WORDS = 6_000_000, 100_000
 #: Words whose ratios are broadcast where the model is kept in tables.
 COMMON = 100_000
 #: Share of toxic words in a toxic text; bound of one word's log ratio.
@@ -292,7 +294,7 @@ def _head(c: str):
 
 
 def model_rows(counts: DataFrame, max_grams: int) -> DataFrame:
-    """(kind, hash, ratio): the log ratio of each n-gram (kind 0) and of each context's back-off masses (kind 1).
+    """(kind, hash, ratio), written: the log ratio of each n-gram (kind 0) and of each context's back-off masses (kind 1).
 
     Continuation counts come from the distinct n-grams. Up to ``max_grams`` shorter n-grams they are broadcast and every task
     interpolates its own; beyond, level is joined with level. Joins are on n-grams and contexts, whose rows an alphabet bounds;
@@ -311,7 +313,7 @@ def model_rows(counts: DataFrame, max_grams: int) -> DataFrame:
     uniform = 1.0 / (steps.where("length(x) = 1").count() + 1)
     spread = None
     if steps.count() <= max_grams:
-        packed = map_rows(steps, lambda batches: (pa.RecordBatch.from_arrays([pa.array(gram_hashes(b.column(0).to_pylist()).view(np.int64)), *b.columns[1:]], names=["hash", "share", "mass"]) for b in batches), "hash long, share double, mass double")
+        packed = map_rows(steps, lambda batches: (pa.RecordBatch.from_arrays([pa.array(gram_hashes(b.column(0).to_pylist()).view(np.int64)), *(c.cast(pa.float32()) for c in b.columns[1:])], names=["hash", "share", "mass"]) for b in batches), "hash long, share float, mass float")
         spread = counts.sparkSession.sparkContext.broadcast(Shared(packed.toArrow(), uniform))
         seen = seen.withColumn("p", F.lit(0.0))
     else:
@@ -329,9 +331,13 @@ def model_rows(counts: DataFrame, max_grams: int) -> DataFrame:
             p = np.where(kind == 0, p, 1.0)
             chance = lambda c, n, kinds: np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(n, 1), p)
             ratio = np.log(chance(a, n_a, kinds_a) / chance(b, n_b, kinds_b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gram_hashes(names).view(np.int64)), pa.array(ratio)], names=["kind", "hash", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int8()), pa.array(gram_hashes(names).view(np.int64)), pa.array(ratio.astype(np.float32))], names=["kind", "hash", "ratio"])
 
-    return map_rows(rows, rated, "kind int, hash long, ratio double")
+    written = materialize(map_rows(rows, rated, "kind byte, hash long, ratio float"), "model")
+    if spread is not None:
+        spread.destroy()
+    discard(heads, lower, steps)
+    return written
 
 
 def _interpolated(steps: DataFrame, uniform: float) -> DataFrame:
@@ -384,15 +390,14 @@ class Scorer:
         return np.array(out, dtype=np.float64).reshape(-1, 3)
 
 
-def featured(docs: DataFrame, model: Compact | Tables, key: str, text: str, more: dict[str, str]) -> DataFrame:
+def featured(docs: DataFrame, model: Broadcast | Tables, key: str, text: str, more: dict[str, str]) -> DataFrame:
     """(key, *more, x0, x1, x2): the evidence of each whole text; a compact model is broadcast."""
     if isinstance(model, Tables):
         return model.featured(docs, key, text, more)
-    sent = _sent(docs, model)
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in (key, *more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(model.value)
         for batch in batches:
             x = scorer.evidence(batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x[:, k]) for k in range(3))], names=[*(f"c{k}" for k in range(len(kinds))), "x0", "x1", "x2"])
@@ -402,37 +407,33 @@ def featured(docs: DataFrame, model: Compact | Tables, key: str, text: str, more
     return out.withColumnsRenamed({f"c{k}": c for k, (c, _) in enumerate(kinds)})
 
 
-def _sent(docs: DataFrame, model: Compact):
-    """The model's broadcast, made once however often it is used."""
-    if getattr(model, "sent", None) is None:
-        model.sent = docs.sparkSession.sparkContext.broadcast(model)
-    return model.sent
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1) -> tuple[Compact | Tables, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1) -> tuple[Broadcast | Tables, np.ndarray] | None:
     """A model and its curve from the labelled rows whose crc32(key) modulo ``folds`` is not ``held_out``; None without both labels.
 
     Counts cover all n-grams of all these rows but the calibration folds (of the ``5 * folds`` remainders the two that are 4
-    modulo 5 and not held out). The curve is fitted on at most ``MAX_CALIBRATION`` of those, drawn by hash. The model is
-    broadcast up to ``MAX_GRAMS`` rows and kept in tables beyond. Labels are broadcast up to ``MAX_BROADCAST`` rows and joined
-    by shuffle beyond. A key with several labels counts as toxic if one of them is; null labels and keys are left out.
+    modulo 5 and not held out). Rows are a sample by hash of about ``MAX_LABELLED``, which bounds what is broadcast of labels,
+    and at most ``MAX_CALIBRATION`` for the curve. The model is broadcast up to ``MAX_GRAMS`` rows and kept in tables beyond.
+    A key with several labels counts as toxic if one of them is; null labels and keys are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key, folds) != held_out)).groupBy(F.col(key).alias("label_key")).agg(F.max(label).alias("label"))
-    known = F.broadcast(known) if known.count() <= MAX_BROADCAST else known
+    # Shares of a million: all of them up to MAX_LABELLED rows.
+    known = known.where(F.pmod(F.xxhash64("label_key", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MAX_LABELLED / max(known.count(), 1))))
+    known = F.broadcast(known)
     joined = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(known, "label_key")
     calibrates = remainder("label_key", 5 * folds).isin(*(k for k in range(5 * folds) if k % 5 == 4 and k % folds != held_out))
     counts = materialize(count_grams(joined.where(~calibrates), "text", "label"), "grams")
     sums = counts.agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b")).first()
     if not (sums.a and sums.b):
         return None
-    rows = materialize(model_rows(counts, MAX_GRAMS), "model")
-    model = Compact(rows.toArrow()) if rows.count() <= MAX_GRAMS else Tables(rows)
+    rows = model_rows(counts, MAX_GRAMS)
+    # Once sent, the driver holds nothing of it.
+    model = docs.sparkSession.sparkContext.broadcast(Compact(rows.toArrow())) if rows.count() <= MAX_GRAMS else Tables(rows)
     sample = featured(joined.where(calibrates), model, "label_key", "text", {"label": ""})
     seen = sample.orderBy(F.xxhash64("label_key"), "label_key").limit(MAX_CALIBRATION).collect()
     return model, fit_curve(np.array([(r.x0, r.x1, r.x2) for r in seen]).reshape(-1, 3), np.array([float(r.label > 0) for r in seen]))
 
 
-def score(docs: DataFrame, fitted: tuple[Compact | Tables, np.ndarray] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[Broadcast | Tables, np.ndarray] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): each whole text's probability of label 1. Null and empty texts have no evidence and get the curve's
     value there; without a model every score is 0. Repeated rows give repeated rows."""
     if fitted is None:
@@ -462,14 +463,14 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str
     if isinstance(fitted[0], Tables):
         packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
         return score(packed, fitted, "_row", "_text").where(F.col("score") < threshold).select("_row.*")
-    sent, w = _sent(docs, fitted[0]), fitted[1]
+    model, w = fitted
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(model.value)
         for batch in batches:
             x = scorer.evidence(batch.column(place).cast(pa.binary()))
             p = 1 / (1 + np.exp(-(x @ w[:3] + w[3])))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
