@@ -1,20 +1,25 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its lower-cased words and one end. A word is its bytes and a blank, the end is a blank alone, and every byte is
-coded as eight binary decisions. Five predictors, each a table of bit counts under a hashed context within the word (the
-last one, two, three or four bytes, the whole prefix), give log-odds. A gate, chosen by how much has been seen under the
-longest contexts, selects the weights that mix them; an adaptive probability map refines the mix. A text's score is
-the log10 probability of all its bits, a proper distribution over token sequences.
+coded as eight binary decisions. Five predictors, each with bit counts under a hashed context within the word (the last one,
+two, three or four bytes, the whole prefix), give log-odds. A gate, chosen by how much has been seen under the longest
+contexts, selects the weights that mix them; an adaptive probability map refines the mix. A text's score is the log10
+probability of all its bits, a proper distribution over token sequences.
 
-Bit counts are sums over the training words' counts, so any number of tasks can add to them. Each task then runs online over
-its share of the distinct words: predict a small batch with its own occurrence taken out of the counts, correct the weights
-by the coding error, and after a third of the way let the map adapt too. Tasks' weights are averaged and maps summed.
+Counts of contexts of up to four bytes are dense tables, sized by the number of distinct words up to ``MOST_BITS`` and
+broadcast. Whole prefixes grow with the corpus without bound, so they are never gathered: words are dealt out by their first
+five bytes and sorted, and each task keeps exact counts, under 64-bit names, of the stretch of prefixes it is at (a prefix
+of four bytes or less is a context of the fourth predictor already).
+
+Each task then runs online over all its distinct words: predict a small batch with one occurrence of itself taken out of the
+counts, correct the weights by the coding error, and after a third of the way let the map adapt too. Tasks' weights are
+averaged and maps summed. With these every distinct word of the corpus is scored once, and texts look their words up: the
+commonest in a broadcast, all others by a join. What is broadcast only saves work; no score depends on it.
 
 Texts of different languages share few words, so all contexts are kept apart by class, and a text is a mixture: the class
 is drawn by its share of the training texts, then all words under it. Classes are the training rows' values of ``group``
 (the commonest, and one for all others); a scored text's own value is never looked at. Given the class no context reaches
-beyond its word, so a word's score is computed once for each task that meets it. Classes that the common words leave less
-than ``FAINT`` are left out of the sum, which can only lower a score.
+beyond its word.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from math import log2, log10
+from functools import reduce
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import map_rows, materialize, remainder, words
+from spanloom.llm.common import discard, map_rows, materialize, remainder, words
 
-#: log2 of the slots of each predictor's table: fixed, whatever the corpus.
-TABLES = (18, 20, 20, 20, 20)
+#: log2 of the slots of the tables of contexts of one to four bytes: at least, and at most.
+LEAST_BITS, MOST_BITS = (16, 16, 16, 16), (18, 20, 21, 21)
+#: Bytes by which words are dealt out; prefixes of so many or more are counted where their words are.
+SHARED = 5
 GATES, BUCKETS = 72, 49
-#: Tasks that build tables and fit weights (each holds whole tables); words to a batch; least batches, and most, that a task's weights learn from (a bounded sample: they are a few hundred numbers; the counts are of all words).
-FIT_TASKS, BATCH, LEAST_BATCHES, MOST_BATCHES = 16, 512, 60, 128
+#: Distinct words to a task that fills dense tables, to one that learns and scores, to a batch of learning, and to a stretch whose prefixes are counted together; least batches of a task's learning.
+TABLE_WORDS, TASK_WORDS, BATCH, STRETCH, LEAST_BATCHES = 250_000, 60_000, 512, 20_000, 60
 #: Distinct words held by a task; words whose figures are broadcast.
-HELD, COMMON = 300_000, 1 << 17
-#: Most classes; log10 of the share of a text's likeliest class under which a class is left out.
-CLASSES, FAINT = 8, -4.0
+HELD, COMMON = 200_000, 1 << 17
+#: Most classes.
+CLASSES = 8
 DELTA, SEGMENT = 0.1, 1 << 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -81,9 +88,15 @@ class Stream:
         part.bytes, part.place, part.contexts = self.bytes[at], self.place[at], [c[at] for c in self.contexts]
         return part
 
-    def slots(self, k: int, node: np.ndarray) -> np.ndarray:
+    def slots(self, k: int, node: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (((self.contexts[k] ^ node * _M1) * _M2 ^ self.contexts[k] >> np.uint64(29)) * _M3 >> np.uint64(64 - bits[k])).astype(np.int64)
+
+    def names(self, node: np.ndarray) -> np.ndarray:
+        """64-bit names of the whole prefixes and the bits so far."""
         with np.errstate(over="ignore"):
-            return (((self.contexts[k] ^ node * _M1) * _M2 ^ self.contexts[k] >> np.uint64(29)) * _M3 >> np.uint64(64 - TABLES[k])).astype(np.int64)
+            name = (self.contexts[4] ^ node * _M1) * _M2
+            return (name ^ name >> np.uint64(29)) * _M3
 
     def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(node, bit) of each byte, for its eight decisions in turn; node is the bits so far under a leading one."""
@@ -91,16 +104,44 @@ class Stream:
             yield ((1 << 7 - shift) | self.bytes.astype(np.uint64) >> np.uint64(shift + 1)).astype(np.uint64), (self.bytes >> shift & 1).astype(np.int64)
 
 
-def new_tables() -> list[np.ndarray]:
-    return [np.zeros((1 << t, 2), np.float32) for t in TABLES]
+def table_bits(words: int) -> tuple[int, ...]:
+    """log2 of the tables' slots for so many distinct words."""
+    return tuple(min(most, max(least, (max(words, 1) - 1).bit_length() - 1)) for least, most in zip(LEAST_BITS, MOST_BITS, strict=True))
+
+
+def new_tables(bits: tuple[int, ...]) -> list[np.ndarray]:
+    return [np.zeros((1 << t, 2), np.float32) for t in bits]
 
 
-def add_counts(tables: list[np.ndarray], batch: list[bytes], classes: np.ndarray, counts: np.ndarray) -> None:
+def add_counts(tables: list[np.ndarray], bits: tuple[int, ...], batch: list[bytes], classes: np.ndarray, counts: np.ndarray) -> None:
     stream = Stream(batch, classes)
     n = counts.astype(np.float32)[stream.owner]
     for node, bit in stream.bits():
         for k, table in enumerate(tables):
-            np.add.at(table.reshape(-1), stream.slots(k, node) * 2 + bit, n)
+            np.add.at(table.reshape(-1), stream.slots(k, node, bits) * 2 + bit, n)
+
+
+class Prefixes:
+    """Exact bit counts of the whole prefixes of ``SHARED`` bytes or more of a stretch of words."""
+
+    def __init__(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray):
+        stream = Stream(batch, classes)
+        at = np.flatnonzero(stream.place >= SHARED)
+        part, n = stream.take(at), counts[stream.owner[at]]
+        names, bits = [], []
+        for node, bit in part.bits():
+            names.append(part.names(node))
+            bits.append(bit)
+        every = np.concatenate(names) if names else np.zeros(0, np.uint64)
+        self.names, back = np.unique(every, return_inverse=True)
+        size, bit, n = len(self.names), np.concatenate(bits), np.tile(n, 8)
+        self.counts = np.column_stack([np.bincount(back[bit == b], n[bit == b], size) for b in (0, 1)]).astype(np.float32) if size else np.zeros((0, 2), np.float32)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros((len(names), 2), np.float32)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where((self.names[at] == names)[:, None], self.counts[at], np.float32(0))
 
 
 def _levels(prefix: np.ndarray, four: np.ndarray) -> np.ndarray:
@@ -123,82 +164,110 @@ def _map_place(node: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def start_weights() -> np.ndarray:
-    w = np.full((GATES, len(TABLES) + 1), 0.2)
+    w = np.full((GATES, 6), 0.2)
     w[:, -1] = 0
     return w
 
 
-def learn(tables: list[np.ndarray], batches: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map after one online way over the batches (more ways if there are few).
+class Learner:
+    """Weights and map of one online way over batches of training words.
 
     Each event is predicted with one occurrence of itself taken out of the counts. A gate's weights move by its coding error
-    times the inverse of the curvature it has gathered so far, so they settle within few batches.
+    times the inverse of the curvature it has gathered so far, so they settle within few batches. The map starts after
+    ``LEAST_BATCHES`` batches, or after a third of the way if that is sooner.
     """
-    w, map_ = start_weights(), np.zeros((256, BUCKETS, 2))
-    size = w.shape[1]
-    curve = np.tile(np.eye(size) * 50.0, (GATES, 1, 1))
-    upper = [(k, m) for k in range(size) for m in range(k, size)]
-    ways = -(-LEAST_BATCHES // len(batches)) if batches else 0
-    step = 0
-    for _ in range(ways):
-        for batch, classes, counts in batches:
-            stream, step = Stream(batch, classes), step + 1
-            weight = counts[stream.owner]
-            slope, bend = np.zeros_like(w), np.zeros_like(curve)
-            every = np.arange(len(weight))
-            place = np.minimum(stream.place, 2)
-            for node, bit in stream.bits():
-                x = np.ones((size, len(weight)))
-                seen = []
-                for k, table in enumerate(tables):
-                    n = table[stream.slots(k, node)]
-                    n[every, bit] = np.maximum(n[every, bit] - 1, 0)
-                    x[k] = _odds(n)
-                    if k > 2:
-                        seen.append(n.sum(axis=1))
-                gate = place * 24 + _levels(seen[1], seen[0])
-                z = np.einsum("kj,jk->j", x, w[gate])
-                p = _squash(z)
-                error, heavy = weight * (bit - p), weight * p * (1 - p)
-                for k in range(size):
-                    slope[:, k] += np.bincount(gate, error * x[k], GATES)
-                for k, m in upper:
+
+    def __init__(self, tables: list[np.ndarray], bits: tuple[int, ...]):
+        self.tables, self.bits = tables, bits
+        self.weights, self.map, self.seen = start_weights(), np.zeros((256, BUCKETS, 2)), 0.0
+        self.curve = np.tile(np.eye(self.weights.shape[1]) * 50.0, (GATES, 1, 1))
+
+    def step(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray, prefixes: Prefixes, mapped: bool) -> None:
+        w, size = self.weights, self.weights.shape[1]
+        stream = Stream(batch, classes)
+        weight = counts[stream.owner]
+        slope, bend = np.zeros_like(w), np.zeros_like(self.curve)
+        every, place, long = np.arange(len(weight)), np.minimum(stream.place, 2), np.flatnonzero(stream.place >= SHARED)
+        far = stream.take(long)
+        for node, bit in stream.bits():
+            x, found = np.ones((size, len(weight))), []
+            for k, table in enumerate(self.tables):
+                found.append(table[stream.slots(k, node, self.bits)])
+            whole = found[3].copy()
+            whole[long] = prefixes.find(far.names(node[long]))
+            for k, n in enumerate([*found, whole]):
+                n[every, bit] = np.maximum(n[every, bit] - 1, 0)
+                x[k] = _odds(n)
+            gate = place * 24 + _levels(whole.sum(axis=1), found[3].sum(axis=1))
+            z = np.einsum("kj,jk->j", x, w[gate])
+            p = _squash(z)
+            error, heavy = weight * (bit - p), weight * p * (1 - p)
+            for k in range(size):
+                slope[:, k] += np.bincount(gate, error * x[k], GATES)
+                for m in range(k, size):
                     bend[:, k, m] += np.bincount(gate, heavy * x[k] * x[m], GATES)
-                if 3 * step > len(batches):
-                    np.add.at(map_.reshape(-1), _map_place(node, z) * 2 + bit, weight)
-            curve += bend + np.transpose(np.triu(bend, 1), (0, 2, 1))
-            w = np.clip(w + np.linalg.solve(curve, slope[:, :, None])[:, :, 0], -2.0, 3.0)
-    return w, map_
+            if mapped:
+                np.add.at(self.map.reshape(-1), _map_place(node, z) * 2 + bit, weight)
+        self.curve += bend + np.transpose(np.triu(bend, 1), (0, 2, 1))
+        self.weights = np.clip(w + np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0], -2.0, 3.0)
+        self.seen += float(counts.sum())
+
+    def run(self, stretches: Iterator[tuple[list[bytes], np.ndarray]]) -> None:
+        """Once over all stretches, (words, counts by class). A first stretch of few batches is gone over until it has had ``LEAST_BATCHES``."""
+        steps = 0
+        for words_, counts in stretches:
+            batch, classes, n = trained(words_, counts)
+            if not batch:
+                continue
+            prefixes, order = Prefixes(batch, classes, n), np.random.default_rng(7).permutation(len(batch))
+            parts = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+            while True:
+                for part in parts:
+                    self.step([batch[i] for i in part], classes[part], n[part], prefixes, 3 * steps > min(LEAST_BATCHES, len(parts)))
+                    steps += 1
+                if steps >= LEAST_BATCHES:
+                    break
+
+
+def trained(words_: list[bytes], counts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(word, class, count) of the training words of a stretch."""
+    rows, classes = np.nonzero(counts)
+    return [words_[i] for i in rows], classes, counts[rows, classes]
 
 
 @dataclass
 class Model:
-    """What scoring needs: log-odds of each slot, levels of the two longest contexts, weights and the map's probabilities."""
+    """What scoring needs besides the prefixes: log-odds of each slot, levels of four bytes, weights and the map's probabilities."""
 
+    bits: tuple[int, ...]
     odds: list[np.ndarray]
     four: np.ndarray
-    prefix: np.ndarray
+    whole: np.ndarray
     weights: np.ndarray
     map: np.ndarray
     trust: np.ndarray
 
     @classmethod
-    def of(cls, tables: list[np.ndarray], weights: np.ndarray, map_: np.ndarray) -> Model:
-        n = map_.reshape(-1, 2).sum(axis=1)
+    def of(cls, tables: list[np.ndarray], bits: tuple[int, ...], weights: np.ndarray, map_: np.ndarray) -> Model:
+        n, seen = map_.reshape(-1, 2).sum(axis=1), tables[3].sum(axis=1)
         none = np.zeros(1, np.float32)
-        four, prefix = (t.sum(axis=1) for t in tables[3:])
-        return cls([_odds(t).astype(np.float32) for t in tables], _levels(none, four), _levels(prefix, none), weights.astype(np.float32), (map_.reshape(-1, 2)[:, 1] / np.maximum(n, 1)).astype(np.float32), (n / (n + 64) / 2).astype(np.float32))
+        odds = [_odds(t).astype(np.float32) for t in tables]
+        return cls(bits, odds, _levels(none, seen), _levels(seen, none), weights.astype(np.float32), (map_.reshape(-1, 2)[:, 1] / np.maximum(n, 1)).astype(np.float32), (n / (n + 64) / 2).astype(np.float32))
 
-    def log10_bytes(self, stream: Stream, chosen: np.ndarray) -> np.ndarray:
+    def log10_bytes(self, stream: Stream, chosen: np.ndarray, prefixes: Prefixes) -> np.ndarray:
         """log10 probability of the chosen bytes of a stream."""
         part = stream.take(chosen)
         total = np.ones(len(chosen))
-        place = np.minimum(part.place, 2) * 24
+        place, long = np.minimum(part.place, 2) * 24, np.flatnonzero(part.place >= SHARED)
+        far = part.take(long)
         for node, bit in part.bits():
-            slots = [part.slots(k, node) for k in range(len(self.odds))]
-            gate = place + self.prefix[slots[4]] + self.four[slots[3]]
+            slots = [part.slots(k, node, self.bits) for k in range(4)]
+            odds, level = self.odds[3][slots[3]].copy(), self.whole[slots[3]].copy()
+            own = prefixes.find(far.names(node[long]))
+            odds[long], level[long] = _odds(own), _levels(own.sum(axis=1), np.zeros(1, np.float32))
+            gate = place + level + self.four[slots[3]]
             w = self.weights[gate]
-            z = w[:, -1].copy()
+            z = w[:, -1] + w[:, 4] * odds
             for k, at in enumerate(slots):
                 z += w[:, k] * self.odds[k][at]
             p = _squash(z)
@@ -208,20 +277,18 @@ class Model:
         return np.log10(total)
 
 
-def log10_words(model: Model, batch: list[bytes], of: int, size: int = 25_000) -> np.ndarray:
+def log10_words(model: Model, batch: list[bytes], of: int, prefixes: Prefixes) -> np.ndarray:
     """log10 probability of each word under class ``of``, its blank included; the empty word is the end.
 
-    Words that share a prefix share its bytes' figures: each distinct prefix is worked out once for each ``size`` words.
+    Words that share a prefix share its bytes' figures: each distinct prefix is worked out once.
     """
-    out = []
-    for at in range(0, len(batch), size):
-        part = batch[at : at + size]
-        stream = Stream(part, np.full(len(part), of))
-        with np.errstate(over="ignore"):
-            name = (stream.contexts[4] + stream.bytes.astype(np.uint64)) * _M3
-        _, first, back = np.unique(name, return_index=True, return_inverse=True)
-        out.append(np.add.reduceat(model.log10_bytes(stream, first)[back], stream.starts))
-    return np.concatenate(out) if out else np.zeros(0)
+    if not batch:
+        return np.zeros(0)
+    stream = Stream(batch, np.full(len(batch), of))
+    with np.errstate(over="ignore"):
+        name = (stream.contexts[4] + stream.bytes.astype(np.uint64)) * _M3
+    _, first, back = np.unique(name, return_index=True, return_inverse=True)
+    return np.add.reduceat(model.log10_bytes(stream, first, prefixes)[back], stream.starts)
 
 
 def word_counts(docs: DataFrame, text: str, of: str) -> DataFrame:
@@ -248,57 +315,95 @@ def word_counts(docs: DataFrame, text: str, of: str) -> DataFrame:
     return rows.groupBy("word", "of").agg(F.sum("n").alias("n"))
 
 
-def _batches(rows: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    for batch in rows:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+def word_table(rows: DataFrame, classes: int) -> DataFrame:
+    """(word, n0, n1, ...): each distinct word with its training count in each class; class -1 (not for training) counts nothing."""
+    return rows.groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("of") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(classes)))
 
 
-def fit(counts: DataFrame) -> Model:
-    """The model of a table of word counts by class. What reaches the driver is the model, whose size is fixed."""
-    spark = counts.sparkSession
+def _in_stretches(rows: Iterator[pa.RecordBatch], size: int = STRETCH) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(words, counts by class) of sorted rows, cut where the first ``SHARED`` bytes change."""
+    words_: list[bytes] = []
+    held: list[np.ndarray] = []
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        words_ += batch.column(0).to_pylist()
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]]))
+        if len(words_) >= size:
+            cut = len(words_)
+            while cut and words_[cut - 1][:SHARED] == words_[-1][:SHARED]:
+                cut -= 1
+            if cut:
+                counts = np.concatenate(held)
+                yield words_[:cut], counts[:cut]
+                words_, held = words_[cut:], [counts[cut:]]
+    if words_:
+        yield words_, np.concatenate(held)
+
+
+def _dealt(table: DataFrame, tasks: int) -> DataFrame:
+    """Words dealt out by their first bytes and sorted."""
+    return table.repartition(tasks, F.substring("word", 1, SHARED)).sortWithinPartitions("word")
+
+
+def low_tables(table: DataFrame, bits: tuple[int, ...], tasks: int) -> list[np.ndarray]:
+    """The dense tables: each task fills its own, segments are summed by shuffle. What reaches the driver has a bounded size."""
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = new_tables()
-        for batch, classes, n in _batches(rows, 20_000):
-            add_counts(tables, batch, classes, n)
-        for k, table in enumerate(tables):
-            for at in range(0, len(table), SEGMENT):
-                if (part := table[at : at + SEGMENT]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "at", "counts"])
+        tables = new_tables(bits)
+        for words_, counts in _in_stretches(rows):
+            batch, classes, n = trained(words_, counts)
+            if batch:
+                add_counts(tables, bits, batch, classes, n)
+        for k, part in enumerate(tables):
+            for at in range(0, len(part), SEGMENT):
+                if (segment := part[at : at + SEGMENT]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at]), pa.array([zlib.compress(segment.tobytes(), 1)], pa.binary())], names=["k", "at", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c.as_py()), np.float32) for c in group["counts"])
+        total = reduce(np.add, (np.frombuffer(zlib.decompress(c.as_py()), np.float32) for c in group["counts"]))
         return pa.table({"k": group["k"][:1], "at": group["at"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    few = counts.select("word", "of", "n").coalesce(FIT_TASKS)
-    tables = new_tables()
-    for row in few.mapInArrow(build, "k long, at long, counts binary").groupBy("k", "at").applyInArrow(add, "k long, at long, counts binary").collect():
+    out = new_tables(bits)
+    parts = map_rows(table.repartition(tasks), build, "k long, at long, counts binary")
+    for row in parts.groupBy("k", "at").applyInArrow(add, "k long, at long, counts binary").collect():
         part = np.frombuffer(zlib.decompress(row.counts), np.float32).reshape(-1, 2)
-        tables[row.k][row.at : row.at + len(part)] = part
-    shared = spark.sparkContext.broadcast(tables)
+        out[row.k][row.at : row.at + len(part)] = part
+    return out
+
+
+def fit(table: DataFrame, bits: tuple[int, ...], tasks: int) -> Model:
+    """The model of a word table, its whole prefixes aside."""
+    tables = low_tables(table, bits, -(-tasks * TASK_WORDS // TABLE_WORDS))
+    shared = table.sparkSession.sparkContext.broadcast(tables)
 
     def train(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Neighbouring words of the table are in hash order, so a batch is a fair draw.
-        batches = [*islice(_batches(rows), MOST_BATCHES)]
-        if batches:
-            w, map_ = learn(shared.value, batches)
-            n = float(sum(b[2].sum() for b in batches))
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w.tobytes()], pa.binary()), pa.array([map_.astype(np.float64).tobytes()], pa.binary())], names=["n", "weights", "map"])
+        learner = Learner(shared.value, bits)
+        learner.run(_in_stretches(rows))
+        if learner.seen:
+            flat = np.concatenate([[learner.seen], (learner.weights * learner.seen).reshape(-1), learner.map.reshape(-1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "value"])
+
+    sums = map_rows(_dealt(table, tasks), train, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()["value"].to_numpy()
+    shared.destroy()
+    start = start_weights()
+    if not len(sums):
+        return Model.of(tables, bits, start, np.zeros((256, BUCKETS, 2)))
+    return Model.of(tables, bits, (sums[1 : 1 + start.size] / sums[0]).reshape(start.shape), sums[1 + start.size :].reshape(256, BUCKETS, 2))
+
 
-    rows = few.mapInArrow(train, "n double, weights binary, map binary").collect()
-    shared.unpersist()
-    if not rows:
-        return Model.of(tables, start_weights(), np.zeros((256, BUCKETS, 2)))
-    n = np.array([r.n for r in rows])
-    weights = np.tensordot(n / n.sum(), [np.frombuffer(r.weights).reshape(GATES, -1) for r in rows], 1)
-    return Model.of(tables, weights, sum(np.frombuffer(r.map).reshape(256, BUCKETS, 2) for r in rows))
+def word_figures(table: DataFrame, model: Model, live: list[int], tasks: int) -> DataFrame:
+    """(word, n, l0, l1, ...): the training count of every distinct word and its log10 probability under each live class."""
+    sent = table.sparkSession.sparkContext.broadcast(model)
+    names = [f"l{k}" for k in range(len(live))]
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words_, counts in _in_stretches(rows):
+            prefixes = Prefixes(*trained(words_, counts))
+            logs = [log10_words(sent.value, words_, k, prefixes) for k in live]
+            yield pa.RecordBatch.from_arrays([pa.array(words_, pa.binary()), pa.array(counts.sum(axis=1).astype(np.int64)), *map(pa.array, logs)], names=["word", "n", *names])
 
-def _mixture(logs: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log10 of each class's part of a mixture."""
-    return logs + np.log10(np.maximum(share, 1e-300))
+    return materialize(map_rows(_dealt(table, tasks), run, "word binary, n long, " + ", ".join(f"{c} double" for c in names)), "figures")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str | None = "lang", folds: int = 5, held_out: int = 1) -> DataFrame:
@@ -308,8 +413,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str |
     and have their end alone; null keys count as empty text for the remainder; null groups are a class. Repeated rows give
     repeated rows. Without training rows all counts are zero and the model is uninformed.
 
-    The commonest words' figures are broadcast, a fixed number; every other word is looked up exactly, by a join of
-    (row, word, times) with the table of counts. None of those words is common, so no key of that join is hot.
+    The commonest words' figures are broadcast, a fixed number; every other word is looked up by a join of (row, word, times)
+    with the table of figures. None of those words is common, so no key of that join is hot.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     named = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
@@ -319,74 +424,64 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str |
     of = F.lit(len(names))
     for k, name in enumerate(names):
         of = F.when(F.col("named") == name, k).otherwise(of)
-    by_class = materialize(word_counts(learned.withColumn("of", of.cast("int")), "text", "of"), "counts")
-    model = fit(by_class)
-    counts = materialize(by_class.groupBy("word").agg(F.sum("n").alias("n")), "totals")
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    share = np.zeros(len(names) + 1)
-    for r in by_class.where(F.length("word") == 0).collect():
-        share[r.of] = r.n
-    ends = int(share.sum())
-    live = np.flatnonzero(share) if ends else np.arange(1)
-    share = share[live] / ends if ends else np.ones(1)
-    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    listed, times = common["word"].to_pylist(), common["n"].to_numpy().astype(np.float64)
-    own = np.array([log10_words(model, listed, int(k)) for k in live]).reshape(len(live), -1)
-    figures = spark.sparkContext.broadcast((model, listed, np.log10(times + 0.5), own))
-    least = int(times.min()) if len(listed) else 0
+    classes = len(names) + 1
+    # Words of texts that are not for training are scored too, but counted for no class.
+    counted = word_counts(source.withColumn("of", F.when(remainder("key", folds) != held_out, of).otherwise(-1).cast("int")), "text", "of")
+    table = materialize(word_table(counted, classes), "words")
+    seen = F.expr(" + ".join(f"n{k}" for k in range(classes)))
+    sums = table.agg(F.coalesce(F.sum(seen), F.lit(0)).alias("n"), F.count_if(seen > 0).alias("v"), F.count("*").alias("words")).first()
+    ends = table.where(F.length("word") == 0).first()
+    share = np.array([ends[f"n{k}"] for k in range(classes)], np.float64) if ends else np.zeros(classes)
+    n_ends = int(share.sum())
+    live = np.flatnonzero(share).tolist() if n_ends else [0]
+    weight = np.log10(share[live] / n_ends) if n_ends else np.zeros(1)
+    tasks = -(-max(sums.words, 1) // TASK_WORDS)
+    bits = table_bits(sums.v)
+    figures = word_figures(table, fit(table, bits, tasks), live, tasks)
+    discard(table)
+    logs = [f"l{k}" for k in range(len(live))]
+    common = figures.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    listed = common["word"].to_pylist()
+    sent = spark.sparkContext.broadcast((listed, np.column_stack([common["n"].to_numpy() > 0, np.log10(common["n"].to_numpy() + 0.5), *(common[c].to_numpy() for c in logs)])))
+    least = int(common["n"].to_numpy().min()) if len(listed) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, listed, base, own = figures.value
-        at = {w: i for i, w in enumerate(listed)}
-        rare: list[dict[bytes, float]] = [{} for _ in live]
-        end = np.array([log10_words(held, [b""], int(k))[0] for k in live])
+        held, table = sent.value
+        at = {w: i for i, w in enumerate(held)}
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo in range(0, batch.num_rows, 2500):
-                part = batch.slice(lo, 2500)
-                drafts, wanted = [], [set() for _ in live]
+                part, out = batch.slice(lo, 2500), []
                 for value in part.column(1):
                     tokens = words(value.as_py())
+                    tokens.append(b"")
                     i = np.fromiter((at.get(w, -1) for w in tokens), np.int64, len(tokens))
                     others = Counter(tokens[j] for j in np.flatnonzero(i < 0))
-                    i = i[i >= 0]
-                    logs = _mixture(own[:, i].sum(axis=1) + end, share)
-                    likely = np.flatnonzero(logs > logs.max() + FAINT)
-                    for k in likely:
-                        wanted[k].update(w for w in others if w not in rare[k])
-                    drafts.append((len(tokens) + 1, len(i), base[i].sum(), logs, likely, others, sum(map(len, tokens)) + len(tokens) + 1))
-                if sum(map(len, rare)) + sum(map(len, wanted)) > HELD:
-                    rare = [{} for _ in live]
-                    wanted = [{w for d in drafts if k in d[4] for w in d[5]} for k in range(len(live))]
-                for k, found in enumerate(wanted):
-                    if found:
-                        new = sorted(found)
-                        rare[k].update(zip(new, log10_words(held, new, int(live[k])).tolist(), strict=True))
-                out = []
-                for n, known, b, logs, likely, others, size in drafts:
-                    parts = [logs[k] + sum(rare[k][w] * c for w, c in others.items()) for k in likely]
-                    top = max(parts)
-                    out.append((row, n, known, b, top + log10(sum(10 ** (x - top) for x in parts)), size, [*others], [*others.values()]))
+                    out.append((row, len(tokens), sum(map(len, tokens)) + len(tokens), *table[i[i >= 0]].sum(axis=0).tolist(), [*others], [*others.values()]))
                     row += 1
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["key", "row", "n", "known", "base", "score", "size", "words", "times"])
+                kinds = (*[pa.int64()] * 3, *[pa.float64()] * (2 + len(logs)), pa.list_(pa.binary()), pa.list_(pa.int64()))
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["key", "row", "tokens", "size", "known", "base", *logs, "words", "times"])
 
-    schema = f"key {kind}, row long, n long, known long, base double, score double, size long, words array<binary>, times array<long>"
+    schema = f"key {kind}, row long, tokens long, size long, known double, base double, {', '.join(f'{c} double' for c in logs)}, words array<binary>, times array<long>"
     drafts = materialize(map_rows(source.select("key", F.col("text").cast("binary").alias("text")), run, schema), "drafts")
     rare = drafts.select("row", F.explode(F.arrays_zip("words", "times")).alias("z")).select("row", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
     # Words up to the broadcast ones' least count hold all that were not broadcast.
-    found = rare.join(counts.where(F.col("n") <= least), "word", "left").select("row", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("base"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"))
-    more = found.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
-    whole = drafts.drop("words", "times").join(more, "row", "left")
+    values = {"known": F.when(F.col("n") > 0, 1).otherwise(0), "base": F.log10(F.col("n") + 0.5)} | {c: F.col(c) for c in logs}
+    found = rare.join(figures.where(F.col("n") <= least), "word").groupBy("row").agg(*(F.sum(F.col("times") * v).alias(f"o_{c}") for c, v in values.items()))
+    whole = drafts.drop("words", "times").join(found, "row", "left").withColumns({c: F.col(c) + F.coalesce(f"o_{c}", F.lit(0.0)) for c in values})
+    # Log10 of the sum over classes.
+    parts = F.array(*(F.col(c) + float(w) for c, w in zip(logs, weight, strict=True)))
+    top = F.array_max(parts)
+    mixed = top + F.log10(F.aggregate(F.transform(parts, lambda x: F.pow(F.lit(10.0), x - top)), F.lit(0.0), lambda a, x: a + x))
     size = float(np.log10(max(sums.n + 0.5 * (sums.v + 1), 0.5)))
     return whole.select(
         F.col("key").alias(key),
         (remainder("key", folds) == held_out).alias("held_out"),
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more_known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("known").cast("long").alias("n_known"),
         F.lit(int(sums.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + log10(ends + 0.5) - F.col("n") * size).alias("base_score"),
-        "score",
-        (-F.col("score") * log2(10) / F.col("size")).alias("bits_per_byte"),
+        (F.col("base") - F.col("tokens") * size).alias("base_score"),
+        mixed.alias("score"),
+        (-mixed * log2(10) / F.col("size")).alias("bits_per_byte"),
     )

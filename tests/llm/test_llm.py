@@ -51,17 +51,49 @@ def test_scores_have_exact_bases(spark, monkeypatch):
 
 
 def test_word_model_is_a_distribution():
-    """The bytes that may follow a prefix have probabilities that sum to one."""
+    """The bytes that may follow a prefix have probabilities that sum to one, before and beyond the dense tables' reach."""
     import numpy as np
 
-    tables = mixing.new_tables()
-    batch, n = [b"the", b"then", b"than", b""], np.array([9.0, 3.0, 2.0, 4.0])
-    mixing.add_counts(tables, batch, np.zeros(4), n)
-    model = mixing.Model.of(tables, *mixing.learn(tables, [(batch, np.zeros(4), n)]))
-    ends = np.array([len(b"th")])
-    total = sum(10 ** model.log10_bytes(mixing.Stream([b"th" + bytes([b])], np.zeros(1)), ends)[0] for b in range(256) if b != 32)
-    total += 10 ** model.log10_bytes(mixing.Stream([b"th"], np.zeros(1)), ends)[0]
-    assert total == pytest.approx(1, abs=1e-5)
+    bits = mixing.table_bits(4)
+    tables = mixing.new_tables(bits)
+    batch, classes, n = [b"the", b"thence", b"thenceforth", b""], np.zeros(4, int), np.array([9.0, 3.0, 2.0, 4.0])
+    mixing.add_counts(tables, bits, batch, classes, n)
+    learner, prefixes = mixing.Learner(tables, bits), mixing.Prefixes(batch, classes, n)
+    learner.run(iter([(batch, n[:, None])]))
+    model = mixing.Model.of(tables, bits, learner.weights, learner.map)
+    for stem in (b"th", b"thencef"):
+        end = np.array([len(stem)])
+        total = sum(10 ** model.log10_bytes(mixing.Stream([stem + bytes([b])], np.zeros(1)), end, prefixes)[0] for b in range(256) if b != 32)
+        total += 10 ** model.log10_bytes(mixing.Stream([stem], np.zeros(1)), end, prefixes)[0]
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_prefix_counts_equal_brute_force():
+    import numpy as np
+
+    r = random.Random(3)
+    batch = sorted({"".join(r.choice("abé") for _ in range(r.randint(0, 12))).encode() for _ in range(200)})
+    n = np.array([float(r.randint(1, 9)) for _ in batch])
+    prefixes = mixing.Prefixes(batch, np.zeros(len(batch), int), n)
+    for w in batch[::17]:
+        stream = mixing.Stream([w], np.zeros(1))
+        for step, (node, bit) in enumerate(stream.bits()):
+            found = prefixes.find(stream.names(node))
+            for place in range(mixing.SHARED, len(w) + 1):
+                after = [(v + b" ")[place] for v in batch if len(v) >= place and v[:place] == w[:place]]
+                weight = [n[i] for i, v in enumerate(batch) if len(v) >= place and v[:place] == w[:place]]
+                want = [sum(x for x, c in zip(weight, after, strict=True) if (1 << step | c >> 8 - step) == node[place] and c >> 7 - step & 1 == b) for b in (0, 1)]
+                assert found[place].tolist() == want
+
+
+def test_no_score_depends_on_what_is_broadcast_or_on_hashing_of_rows(spark, monkeypatch):
+    texts = [*sample(80), *ODD]
+    table = docs(spark, texts).withColumn("lang", queries.F.expr("CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END"))
+    want = {r.doc_id: r.score for r in mixing.score(table).collect()}
+    for common in (1, 40):
+        monkeypatch.setattr(mixing, "COMMON", common)
+        got = {r.doc_id: r.score for r in mixing.score(table.repartition(3)).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
 def test_scores_of_nothing(spark):
