@@ -1,15 +1,17 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of pre-tokens.
 
-A text is cut into pre-tokens; a pre-token's count is the number of tokens on its best path. Distinct pre-tokens are walked
-in sorted order, which is the depth-first walk of their trie: forward scores along the shared prefix with the pre-token
-before are still on the path and are not computed again, and each terminal's count is stored. Memory is one path and a
-bounded table of terminal counts.
+A text is cut into pre-tokens; a pre-token's count is the number of tokens on its best path. A task inserts each distinct
+pre-token it meets into its trie. A node is a prefix and holds that prefix's best forward score and count, worked out once
+from its ancestors' when the node is made; a pre-token's count is stored at its terminal. The trie is emptied when it has
+``MAX_NODES``; that changes no count.
+
+The vocabulary is a public one and is not trained here, nor are its scores: they follow Zipf's law over its ranks.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from math import log
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.bpe import PATTERN
 from spanloom.llm.common import map_rows
 
-MAX_TERMINALS = 600_000
+MAX_NODES = 400_000
 #: Flattens the rank-frequency curve at its head.
 ZIPF_SHIFT = 2.7
 
@@ -48,48 +50,49 @@ class TrieCounter:
             for b in reversed(token):
                 node = node.setdefault(b, {})
             node[-1] = score
+        self.clear()
+
+    def clear(self) -> None:
+        """The trie: children of each node by (node, byte), and forward scores and counts of nodes; 0 is the root."""
+        self.children: dict[int, int] = {}
+        self.best, self.count = [0.0], [0]
         self.terminals: dict[str, int] = {}
 
-    def extend(self, word: bytes, best: list[float], count: list[int]) -> None:
-        """Push forward scores and counts of all prefixes of ``word`` that are longer than the path."""
-        root = self.backward
-        for end in range(len(best), len(word) + 1):
-            node, at, top, n = root, end - 1, None, 0
-            while at >= 0 and (node := node.get(word[at])) is not None:
-                if (score := node.get(-1)) is not None:
-                    s, k = best[at] + score, count[at] + 1
-                    if top is None or s > top + 1e-12 or (s > top - 1e-12 and k <= n):
-                        top, n = s, k
-                at -= 1
-            best.append(top)
-            count.append(n)
-
-    def add(self, words: Iterable[str]) -> None:
-        best, count, last = [0.0], [0], b""
-        for raw, word in sorted((w.encode(), w) for w in words):
-            shared, most = 0, min(len(raw), len(last))
-            while shared < most and raw[shared] == last[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            self.extend(raw, best, count)
-            self.terminals[word] = count[-1]
-            last = raw
-
-    def count_batch(self, texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-        """(pre-tokens, tokens) of each text; the new pre-tokens of up to ``chars`` characters of texts are sorted together."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
-                size += len(texts[end])
-                end += 1
-            found = [_FIND(t) for t in texts[at:end]]
-            if len(self.terminals) > MAX_TERMINALS:
-                self.terminals.clear()
-            self.add({w for f in found for w in f if w not in self.terminals})
-            for f in found:
-                yield len(f), sum(map(self.terminals.__getitem__, f))
-            at = end
+    def _forward(self, word: bytes, path: list[int]) -> None:
+        """A node for the prefix of ``word`` one byte longer than the path, from the scores of its ancestors."""
+        end = len(path)
+        node, at, top, n = self.backward, end - 1, None, 0
+        while at >= 0 and (node := node.get(word[at])) is not None:
+            if (score := node.get(-1)) is not None:
+                s, k = self.best[path[at]] + score, self.count[path[at]] + 1
+                if top is None or s > top + 1e-12 or (s > top - 1e-12 and k <= n):
+                    top, n = s, k
+            at -= 1
+        self.best.append(top)
+        self.count.append(n)
+
+    def insert(self, word: str) -> int:
+        """The count of a pre-token, stored at its terminal."""
+        raw, path = word.encode(), [0]
+        for byte in raw:
+            step = path[-1] << 8 | byte
+            node = self.children.get(step)
+            if node is None:
+                node = self.children[step] = len(self.best)
+                self._forward(raw, path)
+            path.append(node)
+        n = self.terminals[word] = self.count[path[-1]]
+        return n
+
+    def counts(self, text: str) -> tuple[int, int]:
+        """(pre-tokens, tokens) of a text."""
+        found = _FIND(text)
+        if len(self.best) > MAX_NODES:
+            self.clear()
+        known = [*map(self.terminals.get, found)]
+        if None in known:
+            known = [self.terminals.get(w) or self.insert(w) if n is None else n for w, n in zip(found, known, strict=True)]
+        return len(found), sum(known)
 
 
 _FIND = regex.compile(PATTERN).findall
@@ -108,8 +111,9 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
         counter = _counter(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            pairs = [*counter.count_batch(texts)]
+            pairs = [*map(counter.counts, texts)]
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in ([p[0] for p in pairs], [p[1] for p in pairs], size))], names=["key", "n_pretokens", "n_tokens", "n_bytes"])
+        counter.clear()
 
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, n_pretokens long, n_tokens long, n_bytes long").withColumnRenamed("key", key)

@@ -396,11 +396,63 @@ def test_maps_are_kept_and_edited(spark, tmp_path):
 def test_structure_of_pages():
     page = '<html><body class="nav-open"><header><h1>Site</h1></header><div class="cookie-notice">We use <b>cookies</b></div><div id=content><p>Hello &lt;b&gt; <a href="x">world</a> &amp; co<p class="ad">Buy<p>Second</div><aside>side</aside><form>q</form><div class=comments><article class="comment">c1</article></div><footer>f'
     assert html.parse(page).texts("open") == ["Hello <b> world & co", "Second"]
-    page = '<main><article><header><div>By X</div><h1>Title</h1></header><p>One<!-- no --><nav>n</nav><div class="related">r</div><p>Two <span class="ad">AD</span> end<br>line</p><script>var t="</p>";</script></article></main><div>out</div><p>x &am'
+    page = '<main><article><header><div>By X</div><h1>Title</h1></header><p>One<!-- no --><nav>n</nav><div class="comment">r</div><p>Two <span class="ad">AD</span> end<br>line</p><script>var t="</p>";</script></article></main><div>out</div><p>x &am'
     assert html.parse(page).texts("main") == ["Title", "One", "Two end line"]
     assert html.parse("").blocks == [] and html.parse('a <p title="unbal>text</p> b').texts("open") == ["a", "text", "b"]
 
 
+def test_hidden_text_goes_and_subjects_stay():
+    assert html.parse("<p>one <span hidden>secret</span> two</p>").texts("open") == ["one two"]
+    page = '<article><p>A</p><div class="related work"><p>B</p></div><section id="social-effects">C</section><p class="share-price">D</p><div class="notice-board">E</div><div class="ad">F</div></article>'
+    assert html.parse(page).blocks == [("main", "A"), ("doubt", "B"), ("doubt", "C"), ("doubt", "D"), ("doubt", "E"), ("chrome", "F")]
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    for make in (lambda n: "<div>" * n + "x", lambda n: "<div>" * n + "</p></i></section>" * n, lambda n: "<p title=\"x> y " * n, lambda n: "<b class=x>" * n + "x"):
+        took = []
+        for n in (4_000, 32_000):
+            start = time.perf_counter()
+            html.parse(make(n))
+            took.append(time.perf_counter() - start)
+        assert took[1] < 24 * took[0] + 0.5
+
+
+def test_repeated_runs_equal_brute_force(spark):
+    r = random.Random(41)
+    phrase = [[f"p{k}t{i}" for i in range(r.randint(4, 14))] for k in range(6)]
+    own = [[f"u{r.randint(0, 10**6)}" for _ in range(r.randint(2, 9))] for _ in range(60)]
+    pages = []
+    for i in range(30):
+        parts = [r.choice(phrase) if r.random() < 0.5 else r.choice(own) for _ in range(r.randint(1, 6))]
+        pages.append((i, f"http://h{i % 3}.example/{i}", parts))
+    rows = [(i, u, "<body>" + "".join(f"<p>{' '.join(x)}</p>" for x in parts) + "</body>") for i, u, parts in pages]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    flat = {i: [t for x in parts for t in x] for i, _, parts in pages}
+    for i, _, parts in pages:
+        tokens, covered = flat[i], set()
+        for a in range(max(1, len(tokens) - html.REPEAT + 1)):
+            window = tokens[a : a + html.REPEAT]
+            for j in range(i % 3, 30, 3):
+                v = flat[j]
+                windows = [v[b : b + html.REPEAT] for b in range(max(1, len(v) - html.REPEAT + 1))]
+                if v != tokens and window in windows:
+                    covered |= {*range(a, a + len(window))}
+        left, at = [], 0
+        for x in parts:
+            left.append(" ".join(t for k, t in enumerate(x, at) if k not in covered))
+            at += len(x)
+        assert got[i] == "\n".join(t for t in left if t)
+
+
+def test_doubtful_blocks_of_articles_go_if_the_host_repeats_them(spark):
+    page = lambda i: f'<article><p>Body {i}</p><div class="share">Share this on every network</div><div class="social-effects">Effect number {i} of many</div></article>'
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(3)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Body {i}\nEffect number {i} of many" for i in range(3)}
+
+
 def test_host_boilerplate_goes_and_unique_runs_stay(spark):
     boiler = "Please subscribe to our weekly letter and get news about everything that matters"
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
