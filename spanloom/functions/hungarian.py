@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The language's sounds and endings.
@@ -223,3 +223,42 @@ def paradigms(names: DataFrame, column: str = "name", organisation: str | None =
 
     is_org = F.col(organisation) if organisation else F.lit(False)
     return names.select(F.col(column).alias("name"), is_org.alias("o")).distinct().mapInArrow(run, "name string, case string, form string")
+
+
+def numerals(rows: DataFrame, number: str, after: str = "") -> DataFrame:
+    """``rows`` with in_words, and read_to: how far the words reach when they are read back from a text in which ``after`` follows.
+
+    Both are worked out once for each distinct number, a dimension table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [n for n in batch.column(0).to_pylist() if n is not None]
+            said = [number_words(n) for n in numbers]
+            reached = [read_number_words(w + after, 0, n) for w, n in zip(said, numbers, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(said, pa.string()), pa.array(reached, pa.int32())], names=[number, "in_words", "read_to"])
+
+    each = rows.select(F.col(number).cast("long").alias(number)).distinct().mapInArrow(run, f"`{number}` long, in_words string, read_to int")
+    return rows.join(each, number, "left")
+
+
+def words_of(number: Column) -> Column:
+    """A whole number in words, in columns alone: as ``number_words``, for numbers below 10^15."""
+    pick = lambda words, i: F.get(F.array(*map(F.lit, words)), i.cast("int"))
+
+    def three(n: Column) -> Column:
+        hundreds, tens, ones = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+        high = F.when(hundreds == 0, "").when(hundreds == 1, "száz").otherwise(F.concat(pick([_joined(w) for w in ONES], hundreds), F.lit("száz")))
+        low = F.when(tens == 0, pick(ONES, ones)).when(ones == 0, pick(TENS, tens)).otherwise(F.concat(pick([BEFORE_ONES.get(i, w) for i, w in enumerate(TENS)], tens), pick(ONES, ones)))
+        return F.concat(high, low)
+
+    n = F.abs(number).cast("long")
+    rest, parts = n, []
+    for size, name in GROUPS:
+        count, rest = F.floor(rest / size), rest % size
+        said = F.when(count == 1, "").otherwise(three(count)) if name == "ezer" else three(count)
+        parts.append(F.when(count > 0, F.concat(F.regexp_replace(said, "kettő$", "két"), F.lit(name))))
+    parts.append(F.when(rest > 0, three(rest)))
+    joined = F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), "-")
+    words = F.when(n > 2000, joined).otherwise(F.replace(joined, F.lit("-"), F.lit("")))
+    return F.when(number == 0, "nulla").when(number < 0, F.concat(F.lit("mínusz "), words)).otherwise(words)

@@ -1,4 +1,4 @@
-"""Replacements for hits in four modes (theme, role, type, numbered) and both label languages; joins on small dimensions."""
+"""Replacements for hits by a theme's names; joins on small dimensions. Labels are in ``labels``."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.hungarian import CASES, inflect, inflect_name
+from spanloom.functions.hungarian import CASES, inflect_name
 from spanloom.functions.text import match_case
 from spanloom.operators.names import Entity, cores
 
-#: Labels by kind in both languages, how their words are read when they take endings, and rendered cases.
-LABELS = {"hu": {"person": "NÉV", "org": "SZERVEZET", "place": "HELY", "identifier": "AZONOSÍTÓ"}, "en": {"person": "NAME", "org": "ORGANISATION", "place": "PLACE", "identifier": "IDENTIFIER"}}
+#: Cases that are rendered.
 RENDERED = tuple(c for c in CASES if c not in ("TRANS", "FAM", "WIFE"))
 
 
@@ -45,30 +44,6 @@ def render_theme(hits: DataFrame, table: DataFrame, case: str, manual: DataFrame
     return joined.withColumn("replacement", F.when(F.col("upper"), F.upper("form")).otherwise(match_case(F.col("surface"), F.col("form")))).drop("form")
 
 
-def label(kind: str, number: int | None, language: str = "hu") -> str:
-    return f"[{LABELS[language][kind]}{f'-{number}' if number else ''}]"
-
-
-def with_ending(text: str, spoken: str, case: str) -> str:
-    """A label with its ending behind a hyphen, chosen as its word is spoken."""
-    ending = inflect(spoken.lower(), case)[len(spoken) :] if case != "NOM" else ""
-    plain = {"ACC": "t"}.get(case) or ending.lstrip("-")
-    return f"{text}-{plain}" if ending else text
-
-
-def label_table(language: str = "hu") -> list[tuple[str, str, str]]:
-    """(kind, case, label): type labels in all rendered cases."""
-    return [(k, c, with_ending(label(k, None, language), LABELS["hu"][k], c)) for k in LABELS[language] for c in RENDERED]
-
-
 def role_table(roles: list[str]) -> list[tuple[str, str, str]]:
     """(role, case, form): role words in all rendered cases."""
     return [(r, c, inflect_name(r, c)) for r in roles for c in RENDERED]
-
-
-def numbered(hits: DataFrame, numbers: DataFrame, case: str, language: str = "hu") -> DataFrame:
-    """Hits with numbered labels; ``numbers`` has (case, entity_id, kind, number)."""
-    shown = F.lit(None).cast("string")
-    for kind, word in LABELS[language].items():
-        shown = F.when(F.col("kind") == kind, F.lit(word)).otherwise(shown)
-    return hits.join(numbers.select(case, "entity_id", "kind", "number"), [case, "entity_id"]).withColumn("replacement", F.concat(F.lit("["), shown, F.lit("-"), F.col("number").cast("string"), F.lit("]")))

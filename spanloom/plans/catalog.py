@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checksums, hungarian, keyed, text
 from spanloom.operators import amounts, assign, dates, decisions, identifiers, names, ner, parties, render, spans, verify
+from spanloom.plans import golds
 from spanloom.plans.carrier import claims, claims_sql, digits, people, people_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,10 +389,27 @@ def verification_report(spark, sf_dir):
     return verify.report(rows, ["k"], literals="known")
 
 
-@query()
+def three_digits_sql(n: str) -> str:
+    """Words of a number below a thousand."""
+    pick = lambda words, i: f"CASE {i} " + " ".join(f"WHEN {j} THEN '{w}'" for j, w in enumerate(words)) + " END"
+    ones = ("", "egy", "kettő", "három", "négy", "öt", "hat", "hét", "nyolc", "kilenc")
+    whole = ("", "tíz", "húsz", "harminc", "negyven", "ötven", "hatvan", "hetven", "nyolcvan", "kilencven")
+    before = ("", "tizen", "huszon", *whole[3:])
+    hundreds = ("", "száz", "kétszáz", *(f"{w}száz" for w in ones[3:]))
+    t, o = f"({n} // 10 % 10)", f"({n} % 10)"
+    return f"({pick(hundreds, f'({n} // 100)')} || CASE WHEN {t} = 0 THEN {pick(ones, o)} WHEN {o} = 0 THEN {pick(whole, t)} ELSE {pick(before, t)} || {pick(ones, o)} END)"
+
+
+def _numbers_sql() -> str:
+    low = lambda n: f"regexp_replace({three_digits_sql(n)}, 'kettő$', 'két')"
+    return f"""WITH {claims_sql()}, g AS (SELECT k, amount, amount // 1000000000 AS b, amount // 1000000 % 1000 AS m, amount // 1000 % 1000 AS t, amount % 1000 AS r FROM claims)
+SELECT k, amount, CASE WHEN amount = 0 THEN 'nulla' ELSE replace(array_to_string(list_filter([CASE WHEN b > 0 THEN {low('b')} || 'milliárd' END, CASE WHEN m > 0 THEN {low('m')} || 'millió' END,
+CASE WHEN t = 1 THEN 'ezer' WHEN t > 1 THEN {low('t')} || 'ezer' END, CASE WHEN r > 0 THEN {three_digits_sql('r')} END], lambda x: x IS NOT NULL), '-'), CASE WHEN amount > 2000 THEN '*' ELSE '-' END, '') END AS in_words FROM g"""
+
+
+@query(_numbers_sql())
 def number_words(spark, sf_dir):
-    words = F.pandas_udf(lambda s: s.map(hungarian.number_words), "string")
-    return claims(spark, sf_dir).select("k", "amount").withColumn("in_words", words("amount"))
+    return claims(spark, sf_dir).select("k", "amount", hungarian.words_of(F.col("amount")).alias("in_words"))
 
 
 @query()
@@ -451,3 +469,7 @@ def shared_roots(spark, sf_dir):
 @query(f"WITH {people_sql()} SELECT k, kind, CASE WHEN kind IN ('helyrajzi_szam', 'cim', 'iranyitoszam') THEN 'place' ELSE 'other' END AS label, 'AZONOSITO:' || kind AS raw_label FROM people")
 def entity_shapes(spark, sf_dir):
     return identifiers.as_entities(identifiers.resolved(people(spark, sf_dir), ["k"])).select("k", "kind", "label", "raw_label")
+
+
+QUERIES |= golds.QUERIES
+SQL |= golds.SQL
