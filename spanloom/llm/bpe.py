@@ -23,7 +23,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import chain
 
 import pyarrow as pa
@@ -254,8 +253,8 @@ class Decoder:
         yield self.feed((), True)
 
 
-@cache
 def _machine(path: str) -> tuple[Encoder, Decoder]:
+    """A task's own, so that its worker, which lives on for other work, is left with nothing of it."""
     merges = Merges.from_json(path)
     return Encoder(merges), Decoder(merges)
 
@@ -287,7 +286,6 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             ids = pa.array([encoder.encode(v.as_py() or "") for v in batch.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
-        encoder.pieces.clear()
 
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
@@ -319,7 +317,6 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
             rows = [_digests(encoder, decoder, value.as_py() or "") for value in batch.column(1)]
             n, a, b, size = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(size, pa.int64())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-        encoder.pieces.clear()
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema).withColumnRenamed("key", key)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 from math import log
 
 import pyarrow as pa
@@ -98,7 +97,6 @@ class TrieCounter:
 _FIND = regex.compile(PATTERN).findall
 
 
-@cache
 def _counter(path: str) -> TrieCounter:
     return TrieCounter(zipf_scores(read_ranks(path)))
 
@@ -114,6 +112,5 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
             pairs = [*map(counter.counts, texts)]
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in ([p[0] for p in pairs], [p[1] for p in pairs], size))], names=["key", "n_pretokens", "n_tokens", "n_bytes"])
-        counter.clear()
 
     return map_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, n_pretokens long, n_tokens long, n_bytes long").withColumnRenamed("key", key)
