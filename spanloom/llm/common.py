@@ -20,14 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A temporary one is set where it is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets a
+    temporary one; on a cluster, where executors don't see each other's folders, that is an error."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
-        spark.sparkContext.setCheckpointDir(at)
+        context.setCheckpointDir(at)
     return at
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the session's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
@@ -36,8 +46,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -129,8 +129,10 @@ FROM d LEFT JOIN spots USING (rid) LEFT JOIN named USING (rid)"""
 def accept(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item.
 
-    The list of the others is broadcast up to ``max_broadcast`` rows and joined by shuffle beyond.
+    Null texts have no words and stay; repeated rows stay or go together; with no items all rows stay. The list of the others
+    is broadcast up to ``max_broadcast`` rows and joined by shuffle beyond.
     """
-    hit = materialize(matches(docs, items, key, text).where(F.size("spans") > 0).select(F.col("key").alias("_hit_key"), F.col("mark").alias("_hit_mark")), "hit")
+    hit = materialize(matches(docs, items, key, text).where(F.size("spans") > 0).select(F.col("key").alias("hit_key"), F.col("mark").alias("hit_mark")), "hit")
     hit = F.broadcast(hit) if hit.count() <= max_broadcast else hit
-    return docs.join(hit, docs[key].eqNullSafe(F.col("_hit_key")) & (F.xxhash64(docs[text]) == F.col("_hit_mark")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
+    return rows.join(hit, F.col("key").eqNullSafe(F.col("hit_key")) & (F.col("mark") == F.col("hit_mark")), "left_anti").select("row.*")

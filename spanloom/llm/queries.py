@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, chat, decontaminate, html, mixing, quality, sharding, simhash, tokencount, toxicity
-from spanloom.llm.common import shared_dir, table
+from spanloom.llm.common import delete_at_exit, shared_dir, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -50,10 +50,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map's first version is stored in the shared folder and read back from there."""
+    """Law ``bytes``. The map's first version is stored in the shared folder, read back from there, and deleted with the session.
+    Equal texts are dealt out by their keys like any others: a group of copies may be a third of all bytes."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     sharding.store(sharding.slot_map(sharding.slot_sizes(docs), 24), at)
+    delete_at_exit(spark, at)
     placed = sharding.assign(docs, sharding.load(spark, at))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 

@@ -38,6 +38,7 @@ def slot_map(sizes: DataFrame, shards: int, previous: DataFrame | None = None, t
 
     One fold over the slots, largest first: a slot stays in its shard while that stays within its share, else it goes to the
     shard with the least bytes. Without a previous map all slots are placed anew. The fold runs over a fixed number of slots.
+    Slots of equal size go by number, shards of equal load likewise; without records every slot is of size zero and placed.
     """
     before = previous.select("vslot", F.col("shard").alias("old"), F.col("version").alias("was")) if previous is not None else sizes.select("vslot", F.lit(None).cast("int").alias("old"), F.lit(0).alias("was"))
     entry = F.struct((-F.col("bytes")).alias("less"), "vslot", "bytes", "n_rows", "old")

@@ -395,9 +395,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     label = similar_groups(docs, text, width, similarity)
     order = F.struct(F.col("key").isNull().alias("null"), "key", "node")
-    rows = docs.select(F.col(key).alias("key"), _node(text).alias("node"))
-    kept = rows.join(label, "node").groupBy("label").agg(F.min(order).alias("k")).select("k.*")
-    kept = materialize(kept.select(F.col("node").alias("_kept_node"), F.col("key").alias("_kept_key")), "kept")
-    alone = docs.join(small(kept), (_node(text) == F.col("_kept_node")) & F.col(key).eqNullSafe(F.col("_kept_key")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), _node(text).alias("node"))
+    kept = rows.select("key", "node").join(label, "node").groupBy("label").agg(F.min(order).alias("k")).select("k.*")
+    kept = materialize(kept.select(F.col("node").alias("kept_node"), F.col("key").alias("kept_key")), "kept")
+    alone = rows.join(small(kept), (F.col("node") == F.col("kept_node")) & F.col("key").eqNullSafe(F.col("kept_key")), "left_semi")
     repeated = rows.groupBy("key", "node").count().where("count > 1").limit(1).count()
-    return alone.withColumn("_kept_node", _node(text)).dropDuplicates([key, "_kept_node"]).drop("_kept_node") if repeated else alone
+    return (alone.dropDuplicates(["key", "node"]) if repeated else alone).select("row.*")

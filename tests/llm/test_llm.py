@@ -234,6 +234,14 @@ def test_repeated_rows_do_not_cost_other_rows_of_their_key(spark):
 # 4
 
 
+def test_columns_may_have_any_name(spark):
+    table = docs(spark, ["one two three four five six", "one two three four five six", None]).selectExpr("*", "1 AS _kept_node", "2 AS kept_key", "3 AS hit_key", "4 AS mark", "5 AS row", "6 AS _row")
+    items = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (simhash.deduplicate(table), decontaminate.accept(table, items), quality.accept(table), toxicity.accept(table, labels)):
+        assert out.columns == table.columns and out.count() <= 3
+
+
 def test_measures(spark):
     texts = [*sample(40, 6), *ODD, "a b c a b c", "a a a a a", "x\nx\n \n \ny\nx", "# * $ <b>", "one two three four one two three"]
     got = {x.doc_id: x for x in quality.judged(docs(spark, texts)).collect()}
@@ -574,6 +582,20 @@ def test_bad_bytes_become_replacement_marks():
 # pipeline
 
 
+def test_pipeline_takes_nulls_repeats_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, " ".join(f"w{i}" for i in range(80)), None, "s", 1), (7, " ".join(f"v{i}" for i in range(80)), None, "s", 1), (7, " ".join(f"w{i}" for i in range(80)), None, "s", 1)], real.schema)
+    for no, table in enumerate((odd.union(odd), real.limit(0))):
+        at = tmp_path / str(no)
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+        table.write.parquet(f"{at}/documents.parquet")
+        rows = corpus_pipeline.run(spark, str(at)).collect()
+        assert len(rows) == (2 if no == 0 else 0) and all(r.n_tokens > 80 for r in rows)
+
+
 def test_pipeline_runs_and_its_decisions_hold(spark):
     import corpus_pipeline
 
