@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import hungarian
-from spanloom.operators import amounts, dates, identifiers, labels, names, ner, parties, render, themes, verify
+from spanloom.operators import amounts, dates, identifiers, labels, merging, names, ner, parties, render, shaping, themes, verify
 from spanloom.plans.carrier import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,3 +319,134 @@ PIECES = (
 def wordpieces(spark, sf_dir):
     tokenizer = ner.WordPiece({"[UNK]": 0, "ko": 1, "##vács": 2, ".": 3})
     return ner.tokenize(inputs(spark, sf_dir, "text string", [r[:1] for r in PIECES]), ["k"], tokenizer).select("k", F.col("token_no").alias("no"), "piece", "start", "end")
+
+
+#: (text, start, end, trimmed start, trimmed end)
+SPANS = (("a „Kovács János”, b", 2, 18, 3, 15), ("Kovács", 0, 6, 0, 6), ("( - )", 0, 5, 5, 5), ("x Nagy. ", 1, 8, 2, 6))
+
+
+@gold("trimmed_spans", len(SPANS), ["start INT", "end INT"], [(i, *r[3:]) for i, r in enumerate(SPANS)])
+def trimmed_spans(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "text string, start int, end int", [r[:3] for r in SPANS])
+    return rows.select("k", shaping.trim_span(F.col("text"), F.col("start"), F.col("end")).alias("s")).select("k", "s.start", "s.end")
+
+
+#: tokens (label, score, start, end), groups (label, start, end, score, kind)
+BIO = (
+    ([("B-PER", 0.75, 0, 6), ("I-PER", 0.25, 7, 12), ("O", 0.9, 13, 15), ("B-ORG", 0.5, 16, 20)], [("PER", 0, 12, 0.5, "person"), ("ORG", 16, 20, 0.5, "org")]),
+    ([("B-PER", 0.5, 0, 3), ("B-PER", 1.0, 4, 9), ("B-PER", 0.5, 12, 15)], [("PER", 0, 9, 0.75, "person"), ("PER", 12, 15, 0.5, "person")]),
+    ([("I-XX", 0.5, 0, 3), ("", 1.0, 4, 9), ("I-LOC", 0.25, 12, 15)], [("XX", 0, 3, 0.5, None), ("LOC", 12, 15, 0.25, "place")]),
+)
+
+
+@gold("bio_averages", len(BIO), ["label VARCHAR", "start INT", "end INT", "score DOUBLE", "kind VARCHAR"], [(i, *g) for i, r in enumerate(BIO) for g in r[1]])
+def bio_averages(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "n int", [(len(r[0]),) for r in BIO]).select("k", "case_no")
+    tokens = spark.createDataFrame([(i, no, *t) for i, r in enumerate(BIO) for no, t in enumerate(r[0])], "case_no int, no int, label string, score double, start int, end int")
+    return shaping.map_labels(shaping.group_bio(rows.join(F.broadcast(tokens), "case_no"), ["k"])).select("k", "label", "start", "end", "score", "kind")
+
+
+#: (logits, label, score)
+LOGITS = (((0.0, 0.0), "O", 0.5), ((-5.0, 0.0, 0.0), "B-PER", 0.4983212), ((1.0,), "O", 1.0))
+
+
+@gold("likeliest_labels", len(LOGITS), ["label VARCHAR", "score DOUBLE"], [(i, *r[1:]) for i, r in enumerate(LOGITS)])
+def likeliest_labels(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "logits array<double>", [(list(r[0]),) for r in LOGITS])
+    best = rows.select("k", shaping.softmax_best(F.col("logits"), ["O", "B-PER", "I-PER"]).alias("b"))
+    return best.select("k", "b.label", F.round("b.score", 7).alias("score"))
+
+
+#: (text, cleaned, places)
+CLEANED = ((" a  b ,c ( d )", "a b,c (d)", "0,0,1,1,2,3,3,4,5,6,7,7,8,8,9"), ("ab", "ab", "0,1,2"), ("", "", "0"))
+
+
+@gold("cleaned_texts", len(CLEANED), ["cleaned VARCHAR", "places VARCHAR"], [(i, *r[1:]) for i, r in enumerate(CLEANED)])
+def cleaned_texts(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "text string", [r[:1] for r in CLEANED])
+    places = F.array_join(F.transform(shaping.cleaned_places(F.col("text")), lambda x: x.cast("string")), ",")
+    return rows.select("k", shaping.clean_spaces(F.col("text")).alias("cleaned"), places.alias("places"))
+
+
+#: (name, gender, surname, given, maiden, wife_of)
+FULL_NAMES = (
+    ("dr. Kovács János", "M", "Kovács", "János", None, None), ("Kovács Jánosné", "F", "Kovács", "János", None, "Kovács János"),
+    ("Baloghné Fehér Ilona", "F", "Balogh", "Ilona", "Fehér", "Balogh"), ("Nagy Anna Mária", "F", "Nagy", "Anna Mária", None, None), ("Kovács Jánosné", "N", "Kovács", "Jánosné", None, None),
+)
+
+
+@gold("names_read", len(FULL_NAMES), ["name VARCHAR", "surname VARCHAR", "given VARCHAR", "maiden VARCHAR", "wife_of VARCHAR"], [(i, r[0], *r[2:]) for i, r in enumerate(FULL_NAMES)])
+def names_read(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "name string, gender string", [r[:2] for r in FULL_NAMES])
+    return rows.select("k", "name", shaping.read_name(F.col("name"), F.col("gender")).alias("n")).select("k", "name", "n.surname", "n.given", "n.maiden", "n.wife_of")
+
+
+#: (core, case, locative of the new name, case)
+PLACES = (("place", "SUP", "ine", "INE"), ("place", "INE", "sup", "SUP"), ("place", "ELA", None, "DEL"), ("place", "ILL", "ine", "ILL"), ("place", "DAT", "ine", "DAT"), ("surname", "SUP", "ine", "SUP"))
+
+
+@gold("locatives", len(PLACES), ["tag VARCHAR", "adjusted VARCHAR"], [(i, r[1], r[3]) for i, r in enumerate(PLACES)])
+def locatives(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "core string, tag string, locative string", [r[:3] for r in PLACES])
+    return rows.select("k", "tag", shaping.locative_case(F.col("core"), F.col("tag"), F.col("locative")).alias("adjusted"))
+
+
+#: (path, name by roles, name by a theme)
+FILES = (("/a/b.c/itelet.docx", "itelet-obh.docx", "itelet-alnevesitett.docx"), ("kereset.tar.txt", "kereset.tar-obh.txt", "kereset.tar-alnevesitett.txt"), ("nincs", "nincs-obh", "nincs-alnevesitett"))
+
+
+@gold("export_names", len(FILES), ["by_role VARCHAR", "by_theme VARCHAR"], [(i, *r[1:]) for i, r in enumerate(FILES)])
+def export_names(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "path string", [r[:1] for r in FILES])
+    return rows.select("k", shaping.export_name(F.col("path"), "role").alias("by_role"), shaping.export_name(F.col("path"), "theme").alias("by_theme"))
+
+
+#: hits (kind, surface), known (id, kind, name), matched entity of each hit, new ones (id, name, role)
+HELD = (
+    ([("adoszam", "12345678-1-42"), ("taj", "123 456 789"), ("taj", "123-456-789")], [("e1", "adoszam", "12345678 1 42")], ["e1", None, None], [("#az1", "123 456 789", "TAJ-szám")]),
+    ([("email", "A@b.hu"), ("adoszam", "12345678-1-42")], [("e2", "email", "a@B.hu"), ("e3", "taj", "12345678142")], ["e2", None], [("#az1", "12345678-1-42", "adószám")]),
+    ([("rendszam", "ABC-123")], [], [None], [("#az1", "ABC-123", "rendszám")]),
+)
+
+
+def _held(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "n int", [(len(r[0]),) for r in HELD]).select("k", "case_no")
+    hits = spark.createDataFrame([(i, no, *h) for i, r in enumerate(HELD) for no, h in enumerate(r[0])], "case_no int, no int, kind string, surface string")
+    known = spark.createDataFrame([(i, e[0], "identifier", e[1], e[2]) for i, r in enumerate(HELD) for e in r[1]], "case_no int, id string, kind string, identifier_kind string, name string")
+    return rows.join(F.broadcast(hits), "case_no"), rows.join(F.broadcast(known), "case_no")
+
+
+@gold("identifier_entities", len(HELD), ["no INT", "entity_id VARCHAR"], [(i, no, e) for i, r in enumerate(HELD) for no, e in enumerate(r[2])])
+def identifier_entities(spark, sf_dir):
+    return shaping.matched_identifiers(*_held(spark, sf_dir), "k").select("k", "no", "entity_id")
+
+
+@gold("identifier_parties", len(HELD), ["id VARCHAR", "name VARCHAR", "role VARCHAR"], [(i, *p) for i, r in enumerate(HELD) for p in r[3]])
+def identifier_parties(spark, sf_dir):
+    return shaping.found_identifiers(*_held(spark, sf_dir), "k", ["no"]).select("k", "id", "name", "role")
+
+
+#: mentions (name, kind, score, at a sentence's head), rule parties, names kept, then (name, kind, role, gender, confidence, mentions, origin)
+MODEL = (
+    ([("Kovács János", "person", 0.9, False), ("Kovács Jánosnak", "person", 0.8, False), ("Kovácsnak", "person", 0.7, False)], [], [], [("Kovács János", "person", "egyéb", "N", 80, 3, "model")]),
+    ([("Kovács János", "person", 0.9, False)], [("Kovács János", "person", "felperes", "M", 97)], [], [("Kovács János", "person", "felperes", "M", 100, 1, "both")]),
+    ([("Nagy", "person", 0.95, True)], [("Tóth Mária", "person", "tanú", "F", 93)], [], [("Nagy", "person", "egyéb", "N", 30, 1, "model"), ("Tóth Mária", "person", "tanú", "F", 93, 0, "rule")]),
+    ([("Szabó Péter", "person", 0.9, False), ("Szegedi Törvényszék", "org", 0.9, False)], [], ["Szegedi Törvényszék"], [("Szabó Péter", "person", "egyéb", "N", 90, 1, "model")]),
+    ([("Kiss Anna", "person", 0.5, False), ("Kiss Béla", "person", 0.5, False), ("Kiss Béla", "person", 0.5, False), ("Kissnek", "person", 0.5, False), ("Gránit Kft.", "org", 0.75, False), ("X-1", "other", 0.9, False)], [], [], [("Kiss Anna", "person", "egyéb", "N", 50, 1, "model"), ("Kiss Béla", "person", "egyéb", "N", 50, 3, "model"), ("Gránit Kft.", "org", "szervezet", "N", 75, 1, "model")]),
+    ([("Kovács Jánosné", "person", 0.5, False), ("Kovács János", "person", 0.5, False)], [], [], [("Kovács János", "person", "egyéb", "N", 50, 1, "model"), ("Kovács Jánosné", "person", "egyéb", "N", 50, 1, "model")]),
+)
+
+
+@gold("model_merge", len(MODEL), ["name VARCHAR", "kind VARCHAR", "role VARCHAR", "gender VARCHAR", "confidence INT", "mentions BIGINT", "origin VARCHAR", "no INT"], [(i, *p, 1 + sorted(r[3], key=lambda x: (-x[5], -x[4], x[0])).index(p)) for i, r in enumerate(MODEL) for p in r[3]])
+def model_merge(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "n int", [(len(r[0]),) for r in MODEL]).select("k", "case_no")
+    each = lambda at, columns: rows.join(F.broadcast(spark.createDataFrame([(i, *(m if isinstance(m, tuple) else (m,))) for i, r in enumerate(MODEL) for m in r[at]], f"case_no int, {columns}")), "case_no").drop("case_no")
+    found = merging.merge(each(0, "name string, kind string, score double, initial boolean"), each(1, "name string, kind string, role string, gender string, confidence int"), each(2, "name string"), "k", ["nagy"])
+    return merging.ranked(found, "k")
+
+
+@gold("model_dropped", len(MODEL), ["raw_label VARCHAR", "n BIGINT"], [(4, "KOD", 1)])
+def model_dropped(spark, sf_dir):
+    rows = inputs(spark, sf_dir, "n int", [(len(r[0]),) for r in MODEL]).select("k", "case_no")
+    mentions = spark.createDataFrame([(i, m[1], "KOD" if m[1] == "other" else "PER") for i, r in enumerate(MODEL) for m in r[0]], "case_no int, kind string, raw_label string")
+    return merging.dropped(rows.join(F.broadcast(mentions), "case_no"), "k")
