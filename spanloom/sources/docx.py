@@ -8,8 +8,10 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.sources.documents import TEXT_PARTS, PARTS, W
 
@@ -192,6 +194,16 @@ def residue(content: bytes, needles: list[str], allowed: dict[str, int] | None =
     return found
 
 
+def residue_count(content: Column, needle: Column) -> Column:
+    """How often an original is left in any part of a package, as ``residue`` counts."""
+
+    @F.pandas_udf("long")
+    def count(contents: pd.Series, needles: pd.Series) -> pd.Series:
+        return pd.Series([sum(n for _, _, n in residue(bytes(c), [x])) for c, x in zip(contents, needles, strict=True)])
+
+    return count(content, needle)
+
+
 def rewrite_all(files: DataFrame, plan: Callable[[str, bytes], dict[str, list[tuple[int, int, str]]]], revisions: str | None = None) -> DataFrame:
     """(path, content, error): every package of (path, content) rewritten by ``plan``; one that fails has a null content and its error."""
 
