@@ -232,3 +232,32 @@ def contextual_days(events: DataFrame, by: list[str], reach: int = REACH) -> Dat
 
 def shift_column(date: Column, days: Column | int) -> Column:
     return F.date_add(date, days)
+
+
+#: Days of the week, as they begin.
+WEEKDAYS = ("hétfő", "kedd", "szerda", "szerdá", "csütörtök", "péntek", "szombat", "vasárnap")
+
+
+def warnings(hits: DataFrame, units: DataFrame, by: list[str], days: int, text: str = "text") -> DataFrame:
+    """(*by, warning, n): what a reader must know of each unit's shifted dates, from ``scan`` with the same ``days``.
+
+    shifted: replaced dates (deadlines no longer fit the calendar); kept: dates whose ending is unknown and which stay;
+    unchanged: bare years that the shift leaves as they were; weekday: a day of the week is named and the shift is no number of
+    weeks; coarse: dates to the month or year; inherited: years taken from neighbours; no_year: years nowhere written; review:
+    dates that a person must see. Null texts have none.
+    """
+    seen = {
+        "shifted": F.col("replacement").isNotNull(),
+        "kept": F.col("replacement").isNull(),
+        "unchanged": (F.col("kind") == "ev") & (F.col("replacement") == F.col("surface")),
+        "coarse": (F.col("kind") == "ev") | F.col("day").isNull(),
+        "inherited": F.col("inherited"),
+        "no_year": F.col("year").isNull(),
+        "review": F.col("disposition") == "review",
+    }
+    counts = hits.groupBy(*by).agg(*(F.count_if(c).alias(w) for w, c in seen.items()))
+    rows = counts.select(*by, F.explode(F.map_from_arrays(F.array(*map(F.lit, seen)), F.array(*seen))).alias("warning", "n")).where("n > 0")
+    if days % 7 == 0:
+        return rows
+    named = units.where(F.col(text).rlike(f"(?iu)(?<![{LETTERS}])(?:{'|'.join(WEEKDAYS)})"))
+    return rows.unionByName(named.select(*by, F.lit("weekday").alias("warning"), F.lit(1).cast("long").alias("n")))

@@ -450,3 +450,18 @@ def model_dropped(spark, sf_dir):
     rows = inputs(spark, sf_dir, "n int", [(len(r[0]),) for r in MODEL]).select("k", "case_no")
     mentions = spark.createDataFrame([(i, m[1], "KOD" if m[1] == "other" else "PER") for i, r in enumerate(MODEL) for m in r[0]], "case_no int, kind string, raw_label string")
     return merging.dropped(rows.join(F.broadcast(mentions), "case_no"), "k")
+
+
+#: text, then (warning, n) at a shift of thirty days
+WARNED = (
+    ("Kelt 2026. június 24. napján, hétfőn.", [("shifted", 1), ("weekday", 1)]),
+    ("Csak 2025 februárjában és június 3-án, 2019 óta.", [("shifted", 3), ("unchanged", 1), ("coarse", 2), ("inherited", 1), ("review", 1)]),
+    ("Május 5-én kelt.", [("shifted", 1), ("no_year", 1)]),
+    ("Nincs benne.", []),
+)
+
+
+@gold("date_warnings", len(WARNED), ["warning VARCHAR", "n BIGINT"], [(i, *w) for i, r in enumerate(WARNED) for w in r[1]])
+def date_warnings(spark, sf_dir):
+    units = inputs(spark, sf_dir, "text string", [r[:1] for r in WARNED])
+    return dates.warnings(dates.scan(units, ["k"], days=30), units, ["k"], 30)
