@@ -1,4 +1,8 @@
-"""Keyed, repeatable choices: HMAC-SHA256 built from the engine's own digest, so no row leaves the JVM."""
+"""Keyed, repeatable choices: HMAC-SHA256 built from the engine's own digest, so no row leaves the JVM.
+
+Key blocks stand in the plan as hex literals. Set ``spark.sql.redaction.string.regex`` to ``[0-9a-fA-F]{64,}`` where plans,
+the UI or event logs may be seen by others.
+"""
 
 from __future__ import annotations
 

@@ -329,3 +329,24 @@ def match(units: DataFrame, entities: DataFrame, case: str, by: list[str], text:
 
     joined = units.select(case, *by, F.col(text).alias("_text")).join(packed, case)
     return joined.mapInPandas(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds), HIT_SCHEMA]))
+
+
+def rewrite_addresses(hits: DataFrame, fragments: DataFrame, case: str) -> DataFrame:
+    """``hits`` (surface) with replacement: e-mail addresses and urls with every name part of the case's entities replaced, null if
+    none is in them.
+
+    ``fragments`` has (case, fragment, replacement) for all of a case's entities: an address may hold a person's name before
+    the sign and a company's behind it. A case's fragments are gathered into one row; longer ones go first.
+    """
+    packed = fragments.groupBy(case).agg(F.array_sort(F.collect_set(F.struct((-F.length("fragment")).alias("size"), "fragment", "replacement"))).alias("_fragments"))
+
+    @F.pandas_udf("string")
+    def rewritten(surfaces: pd.Series, listed: pd.Series) -> pd.Series:
+        out = []
+        for surface, rows in zip(surfaces, listed, strict=True):
+            rows = [] if rows is None else list(rows)
+            new = rewrite_identifier(surface, [(r["fragment"], str(i)) for i, r in enumerate(rows)], {str(i): r["replacement"] for i, r in enumerate(rows)})
+            out.append(None if new == surface else new)
+        return pd.Series(out, dtype=object)
+
+    return hits.join(packed, case, "left").withColumn("replacement", rewritten("surface", "_fragments")).drop("_fragments")

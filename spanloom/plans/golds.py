@@ -465,3 +465,17 @@ WARNED = (
 def date_warnings(spark, sf_dir):
     units = inputs(spark, sf_dir, "text string", [r[:1] for r in WARNED])
     return dates.warnings(dates.scan(units, ["k"], days=30), units, ["k"], 30)
+
+
+#: (address, rewritten)
+ADDRESSES = (
+    ("kovacs.janos@aranykalasz.hu", "granit.otto@tuzko.hu"), ("kovacs58@freemail.hu", "granit58@freemail.hu"), ("www.aranykalasz.hu", "www.tuzko.hu"), ("senki@x.hu", None),
+)
+FRAGMENTS = (("kovacs", "Gránit"), ("janos", "Ottó"), ("aranykalasz", "Tűzkő"))
+
+
+@gold("rewritten_addresses", len(ADDRESSES), ["surface VARCHAR", "replacement VARCHAR"], [(i, *r) for i, r in enumerate(ADDRESSES)])
+def rewritten_addresses(spark, sf_dir):
+    hits = inputs(spark, sf_dir, "surface string", [r[:1] for r in ADDRESSES]).withColumn("case_id", F.pmod("k", F.lit(16)))
+    cases = hits.select("case_id").distinct().join(F.broadcast(spark.createDataFrame(list(FRAGMENTS), "fragment string, replacement string")))
+    return names.rewrite_addresses(hits, cases, "case_id").select("k", "surface", "replacement")
