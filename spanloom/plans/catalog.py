@@ -372,21 +372,26 @@ def _case(spark, sf_dir):
     return rows.select(F.col("c_nationkey").alias("case_id"), F.lit("person").alias("kind"), "surname", "given", F.lit("N").alias("gender"), "k").groupBy("case_id", "kind", "surname", "given", "gender").agg(F.min("k").alias("k")).withColumn("id", F.col("k").cast("string"))
 
 
-@query()
-def variant_match(spark, sf_dir):
+def _mentions(spark, sf_dir):
     units = people(spark, sf_dir).select(F.col("c_nationkey").alias("case_id"), "k", "text")
     return names.match(units, _case(spark, sf_dir), "case_id", ["k"])
 
 
+@query(f"""WITH {people_sql()} SELECT c_nationkey AS case_id, k, CAST(0 AS INT) AS start, CAST(length(surname || ' ' || given) AS INT) AS "end", surname || ' ' || given AS surface,
+CAST(min(k) OVER (PARTITION BY c_nationkey, surname, given) AS VARCHAR) AS entity_id, 'full' AS core, 'NOM' AS case_tag, CAST(100 AS INT) AS confidence, FALSE AS ambiguous, 'auto' AS disposition FROM people""")
+def variant_match(spark, sf_dir):
+    return _mentions(spark, sf_dir).drop("upper", "candidates")
+
+
 @query()
 def assign_pseudonyms(spark, sf_dir):
     return assign.assign(_case(spark, sf_dir), "case_id", THEME, SECRET, order="k")
 
 
-@query()
+@query(f"WITH {people_sql()} SELECT k, k % 2 = 1 AS ok, CASE WHEN k % 2 = 0 THEN number ELSE '' END AS leaks, CASE WHEN k % 2 = 1 THEN number || '|' ELSE '' END || given AS residual, CAST(1 + k % 2 AS INT) AS residual_total FROM people")
 def verification_report(spark, sf_dir):
     rows = people(spark, sf_dir).withColumn("known", F.when(F.col("k") % 2 == 0, F.array("number")))
-    return verify.report(rows, ["k"], literals="known")
+    return verify.report(rows, ["k"], literals="known").withColumns({"leaks": F.array_join("leaks", "|"), "residual": F.array_join("residual", "|"), "residual_total": F.col("residual_total").cast("int")})
 
 
 def three_digits_sql(n: str) -> str:
@@ -412,7 +417,10 @@ def number_words(spark, sf_dir):
     return claims(spark, sf_dir).select("k", "amount", hungarian.words_of(F.col("amount")).alias("in_words"))
 
 
-@query()
+@query(f"""WITH {people_sql()}, t AS (SELECT *, 'Felperes: ' || surname || ' ' || given || chr(10) || 'A ' || surname || ' Agrár Kft. képviseletében dr. ' || given || ' ' || surname || ' ügyvéd járt el. ' || surname || ' úr.' AS said FROM people),
+n AS (SELECT *, CAST((length(said) - length(replace(said, surname, ''))) / length(surname) AS INT) AS occurrences FROM t)
+SELECT k, surname || ' ' || given AS name, 'person' AS kind, 'felperes' AS role, CASE WHEN given IN ('Anna', 'Tünde', 'Mária', 'Erzsébet', 'Ilona') THEN 'F' WHEN given = 'Ödön' THEN 'N' ELSE 'M' END AS gender, CAST(99 AS INT) AS confidence, occurrences FROM n
+UNION ALL SELECT k, surname || ' Agrár Kft.', 'org', 'szervezet', 'N', CAST(98 AS INT), occurrences FROM n""")
 def detect_parties(spark, sf_dir):
     rows = people(spark, sf_dir).select("k", F.concat(F.lit("Felperes: "), "surname", F.lit(" "), "given", F.lit("\nA "), "surname", F.lit(" Agrár Kft. képviseletében dr. "), "given", F.lit(" "), "surname", F.lit(" ügyvéd járt el. "), "surname", F.lit(" úr.")).alias("text"))
     return parties.detect(rows, "k")[0]
@@ -420,7 +428,7 @@ def detect_parties(spark, sf_dir):
 
 @query()
 def render_theme(spark, sf_dir):
-    hits = variant_match(spark, sf_dir)
+    hits = _mentions(spark, sf_dir)
     pseudo = assign_pseudonyms(spark, sf_dir).select("case_id", F.col("entity_id").alias("id"), F.lit("person").alias("kind"), F.regexp_extract("replacement", r"^(\S+)", 1).alias("surname"), F.regexp_extract("replacement", r"^\S+ (.*)$", 1).alias("given"))
     return render.render_theme(hits, render.core_table(pseudo, "case_id"), "case_id").select("case_id", "k", "start", "end", "surface", "entity_id", "core", "case_tag", "replacement")
 
