@@ -379,9 +379,12 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
     now = met.join(label, "node")
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
-    open_ = materialize(now.join(largest, "key"), "open")
-    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label")))
-    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & room("", "o_"))
+    # A pair is made once, in the first shingle that both have: later ones see that in what came before.
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = materialize(now.join(largest, "key").withColumn("earlier", earlier), "open")
+    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label", "earlier")))
+    once = ((F.col("label") == F.col("top")) | (F.col("node") < F.col("o_node"))) & ~F.arrays_overlap("earlier", "o_earlier")
+    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & room("", "o_") & once)
     label = verify(left.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), *(F.when((F.col("node") < F.col("o_node")) == first, F.col("label")).otherwise(F.col("o_label")).alias(c) for first, c in ((True, "label_a"), (False, "label_b")))), label)
     whole = materialize(docs.select(_node(text).alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
     discard(near, sets, crowd, met, open_)
