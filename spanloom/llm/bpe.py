@@ -35,7 +35,7 @@ from spanloom.llm.common import map_rows
 #: Fixed value: the split of text before merging, as the vocabulary's own format defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that a transducer takes at once, length up to which a list is quicker than a heap (the merges are the same), pieces remembered by a task, characters of a chunk, characters from which an open run is streamed.
-BLOCK, SHORT, CACHE, CHUNK, LONG = 1024, 48, 80_000, 1 << 16, 2048
+BLOCK, SHORT, CACHE, CHUNK, LONG = 1024, 48, 200_000, 1 << 16, 2048
 #: What goes on a run of each class of characters.
 RUNS = {k: regex.compile(p) for k, p in {"letter": r"\p{L}*", "number": r"\p{N}*", "blank": r"\s*", "other": r"[^\s\p{L}\p{N}]*"}.items()}
 
