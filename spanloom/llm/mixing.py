@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import discard, map_rows, materialize, remainder, words
+from spanloom.llm.common import Sorted, discard, map_rows, materialize, remainder, words
 
 #: log2 of the slots of the tables of contexts of one to four bytes: at least, and at most.
 LEAST_BITS, MOST_BITS = (16, 16, 16, 16), (18, 20, 21, 21)
@@ -133,15 +133,17 @@ class Prefixes:
             names.append(part.names(node))
             bits.append(bit)
         every = np.concatenate(names) if names else np.zeros(0, np.uint64)
-        self.names, back = np.unique(every, return_inverse=True)
-        size, bit, n = len(self.names), np.concatenate(bits), np.tile(n, 8)
-        self.counts = np.column_stack([np.bincount(back[bit == b], n[bit == b], size) for b in (0, 1)]).astype(np.float32) if size else np.zeros((0, 2), np.float32)
+        distinct, back = np.unique(every, return_inverse=True)
+        size, bit, n = len(distinct), np.concatenate(bits), np.tile(n, 8)
+        self.counts = np.zeros((size + 1, 2), np.float32)
+        if size:
+            self.counts[:size] = np.column_stack([np.bincount(back[bit == b], n[bit == b], size) for b in (0, 1)])
+        # Names are in order already, so a name's place is its row of counts; the last row is of none.
+        self.index = Sorted(distinct)
 
     def find(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.names):
-            return np.zeros((len(names), 2), np.float32)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where((self.names[at] == names)[:, None], self.counts[at], np.float32(0))
+        found, at = self.index.find(names)
+        return np.where(found[:, None], self.counts[at], np.float32(0))
 
 
 def _levels(prefix: np.ndarray, four: np.ndarray) -> np.ndarray:
@@ -173,7 +175,8 @@ class Learner:
     """Weights and map of one online way over batches of training words.
 
     Each event is predicted with one occurrence of itself taken out of the counts. A gate's weights move by its coding error
-    times the inverse of the curvature it has gathered so far, so they settle within few batches. The map starts after
+    times the inverse of the curvature it has gathered so far, so they settle within few batches; curvature is taken from every
+    fourth batch and counted four times. The map starts after
     ``LEAST_BATCHES`` batches, or after a third of the way if that is sooner.
     """
 
@@ -182,7 +185,7 @@ class Learner:
         self.weights, self.map, self.seen = start_weights(), np.zeros((256, BUCKETS, 2)), 0.0
         self.curve = np.tile(np.eye(self.weights.shape[1]) * 50.0, (GATES, 1, 1))
 
-    def step(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray, prefixes: Prefixes, mapped: bool) -> None:
+    def step(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray, prefixes: Prefixes, mapped: bool, curved: bool) -> None:
         w, size = self.weights, self.weights.shape[1]
         stream = Stream(batch, classes)
         weight = counts[stream.owner]
@@ -204,11 +207,11 @@ class Learner:
             error, heavy = weight * (bit - p), weight * p * (1 - p)
             for k in range(size):
                 slope[:, k] += np.bincount(gate, error * x[k], GATES)
-                for m in range(k, size):
+                for m in range(k, size) if curved else ():
                     bend[:, k, m] += np.bincount(gate, heavy * x[k] * x[m], GATES)
             if mapped:
                 np.add.at(self.map.reshape(-1), _map_place(node, z) * 2 + bit, weight)
-        self.curve += bend + np.transpose(np.triu(bend, 1), (0, 2, 1))
+        self.curve += 4 * (bend + np.transpose(np.triu(bend, 1), (0, 2, 1)))
         self.weights = np.clip(w + np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0], -2.0, 3.0)
         self.seen += float(counts.sum())
 
@@ -223,7 +226,7 @@ class Learner:
             parts = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
             while True:
                 for part in parts:
-                    self.step([batch[i] for i in part], classes[part], n[part], prefixes, 3 * steps > min(LEAST_BATCHES, len(parts)))
+                    self.step([batch[i] for i in part], classes[part], n[part], prefixes, 3 * steps > min(LEAST_BATCHES, len(parts)), steps % 4 == 0)
                     steps += 1
                 if steps >= LEAST_BATCHES:
                     break

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from spanloom.llm.common import discard, map_rows, materialize, remainder, words
+from spanloom.llm.common import Sorted, discard, map_rows, materialize, remainder, words
 
 ORDER = 8
 START, END = "\x02", "\x03"
@@ -95,26 +95,6 @@ def gram_hashes(batch: list[str]) -> np.ndarray:
     return out
 
 
-class Sorted:
-    """Hashes in order with their values; a lookup starts at the place of the hash's leading bits."""
-
-    def __init__(self, hashes: np.ndarray, *values: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes = np.append(hashes[order], np.uint64((1 << 64) - 1))
-        self.values = [np.append(v[order], 0).astype(np.float32) for v in values]
-        self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
-        self.first = np.searchsorted(self.hashes, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, place) of each hash."""
-        at = self.first[hashes >> self.shift]
-        left = np.flatnonzero(self.hashes[at] < hashes)
-        while len(left):
-            at[left] += 1
-            left = left[self.hashes[at[left]] < hashes[left]]
-        return self.hashes[at] == hashes, at
-
-
 class Shared:
     """Continuation counts as they travel: of each shorter n-gram the discounted share and the mass that goes to the next shorter one."""
 
