@@ -210,7 +210,7 @@ class Learner:
                 for m in range(k, size) if curved else ():
                     bend[:, k, m] += np.bincount(gate, heavy * x[k] * x[m], GATES)
             if mapped:
-                np.add.at(self.map.reshape(-1), _map_place(node, z) * 2 + bit, weight)
+                self.map += np.bincount(_map_place(node, z) * 2 + bit, weight, self.map.size).reshape(self.map.shape)
         self.curve += 4 * (bend + np.transpose(np.triu(bend, 1), (0, 2, 1)))
         self.weights = np.clip(w + np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0], -2.0, 3.0)
         self.seen += float(counts.sum())
@@ -280,18 +280,22 @@ class Model:
         return np.log10(total)
 
 
-def log10_words(model: Model, batch: list[bytes], of: int, prefixes: Prefixes) -> np.ndarray:
-    """log10 probability of each word under class ``of``, its blank included; the empty word is the end.
+def log10_words(model: Model, batch: list[bytes], classes: list[int], prefixes: Prefixes) -> list[np.ndarray]:
+    """log10 probability of each word, its blank included, under each class; the empty word is the end.
 
-    Words that share a prefix share its bytes' figures: each distinct prefix is worked out once.
+    Words that share a prefix share its bytes' figures: each distinct prefix is worked out once for each class.
     """
     if not batch:
-        return np.zeros(0)
-    stream = Stream(batch, np.full(len(batch), of))
-    with np.errstate(over="ignore"):
-        name = (stream.contexts[4] + stream.bytes.astype(np.uint64)) * _M3
-    _, first, back = np.unique(name, return_index=True, return_inverse=True)
-    return np.add.reduceat(model.log10_bytes(stream, first, prefixes)[back], stream.starts)
+        return [np.zeros(0) for _ in classes]
+    out, first, back = [], None, None
+    for of in classes:
+        stream = Stream(batch, np.full(len(batch), of))
+        if first is None:
+            with np.errstate(over="ignore"):
+                name = (stream.contexts[4] + stream.bytes.astype(np.uint64)) * _M3
+            _, first, back = np.unique(name, return_index=True, return_inverse=True)
+        out.append(np.add.reduceat(model.log10_bytes(stream, first, prefixes)[back], stream.starts))
+    return out
 
 
 def word_counts(docs: DataFrame, text: str, of: str) -> DataFrame:
@@ -403,7 +407,7 @@ def word_figures(table: DataFrame, model: Model, live: list[int], tasks: int) ->
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words_, counts in _in_stretches(rows):
             prefixes = Prefixes(*trained(words_, counts))
-            logs = [log10_words(sent.value, words_, k, prefixes) for k in live]
+            logs = log10_words(sent.value, words_, live, prefixes)
             yield pa.RecordBatch.from_arrays([pa.array(words_, pa.binary()), pa.array(counts.sum(axis=1).astype(np.int64)), *map(pa.array, logs)], names=["word", "n", *names])
 
     return materialize(map_rows(_dealt(table, tasks), run, "word binary, n long, " + ", ".join(f"{c} double" for c in names)), "figures")
