@@ -45,7 +45,7 @@ LEAST_BITS, MOST_BITS = (16, 16, 16, 16), (18, 20, 21, 21)
 SHARED = 5
 GATES, BUCKETS = 72, 49
 #: Distinct words to a task that fills dense tables, to one that learns and scores, to a batch of learning, and to a stretch whose prefixes are counted together; least batches of a task's learning.
-TABLE_WORDS, TASK_WORDS, BATCH, STRETCH, LEAST_BATCHES = 250_000, 60_000, 512, 20_000, 60
+TABLE_WORDS, TASK_WORDS, BATCH, STRETCH, LEAST_BATCHES = 250_000, 60_000, 512, 20_000, 30
 #: Distinct words held by a task; words whose figures are broadcast.
 HELD, COMMON = 200_000, 1 << 17
 #: Most classes.
