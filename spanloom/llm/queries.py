@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, decontaminate, html, mixing, quality, sharding, simhash, tokencount, toxicity
+from spanloom.llm import bpe, chat, decontaminate, html, mixing, piecebatch, quality, sharding, simhash, tokencount, toxicity
 from spanloom.llm.common import delete_at_exit, shared_dir, table
 
 
@@ -72,6 +72,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_piece_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piecebatch.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op12_piece_matrices": op12_piece_matrices,
 }
 SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.oracle(),
