@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, chat, decontaminate, html, mixing, piecebatch, quality, sharding, simhash, tokencount, toxicity
+from spanloom.llm import bpe, chat, decontaminate, divergence, html, mixing, negatives, piecebatch, quality, sharding, simhash, tokencount, toxicity
 from spanloom.llm.common import delete_at_exit, shared_dir, table
 
 
@@ -72,6 +72,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.usable(table(spark, sf_dir, "embeddings"), label=shifted), F.col("key") % 50 == 0)
+
+
 def op12_piece_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,8 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_divergence": op11_divergence,
     "op12_piece_matrices": op12_piece_matrices,
+    "op13_negatives": op13_negatives,
 }
 SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.oracle(),
+    "op11_divergence": divergence.oracle(),
+    "op13_negatives": negatives.oracle(),
 }
