@@ -31,7 +31,9 @@ def same_root(a: str, b: str) -> bool:
 
 
 class Registry:
-    """A case's used names and its picks. Surnames and organisations share one set of used words; places have their own."""
+    """A case's used names and its picks. Surnames and organisations share one set of used words; places have their own.
+
+    ``by_appearance`` holds for the entity that is picked for: names then come from the head of the pool."""
 
     def __init__(self, theme: dict, secret: str, by_appearance: bool = False):
         self.theme, self.secret, self.by_appearance = theme, secret, by_appearance
@@ -61,14 +63,16 @@ class Registry:
         used.add(name.lower())
         return name
 
-    def reserve(self, kind: str, shown: str) -> None:
+    def reserve(self, kind: str, shown: str, surname: str = "", given: str = "") -> None:
+        """Take a name out of the pools; a person's two parts are told apart at the first blank if they are not given."""
         parts = shown.split()
         if kind == "place":
             self.places.add(shown.lower())
+        elif kind == "person" and parts:
+            self.words.add((surname or parts[0]).lower())
+            self.given.add((given or " ".join(parts[1:])).lower())
         elif parts:
             self.words.add((strip_company_form(shown).split() or parts)[0].lower())
-            if kind == "person":
-                self.given.add(" ".join(parts[1:]).lower())
 
     def person(self, e: Entity, husband: dict | None) -> dict:
         surname = husband["surname"] if husband else self.pick([s["form"] for s in self.theme["surnames"]], self.words, f"{e.surname}|surname")
@@ -95,16 +99,31 @@ class Registry:
         return {"shown": self.probe(pool, self.places, f"{e.name}|place")}
 
 
-def assign_case(entities: list[Entity], theme: dict, secret: str, kept: dict[str, tuple[str, str, str]] | None = None, by_appearance: bool = False) -> dict[str, dict]:
-    """Entity id -> its replacement. ``kept``: id -> (kind, original, replacement) of the run before. Husbands come before wives, then organisations and places."""
-    registry, out = Registry(theme, secret, by_appearance), {}
-    original = lambda e: f"{e.surname} {e.given}".strip() if e.kind == "person" else e.name
+def original(e: Entity) -> str:
+    return f"{e.surname} {e.given}".strip() if e.kind == "person" else e.name
+
+
+def assign_case(entities: list[Entity], theme: dict, secret: str, kept: dict[str, tuple[str, ...]] | None = None, by_appearance: bool = False, ranked: set[str] | None = None) -> dict[str, dict]:
+    """Entity id -> its replacement. Husbands come before wives, then organisations and places.
+
+    ``kept``: id -> (kind, original, replacement[, surname, given]) of the run before; it stays while kind and original are the
+    same, and the names of those that are not among the entities stay taken. ``ranked``: ids whose names come from the head of
+    the pools in the entities' order, by default all or none.
+    """
+    registry, out = Registry(theme, secret), {}
+    listed = {e.id for e in entities}
+    for i, old in (kept or {}).items():
+        if i not in listed:
+            registry.reserve(old[0], *old[2:])
     for e in entities:
-        if (old := (kept or {}).get(e.id)) and old[:2] == (e.kind, original(e)):
-            out[e.id] = {"shown": old[2], "surname": old[2].split()[0], "given": " ".join(old[2].split()[1:]), "sticky": True}
-            registry.reserve(e.kind, old[2])
+        if (old := (kept or {}).get(e.id)) and tuple(old[:2]) == (e.kind, original(e)):
+            shown, *parts = old[2:]
+            surname, given = parts if parts else (shown.partition(" ")[0], shown.partition(" ")[2])
+            out[e.id] = {"shown": shown, "surname": surname, "given": given, "sticky": True}
+            registry.reserve(e.kind, shown, surname, given)
     husbands = {original(e): e.id for e in entities if e.kind == "person" and not e.wife_of}
     for e in sorted((e for e in entities if e.id not in out), key=lambda e: (e.kind != "person", bool(e.wife_of))):
+        registry.by_appearance = by_appearance if ranked is None else e.id in ranked
         if e.kind == "person":
             out[e.id] = registry.person(e, out.get(husbands.get(e.wife_of, "")))
         elif e.kind == "org":
@@ -129,7 +148,7 @@ def assign(entities: DataFrame, case: str, theme: dict, secret: str, order: str
         found = [Entity(**{c: r[c] for c in columns}) for r in group.to_dict("records")]
         old = {r["id"]: (r["_kind"], r["_original"], r["_kept"]) for r in group.to_dict("records") if isinstance(r["_kept"], str)}
         made = assign_case(found, theme, secret, old, by_appearance)
-        named = [(group[case].iloc[0], e.id, f"{e.surname} {e.given}".strip() if e.kind == "person" else e.name, made[e.id]["shown"], bool(made[e.id].get("sticky"))) for e in found]
+        named = [(group[case].iloc[0], e.id, original(e), made[e.id]["shown"], bool(made[e.id].get("sticky"))) for e in found]
         return pd.DataFrame(named, columns=[case, "entity_id", "original", "replacement", "sticky"])
 
     return rows.groupBy(case).applyInPandas(run, f"`{case}` {kind}, entity_id string, original string, replacement string, sticky boolean")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checksums, hungarian, keyed, text
 from spanloom.operators import amounts, assign, dates, decisions, identifiers, names, ner, parties, render, spans, verify
-from spanloom.plans import golds_files
+from spanloom.plans import cases, golds_files
 from spanloom.plans.carrier import claims, claims_sql, digits, people, people_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,6 +479,6 @@ def entity_shapes(spark, sf_dir):
     return identifiers.as_entities(identifiers.resolved(people(spark, sf_dir), ["k"])).select("k", "kind", "label", "raw_label")
 
 
-# The second module adds its own to the first one's.
-QUERIES |= golds_files.QUERIES
-SQL |= golds_files.SQL
+# The other modules add theirs.
+QUERIES |= golds_files.QUERIES | cases.QUERIES
+SQL |= golds_files.SQL | cases.SQL
