@@ -12,7 +12,6 @@ leaves nothing half-done. The secret itself is never stored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.assign import assign_case, original
 from spanloom.operators.names import Entity
+from spanloom.sources.staged import Staged
 
 #: What of an entity decides about its name.
 COLUMNS = ["id", "kind", "name", "surname", "given", "gender", "wife_of", "maiden", "abbreviation"]
@@ -86,42 +86,23 @@ class Store:
     """Versions of a registry in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str, case: str = "case_id"):
-        self.spark, self.path, self.case = spark, path.rstrip("/"), case
-
-    def _at(self, name: str = ""):
-        jvm, path = self.spark._jvm, f"{self.path}/{name}" if name else self.path
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        self.spark, self.folders, self.case = spark, Staged(spark, path, "version"), case
 
     def versions(self) -> list[int]:
-        files, at = self._at()
-        if not files.exists(at):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(at)]
-        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+        return self.folders.numbers()
 
     def state(self, as_of: int | None = None) -> DataFrame | None:
         """Each case's rows in its latest version (up to ``as_of``); none if there is no version."""
         chosen = [v for v in self.versions() if as_of is None or v <= as_of]
         if not chosen:
             return None
-        rows = self.spark.read.option("basePath", self.path).parquet(*(f"{self.path}/version={v}" for v in chosen))
+        rows = self.spark.read.option("basePath", self.folders.root).parquet(*map(self.folders.path, chosen))
         latest = rows.groupBy(self.case).agg(F.max("version").alias("version"))
         return rows.join(latest, [self.case, "version"]).drop("version")
 
     def commit(self, rows: DataFrame, version: int) -> bool:
         """Write a version; false, with nothing changed, if it is there already (a repeated run)."""
-        name, aside = f"version={version}", f"_aside-{uuid.uuid4().hex}"
-        files, target = self._at(name)
-        if files.exists(target):
-            return False
-        rows.write.parquet(f"{self.path}/{aside}")
-        _, written = self._at(aside)
-        # rename() would move into a folder that is there: then another run was first.
-        if files.exists(target) or not files.rename(written, target):
-            files.delete(written, True)
-            return False
-        return True
+        return self.folders.commit(version, rows.write.parquet)
 
 
 def follow(store: Store, cases: DataFrame, themes: dict[str, dict], case: str = "case_id") -> Callable[[DataFrame, int], None]:

@@ -126,8 +126,9 @@ def auto_accepted(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("by_program") & (F.col("decision") == "accept")).withColumn("common_word", F.coalesce("ambiguous", F.lit(False)))
 
 
-def export_name(path: Column, mode: str) -> Column:
+def export_name(path: Column, mode: Column | str) -> Column:
     """A document's name in an export: its stem, ``-obh`` for role labels or ``-alnevesitett``, its extension."""
     name = F.element_at(F.split(path, "/"), -1)
     ext = F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
-    return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(ext)), F.lit("-obh" if mode == "role" else "-alnevesitett"), ext)
+    by_role = F.lit(mode) == "role" if isinstance(mode, str) else F.coalesce(mode == "role", F.lit(False))
+    return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(ext)), F.when(by_role, "-obh").otherwise("-alnevesitett"), ext)
