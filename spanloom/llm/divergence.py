@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -63,19 +64,21 @@ def _counts(seen: dict[str, Counter[bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
-    """(lang, term string, part): terms in enough documents, dealt to automata of ``AUTOMATON`` terms at most, nearly always fewer."""
-    kept = materialize(document_frequencies(docs).where(F.col("n") >= least_docs).select("lang", F.col("term").cast("string").alias("term")), "terms")
+    """(lang, term string, part, id): terms in enough documents, dealt to automata of ``AUTOMATON`` terms at most, nearly always
+    fewer, with a number each."""
+    kept = materialize(document_frequencies(docs).where(F.col("n") >= least_docs).select("lang", F.col("term").cast("string").alias("term")), "frequent")
     n = kept.count()
     parts = 1 if n <= AUTOMATON else -(-2 * n // AUTOMATON)
-    return kept.withColumn("part", F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int"))
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("lang", "term"), F.lit(parts)).cast("int"))
+    return materialize(dealt.withColumn("id", F.monotonically_increasing_id()), "terms")
 
 
-def automata(terms: dict[str, list[str]]) -> dict[str, ahocorasick.Automaton]:
-    """For each language one that finds its terms between delimiters; the value is the term's place in the list."""
+def automata(terms: dict[str, list[tuple[str, int]]]) -> dict[str, ahocorasick.Automaton]:
+    """For each language one that finds its terms between delimiters and gives their numbers."""
     out = {}
     for lang, own in terms.items():
         out[lang] = automaton = ahocorasick.Automaton()
-        for i, term in enumerate(own):
+        for term, i in own:
             automaton.add_word(f" {term} ", i)
         automaton.make_automaton()
     return out
@@ -85,33 +88,34 @@ def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n) of kept terms with n > 0 occurrences."""
     spark, out = docs.sparkSession, None
     for part in sorted(r.part for r in kept.select("part").distinct().collect()):
-        listed: dict[str, list[str]] = defaultdict(list)
+        listed: dict[str, list[tuple[str, int]]] = defaultdict(list)
         own = kept.where(F.col("part") == part).toArrow()
-        for lang, term in zip(own["lang"].to_pylist(), own["term"].to_pylist(), strict=True):
-            listed[lang].append(term)
+        for lang, term, i in zip(*(own[c].to_pylist() for c in ("lang", "term", "id")), strict=True):
+            listed[lang].append((term, i))
         sent = spark.sparkContext.broadcast(dict(listed))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms = sent.value
-            found, seen = automata(terms), defaultdict(Counter)
+            found, seen, value = automata(sent.value), defaultdict(Counter), itemgetter(1)
             for batch in batches:
                 for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     if lang in found:
                         plain = b" ".join([b"", text.as_py().translate(_TERM), b""]).decode("utf-8", "replace")
-                        seen[lang, source].update(i for _, i in found[lang].iter(plain))
+                        seen[lang, source].update(map(value, found[lang].iter(plain)))
                         if sum(map(len, seen.values())) > HELD:
-                            yield from _postings(seen, terms)
-            yield from _postings(seen, terms)
+                            yield from _postings(seen)
+            yield from _postings(seen)
 
-        counted = map_rows(docs, run, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        counted = map_rows(docs, run, "lang string, source string, id long, n long").groupBy("lang", "source", "id").agg(F.sum("n").alias("n")).withColumn("part", F.lit(part))
         out = counted if out is None else out.unionByName(counted)
-    return materialize(out if out is not None else spark.createDataFrame([], "lang string, source string, term string, n long"), "postings")
+    if out is None:
+        return spark.createDataFrame([], "lang string, source string, term string, n long")
+    return materialize(out.join(kept, ["lang", "part", "id"]).select("lang", "source", "term", "n"), "postings")
 
 
-def _postings(seen: dict[tuple[str, str], Counter[int]], terms: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+def _postings(seen: dict[tuple[str, str], Counter[int]]) -> Iterator[pa.RecordBatch]:
     for (lang, source), counter in seen.items():
-        own = terms[lang]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array([source] * len(counter), pa.string()), pa.array([own[i] for i in counter], pa.string()), pa.array([*counter.values()], pa.int64())], names=["lang", "source", "term", "n"])
+        n = len(counter)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(np.fromiter(counter.keys(), np.int64, n)), pa.array(np.fromiter(counter.values(), np.int64, n))], names=["lang", "source", "id", "n"])
     seen.clear()
 
 
@@ -139,11 +143,12 @@ def _sums(keys: tuple, rows: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame
         pm, qm, has = np.tile(p0, (n, 1)), np.tile(q0, (n, 1)), np.zeros((n, len(p0)), bool)
         ours, theirs = np.flatnonzero(block == keys[1]), np.flatnonzero(block == keys[2])
         pm[term[ours], sid[ours]], qm[term[theirs], sid[theirs]], has[term[ours], sid[ours]] = p[ours], p[theirs], True
-        for i in ours:  # against all sources of the right
-            total[sid[i]] += np.abs(p[i] - qm[term[i]]) - base[sid[i]]
-        for i in theirs:  # against those of the left that have not the term
-            absent = ~has[term[i]]
-            total[absent, sid[i]] += np.abs(pm[term[i], absent] - p[i]) - base[absent, sid[i]]
+        for a in range(len(p0)):
+            # A left source's postings against all sources of the right, then the right's postings of terms that it has not.
+            own = np.flatnonzero(has[:, a])
+            total[a] += np.abs(pm[own, a, None] - qm[own]).sum(axis=0) - len(own) * base[a]
+            rest = theirs[~has[term[theirs], a]]
+            np.add.at(total[a], sid[rest], np.abs(p0[a] - p[rest]) - base[a, sid[rest]])
     a, b = np.indices(total.shape).reshape(2, -1)
     out = pd.DataFrame({"lang": keys[0], "a": left.of_sid.to_numpy()[a], "b": right.of_sid.to_numpy()[b], "value": total.reshape(-1)})
     return out[out.a < out.b] if keys[1] == keys[2] else out
