@@ -45,7 +45,7 @@ LEAST_BITS, MOST_BITS = (16, 16, 16, 16), (18, 20, 21, 21)
 SHARED = 5
 GATES, BUCKETS = 72, 49
 #: Distinct words to a task that fills dense tables, to one that learns and scores, to a batch of learning, and to a stretch whose prefixes are counted together; least batches of a task's learning.
-TABLE_WORDS, TASK_WORDS, BATCH, STRETCH, LEAST_BATCHES = 250_000, 60_000, 512, 20_000, 60
+TABLE_WORDS, TASK_WORDS, BATCH, STRETCH, LEAST_BATCHES = 250_000, 60_000, 512, 20_000, 30
 #: Distinct words held by a task; words whose figures are broadcast.
 HELD, COMMON = 200_000, 1 << 17
 #: Most classes.
@@ -171,19 +171,28 @@ def start_weights() -> np.ndarray:
     return w
 
 
+def chosen(weights: np.ndarray, loss: np.ndarray) -> np.ndarray:
+    """The learned weights of the gates that coded better with them than with the start weights; those for all others."""
+    return np.where((loss[:, 0] < loss[:, 1])[:, None], weights, start_weights())
+
+
 class Learner:
     """Weights and map of one online way over batches of training words.
 
     Each event is predicted with one occurrence of itself taken out of the counts. A gate's weights move by its coding error
-    times the inverse of the curvature it has gathered so far, so they settle within few batches; curvature is taken from every
-    fourth batch and counted four times. The map starts after
-    ``LEAST_BATCHES`` batches, or after a third of the way if that is sooner.
+    times the inverse of the curvature it has gathered so far, this batch's included, so they settle within few batches and a
+    batch of very frequent words cannot throw them. Curvature is the larger of p(1 - p) and the squared error, so it does not
+    vanish where p saturates; its mean is taken from every fourth batch and stands for all. On the same batches the coding loss
+    is kept for each gate beside that of the start weights: a gate that did not gain keeps those (``chosen``). The map starts
+    after ``LEAST_BATCHES`` batches, or after a third of the way if that is sooner.
     """
 
     def __init__(self, tables: list[np.ndarray], bits: tuple[int, ...]):
-        self.tables, self.bits = tables, bits
+        self.tables, self.bits, self.start = tables, bits, start_weights()[0]
         self.weights, self.map, self.seen = start_weights(), np.zeros((256, BUCKETS, 2)), 0.0
-        self.curve = np.tile(np.eye(self.weights.shape[1]) * 50.0, (GATES, 1, 1))
+        size = self.weights.shape[1]
+        self.first, self.curve, self.bent, self.total = np.eye(size) * 50.0, np.zeros((GATES, size, size)), np.zeros(GATES), np.zeros(GATES)
+        self.loss = np.zeros((GATES, 2))
 
     def step(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray, prefixes: Prefixes, mapped: bool, curved: bool) -> None:
         w, size = self.weights, self.weights.shape[1]
@@ -204,15 +213,26 @@ class Learner:
             gate = place * 24 + _levels(whole.sum(axis=1), found[3].sum(axis=1))
             z = np.einsum("kj,jk->j", x, w[gate])
             p = _squash(z)
-            error, heavy = weight * (bit - p), weight * p * (1 - p)
+            off = bit - p
+            error = weight * off
+            self.total += np.bincount(gate, weight, GATES)
             for k in range(size):
                 slope[:, k] += np.bincount(gate, error * x[k], GATES)
-                for m in range(k, size) if curved else ():
-                    bend[:, k, m] += np.bincount(gate, heavy * x[k] * x[m], GATES)
+            if curved:
+                self.bent += np.bincount(gate, weight, GATES)
+                heavy = weight * np.maximum(p * (1 - p), off * off)
+                for k in range(size):
+                    for m in range(k, size):
+                        bend[:, k, m] += np.bincount(gate, heavy * x[k] * x[m], GATES)
+                start = _squash(np.einsum("kj,k->j", x, self.start))
+                for k, q in enumerate((p, start)):
+                    self.loss[:, k] -= np.bincount(gate, weight * np.log(np.where(bit == 1, q, 1 - q)), GATES)
             if mapped:
                 self.map += np.bincount(_map_place(node, z) * 2 + bit, weight, self.map.size).reshape(self.map.shape)
-        self.curve += 4 * (bend + np.transpose(np.triu(bend, 1), (0, 2, 1)))
-        self.weights = np.clip(w + np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0], -2.0, 3.0)
+        self.curve += bend + np.transpose(np.triu(bend, 1), (0, 2, 1))
+        curve = self.first + self.curve * (self.total / np.maximum(self.bent, 1))[:, None, None]
+        # A gate that has no curvature yet stays where it is.
+        self.weights = np.where((self.bent > 0)[:, None], np.clip(w + np.linalg.solve(curve, slope[:, :, None])[:, :, 0], -2.0, 3.0), w)
         self.seen += float(counts.sum())
 
     def run(self, stretches: Iterator[tuple[list[bytes], np.ndarray]]) -> None:
@@ -388,7 +408,7 @@ def fit(table: DataFrame, bits: tuple[int, ...], tasks: int) -> Model:
         learner = Learner(shared.value, bits)
         learner.run(_in_stretches(rows))
         if learner.seen:
-            flat = np.concatenate([[learner.seen], (learner.weights * learner.seen).reshape(-1), learner.map.reshape(-1)])
+            flat = np.concatenate([[learner.seen], (learner.weights * learner.seen).reshape(-1), learner.loss.reshape(-1), learner.map.reshape(-1)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "value"])
 
     sums = map_rows(_dealt(table, tasks), train, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()["value"].to_numpy()
@@ -396,7 +416,8 @@ def fit(table: DataFrame, bits: tuple[int, ...], tasks: int) -> Model:
     start = start_weights()
     if not len(sums):
         return Model.of(tables, bits, start, np.zeros((256, BUCKETS, 2)))
-    return Model.of(tables, bits, (sums[1 : 1 + start.size] / sums[0]).reshape(start.shape), sums[1 + start.size :].reshape(256, BUCKETS, 2))
+    weights, loss, map_ = np.split(sums[1:], [start.size, start.size + 2 * GATES])
+    return Model.of(tables, bits, chosen((weights / sums[0]).reshape(start.shape), loss.reshape(GATES, 2)), map_.reshape(256, BUCKETS, 2))
 
 
 def word_figures(table: DataFrame, model: Model, live: list[int], tasks: int) -> DataFrame:
