@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import decisions, registry, verify
 from spanloom.plans.carrier import GIVEN, people, people_sql
 from spanloom.sources import export, keyfile
+from spanloom.sources.staged import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,15 +37,6 @@ def query(sql: str | None = None):
     return add
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local session without one (tests) gets a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
-    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
-    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
-    return path
-
-
 def cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, id, k, kind, surname, given, gender, no, female): one person for each customer."""
     rows = people(spark, sf_dir)
@@ -68,7 +58,7 @@ def runs(spark: SparkSession, sf_dir: str) -> registry.Store:
     has no second run."""
     persons = cast(spark, sf_dir)
     cases = persons.select("case_id").distinct().withColumns({"secret": F.concat(F.lit("per-"), F.col("case_id")), "theme_id": F.lit("stones")})
-    store = registry.Store(spark, folder(spark, "registry"))
+    store = registry.Store(spark, shared_folder(spark, "registry"))
     early = persons.where("k % 3 <> 0")
     seen = hits(persons)
     documents = seen.select("case_id", "document_no").distinct()
@@ -142,7 +132,7 @@ def out_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def exported(spark: SparkSession, sf_dir: str) -> export.Exports:
     documents, hits, parties, reports = out_documents(spark, sf_dir)
-    store = export.Exports(spark, folder(spark, "export"))
+    store = export.Exports(spark, shared_folder(spark, "export"))
     there = documents.where("case_id % 4 = 0").select("case_id", F.lit("irat3-alnevesitett-jegyzokonyv.txt").alias("file_name"), F.lit(None).cast("string").alias("source")).distinct()
     mapping = people(spark, sf_dir).select(F.floor(F.col("k") / SIZE).cast("long").alias("case_id"), F.col("k").cast("string").alias("entity_id"), F.concat_ws(" ", "surname", "given").alias("original"), F.concat(F.lit("X"), F.col("k").cast("string")).alias("replacement"))
     store.export(export.ledger(documents, hits, parties, reports), 1, F.expr("TIMESTAMP '2026-01-02 03:04:05'"), mapping, PASSPHRASE, taken=there)

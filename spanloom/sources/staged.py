@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Staged:
@@ -48,3 +49,25 @@ class Staged:
         if not done:
             files.delete(written, True)
         return done
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir`` that goes when the session's JVM ends; a local session without that setting (tests) gets a temporary one."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
+        context.setCheckpointDir(at)
+    path = f"{at}/{name}-{uuid.uuid4().hex}"
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written in the shared folder and read back: lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
