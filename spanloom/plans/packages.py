@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.plans.carrier import people, people_sql, table
-from spanloom.sources import pdfstate
+from spanloom.sources import docx, pdfstate, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +103,87 @@ def preview_paragraphs(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     placed = lines.selectExpr("o_custkey AS doc", "l_orderkey AS paragraph", f"{_NO} AS no", f"{_X} AS x", "CAST(l_quantity AS BIGINT) AS start")
     return pdfstate.preview_paragraphs(placed, ["doc"])
+
+
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _package(k: int, surname: str, given: str) -> bytes:
+    """A package of one customer: its faults are those of ``_FAULTS``, its names stand where ``package_residues`` says."""
+    link = lambda *targets: "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="{t}"/>' for i, t in enumerate(targets)) + '<Relationship Id="x" Target="https://example.org/a" TargetMode="External"/></Relationships>'
+    types = '<Types><Default Extension="XML" ContentType="x"/><Default Extension="rels" ContentType="r"/>' + '<Default Extension="bin" ContentType="b"/>' * (k % 5 > 0)
+    types += '<Override PartName="/word/document.xml" ContentType="d"/>' + '<Override PartName="/word/gone.xml" ContentType="g"/>' * (k % 7 == 0) + "</Types>"
+    runs = "".join(f"<w:r>{'<w:rPr><w:b/></w:rPr>' * (i < k % 4)}<w:t>{c}</w:t></w:r>" for i, c in enumerate(surname))
+    said = f'<w:p>{runs}<w:r><w:t xml:space="preserve"> {given[:2]}</w:t></w:r></w:p>' + f"<w:p><w:r><w:t>{surname}</w:t></w:r></w:p>" * (k % 4 + 1)
+    parts = {
+        structure.TYPES: types if k % 17 else None,
+        "_rels/.rels": link(*["word/document.xml"] * (k % 19 > 0)),
+        "word/document.xml": f"<w:document {_W}><w:body>{said}</w:body></w:document>" if k % 11 else None,
+        "word/_rels/document.xml.rels": link("header1.xml", "../customXml/item1.xml", "/word/embeddings/o.bin" if k % 6 == 0 else "./header1.xml", "media/none.png" if k % 3 == 0 else "header1.xml"),
+        "word/header1.xml": f"<w:hdr {_W}>{given}" + "</w:hdr>" * (k % 13 > 0),
+        "customXml/item1.xml": f"<a>{given * (k % 2)}</a>",
+        "word/extra.bin": surname.encode("utf-16-le") if k % 4 == 0 else None,
+        "word/embeddings/o.bin": b"o" if k % 6 == 0 else None,
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            if data is not None:
+                z.writestr(name, data)
+    return out.getvalue()
+
+
+def office_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a package for each customer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            made = [(str(k), _package(k, surname, given)) for k, surname, given in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([c for _, c in made], pa.binary())], names=["path", "content"])
+
+    return people(spark, sf_dir).select("k", "surname", "given").mapInArrow(run, "path string, content binary")
+
+
+#: (fault, part, target, when): what ``_package`` does to a package that has its content types.
+_REACHED = "(k % 11 <> 0 AND k % 19 <> 0)"
+_FAULTS = (
+    ("no document", None, None, "k % 11 = 0"),
+    ("malformed", "word/header1.xml", None, "k % 13 = 0"),
+    ("dead type", "word/gone.xml", None, "k % 7 = 0"),
+    ("dead type", "word/document.xml", None, "k % 11 = 0"),
+    ("untyped", "word/extra.bin", None, "k % 20 = 0"),
+    ("untyped", "word/embeddings/o.bin", None, "k % 30 = 0"),
+    ("dead link", "word/_rels/document.xml.rels", "word/media/none.png", "k % 3 = 0"),
+    ("dead link", "_rels/.rels", "word/document.xml", "k % 11 = 0 AND k % 19 <> 0"),
+    ("unreachable", "word/document.xml", None, "k % 11 <> 0 AND k % 19 = 0"),
+    *(("unreachable", part, None, f"NOT {_REACHED}") for part in ("word/_rels/document.xml.rels", "word/header1.xml", "customXml/item1.xml")),
+    ("unreachable", "word/embeddings/o.bin", None, f"k % 6 = 0 AND NOT {_REACHED}"),
+    ("unreachable", "word/extra.bin", None, "k % 4 = 0"),
+    ("unclassified", "word/extra.bin", None, "k % 4 = 0"),
+    ("embedded", "word/embeddings/o.bin", None, "k % 6 = 0"),
+)
+_quoted = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+_PATH = "CAST(k AS VARCHAR) AS path"
+
+
+@query(f"WITH {people_sql()} SELECT {_PATH}, 'no types' AS fault, CAST(NULL AS VARCHAR) AS part, CAST(NULL AS VARCHAR) AS target FROM people WHERE k % 17 = 0 UNION ALL " + " UNION ALL ".join(f"SELECT {_PATH}, '{f}', {_quoted(p)}, {_quoted(t)} FROM people WHERE k % 17 <> 0 AND {when}" for f, p, t, when in _FAULTS))
+def package_faults(spark, sf_dir):
+    return structure.faults(structure.relation(office_packages(spark, sf_dir)))
+
+
+@query(f"""WITH {people_sql()}, n AS (
+SELECT k, 'word/document.xml' AS part, surname AS needle, k % 4 + 1 - k % 3 AS excess FROM people WHERE k % 11 <> 0
+UNION ALL SELECT k, 'word/extra.bin', surname, 1 - k % 3 FROM people WHERE k % 4 = 0
+UNION ALL SELECT k, 'word/header1.xml', given, 1 FROM people UNION ALL SELECT k, 'customXml/item1.xml', given, k % 2 FROM people)
+SELECT {_PATH}, part, needle, CAST(excess AS BIGINT) AS excess FROM n WHERE excess > 0""")
+def package_residues(spark, sf_dir):
+    rows = people(spark, sf_dir).withColumn("path", F.col("k").cast("string"))
+    needles = rows.select("path", F.col("surname").alias("needle"), (F.col("k") % 3).alias("allowed")).unionByName(rows.select("path", F.col("given").alias("needle"), F.lit(None).cast("long").alias("allowed")))
+    return docx.residues(office_packages(spark, sf_dir), needles)
+
+
+@query(f"""WITH {people_sql()} SELECT {_PATH}, CAST(length(surname) + 2 + k % 4 AS INT) AS runs_before, CAST(CASE WHEN k % 4 > 0 THEN 2 ELSE 1 END + 1 + k % 4 AS INT) AS runs_after,
+surname || ' ' || substr(given, 1, 2) || repeat(chr(10) || surname, CAST(k % 4 + 1 AS INT)) AS text FROM people WHERE k % 11 <> 0""")
+def merged_runs(spark, sf_dir):
+    return docx.merged(office_packages(spark, sf_dir)).where("part = 'word/document.xml'").select("path", "runs_before", "runs_after", "text")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,7 @@ TRACES = re.compile(r"^(docProps/custom\.xml|docProps/thumbnail.*|word/people\.x
 XML_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 PNG_TEXT, JPEG_META = {b"tEXt", b"iTXt", b"zTXt", b"eXIf", b"tIME"}, {0xE1, 0xED}
 SHORTEST_NEEDLE = 4
+_IN_RUN = {W + tag for tag in ("rPr", "t", "tab", "br", "cr")}
 _FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
 
 
@@ -113,6 +116,34 @@ def strip_editing_marks(xml: bytes) -> bytes:
     return re.sub(rb"<w:proofErr\b[^>]*/>|<w:rsids>.*?</w:rsids>", b"", xml, flags=re.S)
 
 
+def merge_runs(xml: bytes) -> bytes:
+    """Neighbouring runs of equal properties made one, so that a name is in one text element; the part as it was if its text would
+    change. Only runs of properties, texts, tabs and breaks are merged: fields, notes and pictures stay where they are."""
+    root = _parse(xml)
+    before = flat(root)[0]
+    look = lambda run: b"".join(ElementTree.tostring(c) for c in run if c.tag == W + "rPr")
+    for parent in list(root.iter()):
+        kept: list[ElementTree.Element] = []
+        for child in list(parent):
+            plain = child.tag == W + "r" and all(c.tag in _IN_RUN for c in child)
+            if plain and kept and kept[-1].get("_plain") and look(kept[-1]) == look(child):
+                into = kept[-1]
+                for piece in (c for c in child if c.tag != W + "rPr"):
+                    if piece.tag == W + "t" and len(into) and into[-1].tag == W + "t":
+                        into[-1].text = (into[-1].text or "") + (piece.text or "")
+                        into[-1].set(XML_SPACE, "preserve")
+                    else:
+                        into.append(piece)
+            else:
+                if plain:
+                    child.set("_plain", "1")
+                kept.append(child)
+        parent[:] = kept
+    for node in root.iter():
+        node.attrib.pop("_plain", None)
+    return _write(root) if flat(root)[0] == before else xml
+
+
 def strip_png(data: bytes) -> bytes:
     out, at = [data[:8]], 8
     while at + 12 <= len(data):
@@ -180,20 +211,67 @@ def rewrite(content: bytes, edits: dict[str, list[tuple[int, int, str]]], revisi
     return out.getvalue()
 
 
+def automaton(needles: Iterable[str]) -> ahocorasick.Automaton | None:
+    """One that finds all needles of ``SHORTEST_NEEDLE`` characters or more, in UTF-8 and UTF-16, in bytes read as Latin-1; None if there are none."""
+    out = ahocorasick.Automaton()
+    for needle in set(needles):
+        for encoding in ("utf-8", "utf-16-le") if len(needle) >= SHORTEST_NEEDLE else ():
+            key = needle.encode(encoding, "surrogatepass").decode("latin-1")
+            out.add_word(key, (*out.get(key, ()), (needle, encoding, len(key))))
+    if not len(out):
+        return None
+    out.make_automaton()
+    return out
+
+
+def count_needles(data: bytes, sought: ahocorasick.Automaton | None) -> Counter[str]:
+    """How often each needle is in ``data``; its own occurrences don't overlap, each encoding counts for itself."""
+    out: Counter[str] = Counter()
+    free: dict[tuple[str, str], int] = {}
+    for last, hits in sought.iter(data.decode("latin-1")) if sought else ():
+        for needle, encoding, size in hits:
+            if last - size + 1 >= free.get((needle, encoding), 0):
+                free[needle, encoding] = last + 1
+                out[needle] += 1
+    return out
+
+
 def residue(content: bytes, needles: list[str], allowed: dict[str, int] | None = None) -> list[tuple[str, str, int]]:
-    """(part, needle, times) of originals left in any part's bytes, UTF-8 or UTF-16, beyond what a reviewer allowed."""
-    found = []
+    """(part, needle, times) of originals left in any part's bytes, UTF-8 or UTF-16, beyond what a reviewer allowed in each part.
+    Each part is passed once, whatever the number of needles."""
+    found, sought = [], automaton(needles)
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in z.namelist():
-            data = z.read(name)
-            for needle in needles:
-                if len(needle) >= SHORTEST_NEEDLE:
-                    n = data.count(needle.encode()) + data.count(needle.encode("utf-16-le")) - (allowed or {}).get(needle, 0)
-                    if n > 0:
-                        found.append((name, needle, n))
+            counts = count_needles(z.read(name), sought)
+            found += [(name, x, n) for x in dict.fromkeys(needles) if (n := counts[x] - (allowed or {}).get(x, 0)) > 0]
     return found
 
 
+def residues(files: DataFrame, needles: DataFrame) -> DataFrame:
+    """(path, part, needle, excess) over packages (path, content), for needles (path, needle, allowed) of the same path.
+
+    Needles shorter than ``SHORTEST_NEEDLE`` and null needles are not sought; a null ``allowed`` is 0; a needle given twice for a
+    path is allowed the larger number. A package that can't be opened has one row with null part, needle and excess.
+    """
+    wanted = needles.where("needle IS NOT NULL").groupBy(F.col("path").alias("_path"), "needle").agg(F.max(F.coalesce(F.col("allowed").cast("long"), F.lit(0))).alias("allowed"))
+    wanted = wanted.groupBy("_path").agg(F.map_from_entries(F.collect_list(F.struct("needle", "allowed"))).alias("wanted"))
+    both = files.select("path", "content").join(wanted, F.col("path") == F.col("_path")).select("path", "content", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, wanted in zip(*batch.columns, strict=True):
+                allowed = dict(wanted.as_py())
+                try:
+                    rows = residue(content.as_py() or b"", list(allowed), allowed)
+                except zipfile.BadZipFile:
+                    rows = [(None, None, None)]
+                if rows:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows), batch.column(0).type), *cols], names=["path", "part", "needle", "excess"])
+
+    return both.mapInArrow(run, f"path {files.schema['path'].dataType.simpleString()}, part string, needle string, excess long")
+
+
 def residue_count(content: Column, needle: Column) -> Column:
     """How often an original is left in any part of a package, as ``residue`` counts."""
 
@@ -220,3 +298,27 @@ def rewrite_all(files: DataFrame, plan: Callable[[str, bytes], dict[str, list[tu
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(errors, pa.string())], names=["path", "content", "error"])
 
     return files.select("path", "content").mapInArrow(run, "path string, content binary, error string")
+
+
+def merged(files: DataFrame) -> DataFrame:
+    """(path, part, runs_before, runs_after, text, xml) of each part with text of packages (path, content), its runs merged. Parts
+    that are no XML and packages that can't be opened have no rows; ``structure.faults`` names them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        texts = [(n, z.read(n)) for n in dict.fromkeys(z.namelist()) if any(k in TEXT_PARTS and re.search(p, n) for k, p in PARTS)]
+                except zipfile.BadZipFile:
+                    continue
+                for part, xml in texts:
+                    try:
+                        made = merge_runs(xml)
+                    except ElementTree.ParseError:
+                        continue
+                    before, after = (sum(1 for _ in ElementTree.fromstring(x).iter(W + "r")) for x in (xml, made))
+                    row = [pa.array([path.as_py()], batch.column(0).type), pa.array([part]), *(pa.array([n], pa.int32()) for n in (before, after)), pa.array([flat(ElementTree.fromstring(made))[0].rstrip("\n")]), pa.array([made])]
+                    yield pa.RecordBatch.from_arrays(row, names=["path", "part", "runs_before", "runs_after", "text", "xml"])
+
+    return files.select("path", "content").mapInArrow(run, f"path {files.schema['path'].dataType.simpleString()}, part string, runs_before int, runs_after int, text string, xml binary")
