@@ -14,12 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.hungarian import inflect, number_words, read_number_words
+from spanloom.functions.hungarian import inflect, number_words, read_number_words, words_of
 from spanloom.functions.text import LETTERS, LOWER
 
 #: Currency spellings, words that announce an amount in words, base confidence in hundredths.
 CURRENCY = {"ft": "HUF", "huf": "HUF", "forint": "HUF", "eur": "EUR", "euro": "EUR", "euró": "EUR", "usd": "USD", "dollár": "USD", "chf": "CHF", "frank": "CHF", "gbp": "GBP"}
 CONFIDENCE = {"osszeg": 85, "osszeg_betuvel": 97}
+#: The sentences of a plan's warnings.
+WARNINGS = {
+    "broken": "Elromlott végösszeg: az iratban %s + %s = %s %s, a csere után %s + %s = %s, de a végösszeg helyén %s áll. Ezt egy ügyvéd észreveszi — nézd át kézzel, vagy válts címkés módra.",
+    "merged": "Összeolvadt összegek: %s egyaránt %s lett a kerekítés után, így az iratban két különböző tétel azonosnak látszik.",
+    "unchanged": "Nem változott: a %s %s összeg a szorzás és kerekítés után önmaga maradt, tehát ez az adat NEM lett anonimizálva.",
+    "unspellable": "A betűs alak („%s”) nem írható át: az új érték (%s) nem egész szám.",
+}
 UNGROUPED, UNGROUPED_FROM, AUTO = 8, 10_000, 80
 ENDING_CASE = {
     "ot": "ACC", "at": "ACC", "et": "ACC", "öt": "ACC", "t": "ACC", "ra": "SUB", "re": "SUB", "ban": "INE", "ben": "INE", "ba": "ILL", "be": "ILL",
@@ -216,6 +223,60 @@ def rescale(values: DataFrame, case: str, factor: str) -> DataFrame:
     return values.groupBy(case).applyInPandas(run, f"`{case}` {kind}, currency string, value double, new_value double")
 
 
+def number_text(value: Column) -> Column:
+    """A number as warnings show it: whole, or with the decimals that it has (six at most)."""
+    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "0+$", ""))
+
+
+def relation_report(plan: DataFrame, relations: DataFrame, case: str) -> DataFrame:
+    """(case, currency, a, b, c, new_a, new_b, new_c, kept) of relations a + b = c under a plan (case, currency, value, new_value).
+
+    The final values are measured, so a repair that broke another sum shows. A relation with a value that the plan lacks has no row.
+    """
+    out = relations.select(case, "currency", "a", "b", "c")
+    for x in "abc":
+        out = out.join(plan.select(case, "currency", F.col("value").alias(x), F.col("new_value").alias(f"new_{x}")), [case, "currency", x])
+    return out.select(case, "currency", "a", "b", "c", "new_a", "new_b", "new_c", (F.round(F.col("new_a") + F.col("new_b"), 6) == F.col("new_c")).alias("kept"))
+
+
+def plan_warnings(plan: DataFrame, relations: DataFrame, case: str, here: DataFrame | None = None, spelled: DataFrame | None = None) -> DataFrame:
+    """(case, kind, currency, value, message) of a plan, each once.
+
+    ``broken`` sums (value: the old total), different values ``merged`` into one new value (value: the new one; the old ones
+    ascending), values left ``unchanged`` among those that stand ``here`` (case, currency, value; all where it is not given: values
+    brought in from a case's other documents shape the grid only), and ``unspellable`` words (``spelled``: case, currency, value,
+    words) whose new value is not whole.
+    """
+    shown = lambda c: number_text(F.col(c))
+    fill = lambda kind, *parts: F.format_string(WARNINGS[kind], *parts)
+    row = lambda df, kind, value, *parts: df.select(case, F.lit(kind).alias("kind"), "currency", F.col(value).alias("value"), fill(kind, *parts).alias("message"))
+    broken = relation_report(plan, relations, case).where("NOT kept").withColumn("total", F.round(F.col("new_a") + F.col("new_b"), 6))
+    out = row(broken, "broken", "c", *map(shown, "abc"), F.col("currency"), shown("new_a"), shown("new_b"), shown("total"), shown("new_c"))
+    one = plan.groupBy(case, "currency", "new_value").agg(F.sort_array(F.collect_set("value")).alias("old")).where(F.size("old") > 1)
+    out = out.unionByName(row(one, "merged", "new_value", F.array_join(F.transform("old", number_text), " és "), shown("new_value")))
+    same = plan.where("new_value = value")
+    if here is not None:
+        same = same.join(here.select(case, "currency", "value"), [case, "currency", "value"], "left_semi")
+    out = out.unionByName(row(same, "unchanged", "value", shown("value"), F.col("currency")))
+    if spelled is not None:
+        lost = spelled.select(case, "currency", "value", "words").join(plan.where("new_value <> floor(new_value)"), [case, "currency", "value"])
+        out = out.unionByName(row(lost, "unspellable", "value", F.col("words"), shown("new_value")))
+    return out.distinct()
+
+
+def plan_edits(found: DataFrame, plan: DataFrame, case: str) -> DataFrame:
+    """``found`` (rows of ``scan`` with their case) with (edit_start, edit_end, replacement) for each change in their text: the number
+    in its own shape, and the same number in words, capital where it was. Words of a value that is not whole stay as they are."""
+    new = F.col("new_value")
+    was = F.substring("surface", F.col("words_start") - F.col("start") + 1, F.lit(1))
+    capital = (was == F.upper(was)) & (was != F.lower(was))
+    words = F.when(capital, F.concat(F.upper(F.substring("_words", 1, 1)), F.expr("substring(_words, 2)"))).otherwise(F.col("_words"))
+    number = F.struct(F.col("number_start").alias("edit_start"), F.col("number_end").alias("edit_end"), format_number(new, F.col("separator"), F.col("decimals"), F.col("dash")).alias("replacement"))
+    spelled = F.when(F.col("words_start").isNotNull() & (new == F.floor(new)), F.struct(F.col("words_start").alias("edit_start"), F.col("words_end").alias("edit_end"), words.alias("replacement")))
+    planned = found.join(plan.select(case, "currency", "value", "new_value"), [case, "currency", "value"]).withColumn("_words", words_of(new.cast("long")))
+    return planned.withColumn("_edit", F.explode(F.array_compact(F.array(number, spelled)))).select(*found.columns, "_edit.*")
+
+
 def label_text(suffix: str | None) -> str:
     """``[összeg]`` with the currency's case ending."""
     case = ENDING_CASE.get((suffix or "").lower())
