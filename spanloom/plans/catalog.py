@@ -214,11 +214,11 @@ def amount_scan(spark, sf_dir):
     return found.select("k", "surface", "value", "currency", "confidence", "start", again.alias("again"))
 
 
-@query("""WITH v AS (SELECT DISTINCT o_custkey % 40 AS case_id, 'HUF' AS currency, floor(o_totalprice / 2500) AS value FROM orders),
+@query("""WITH v AS (SELECT DISTINCT o_custkey AS case_id, 'HUF' AS currency, floor(o_totalprice / 2500) AS value FROM orders),
 n AS (SELECT case_id FROM v GROUP BY case_id HAVING count(*) <= 200), w AS (SELECT v.* FROM v JOIN n USING (case_id))
 SELECT a.case_id, a.currency, a.value AS a, b.value AS b, c.value AS c FROM w AS a JOIN w AS b ON a.case_id = b.case_id AND a.value <= b.value AND a.value > 0 JOIN w AS c ON c.case_id = a.case_id AND c.value = a.value + b.value AND c.value <> a.value AND c.value <> b.value""")
 def sum_relations(spark, sf_dir):
-    values = table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 AS case_id", "'HUF' AS currency", "CAST(floor(o_totalprice / 2500) AS DOUBLE) AS value").distinct()
+    values = table(spark, sf_dir, "orders").selectExpr("o_custkey AS case_id", "'HUF' AS currency", "CAST(floor(o_totalprice / 2500) AS DOUBLE) AS value").distinct()
     return amounts.sums(values, "case_id")
 
 
