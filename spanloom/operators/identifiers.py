@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checksums
 from spanloom.functions.text import LETTERS, LOWER, UPPER
+from spanloom.operators.places import addresses, plots
 from spanloom.operators.spans import resolve_overlaps
 
 AUTO = 80
@@ -32,124 +33,75 @@ NAMES = {
 }
 LABEL, VALID, INVALID, BAD_STRUCTURE = 25, 20, -15, -15
 PLACES = ("helyrajzi_szam", "cim", "iranyitoszam")
-#: What may follow a street's name.
-STREETS = "körútja|körút|sugárútja|sugárút|rakpart|part|utcája|utca|útja|út|fasor|sétány|lakótelep|liget|park|köz|tér|sor|dűlő|lejtő|domb|kert|udvar|árok|krt\\.|ltp\\.|u\\."
-
-
-#: Words that name a kind near its number; a star stands for any ending.
+#: Words that name a kind near its number, as expressions.
 LABEL_WORDS = {
-    "ado_azonosito_jel": "adóazonosító* jel*|adóazonosító*|adó azonosító* jel*|adó azonosító*",
-    "taj": "TAJ|T.A.J.|társadalombiztosítási*",
-    "adoszam": "adószám*",
-    "cegjegyzekszam": "cégjegyzék*",
-    "bankszamlaszam": "bankszámla*|bankszámlá*|pénzforgalmi jelzőszám*|számlaszám*|számlászám*",
-    "iban": "IBAN",
-    "telefonszam": "telefonszám*|telefon|mobilszám*|mobil|tel.",
-    "szemelyazonosito_igazolvany": "személyazonosító igazolvány*|személyi igazolvány*|szig.",
-    "birosagi_ugyszam": "ügyszám*|ügy szám*",
-    "email": "e-mail*|email*|villámposta*",
-    "rendszam": "forgalmi rendszám*|rendszám*|frsz.",
-    "cim": "lakcím*|lakóhely*|székhely*|tartózkodási hely*|telephely*|cím*",
+    "ado_azonosito_jel": r"adó ?azonosító\w*( jel\w*)?",
+    "taj": r"TAJ|T\.A\.J\.|társadalombiztosítási\w*",
+    "adoszam": r"adószám\w*",
+    "cegjegyzekszam": r"cégjegyzék\w*",
+    "bankszamlaszam": r"bankszámla\w*|bankszámlá\w*|pénzforgalmi jelzőszám\w*|számlaszám\w*|számlászám\w*",
+    "iban": r"IBAN",
+    "telefonszam": r"telefonszám\w*|telefon|mobilszám\w*|mobil|tel\.",
+    "szemelyazonosito_igazolvany": r"személyazonosító igazolvány\w*|személyi igazolvány\w*|szig\.",
+    "birosagi_ugyszam": r"ügy ?szám\w*",
+    "email": r"e-?mail\w*|villámposta\w*",
+    "rendszam": r"forgalmi rendszám\w*|rendszám\w*|frsz\.",
+    "cim": r"lakcím\w*|lakóhely\w*|székhely\w*|tartózkodási hely\w*|telephely\w*|cím\w*",
+}
+#: Formats that a number must have whole.
+FORMATS = {
+    "ado_azonosito_jel": r"8[0-9]{9}",
+    "taj": r"(?<![0-9][ \-])[0-9]{3}[ \-]?[0-9]{3}[ \-]?[0-9]{3}",
+    "adoszam": r"[0-9]{8}-[1-5]-[0-9]{2}",
+    "cegjegyzekszam": r"[0-9]{2}-[0-9]{2}-[0-9]{6}",
+    "bankszamlaszam": r"[0-9]{8}-[0-9]{8}(-[0-9]{8})?",
+    "iban": r"HU[0-9]{2}([ \xa0]?[0-9]{4}){6}",
+    "szemelyazonosito_igazolvany": f"[0-9]{{6}} ?[{UPPER}]{{2}}|[{UPPER}]{{2}}[0-9]{{6}}",
+    "birosagi_ugyszam": f"([0-9]{{1,3}}\\.)?[{UPPER}][{LOWER}]{{0,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,4}}/[0-9]{{4}}(/[0-9]{{1,3}})?",
+    "rendszam": r"[A-Z]{3,4}-[0-9]{3}|[A-Z]{2}-[A-Z]{2}-[0-9]{3}",
 }
-_DIGIT, _BLANK, _GAP = "[0-9]", "[ \\t]*", "[ \\t]+"
-#: Nothing that would make a number or a word longer.
-_ALONE = f"(?<![{LETTERS}0-9])", f"(?![{LETTERS}0-9])"
-
-
-def _digits(*groups: int, between: str = "") -> str:
-    """Groups of so many digits each."""
-    return between.join(f"{_DIGIT}{{{n}}}" for n in groups)
-
-
-def _upto(n: int, what: str = _DIGIT) -> str:
-    return f"{what}{{1,{n}}}"
-
-
-def _maybe(*parts: str) -> str:
-    return f"(?:{''.join(parts)})?"
-
-
-def _any(*ways: str) -> str:
-    return f"(?:{'|'.join(ways)})"
-
-
-def _town() -> str:
-    name = f"[{UPPER}][{LOWER}]+"
-    return name + _maybe("-", name)
-
-
-def _address() -> str:
-    """Postcode and town, street, house, then perhaps a level and perhaps a door."""
-    street = _any(f"[{UPPER}][{LOWER}]+{_GAP}") + f"{{1,3}}(?:{STREETS})(?![{LETTERS}])"
-    house = _upto(4) + _maybe("/", _upto(3, f"[{UPPER}0-9]")) + "\\.?"
-    number = f"{_upto(3)}(?!{_DIGIT})"
-    word = _maybe(_BLANK, "ajtó")
-    door = _BLANK + number + "\\.?" + word
-    storey = _any("[IVXLC]+", _upto(2)) + f"\\.{_BLANK}" + _any("emelet", "em")
-    ground = _any("m?fszt", "(?:magas)?földszint")
-    named = _BLANK + _any(storey, ground) + "\\.?" + _maybe(door)
-    slashed = _BLANK + _any(_upto(4, "[IVX]"), _upto(2)) + "/" + _any(number, f"[{UPPER}]") + "\\.?" + word
-    bare = _BLANK + _upto(4, "[IVX]") + f"\\.{door}"
-    return f"{_postcode()}{_BLANK},{_BLANK}{street}{_GAP}{house}{_maybe(_any(named, slashed, bare))}"
-
-
-def _postcode() -> str:
-    return f"[1-9]{_digits(3)}[ \xa0]+{_town()}"
 
 
-def _plot() -> str:
-    """A plot's number with its label before or behind, with or without a town."""
-    number = _upto(5) + _maybe("/", _upto(3)) + _maybe(f"/[{UPPER}]")
-    label = _any("hrsz\\.?", f"helyrajzi{_GAP}szám[{LOWER}]*")
-    behind = f"{number}\\.?{_BLANK}{label}"
-    area = _any(f"{_GAP}{_any('belterület', 'külterület', 'zártkert')}[{LOWER}]*", f"{_BLANK},")
-    return _any(f"{_town()}{area}?{_GAP}{behind}", f"{label}{_BLANK}:?{_BLANK}{number}", behind)
+@cache
+def patterns() -> list[tuple[str, re.Pattern]]:
+    """Kind and format, with no letter or digit beside it."""
+    return [(kind, re.compile(f"(?<![{LETTERS}0-9])(?:{p})(?![{LETTERS}0-9])")) for kind, p in FORMATS.items()]
 
 
-def _phone() -> str:
-    split = "[ \\-/]?"
-    area = "\\(?" + _any("1", f"[2-9]{_DIGIT}") + "\\)?"
-    return _any("\\+36", "06") + split + area + split + _any(_digits(3, 2, 2, between=split), _digits(3, 3, between=split))
+_DIALLED = re.compile(f"(?<![{LETTERS}0-9+])(?:\\+36|06)")
+_SUBSCRIBER = ((3, 2, 2), (3, 3))
 
 
-def _court() -> str:
-    return _maybe(_upto(3), "\\.") + f"[{UPPER}][{LOWER}]{{0,3}}\\.{_upto(3)}\\.{_upto(4)}/{_digits(4)}" + _maybe("/", _upto(3))
+def phones(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of phone numbers: the country's or the trunk's prefix, an area of one or two digits that may stand in
+    brackets, and a subscriber's digits in groups, with at most one blank, hyphen or stroke between."""
 
+    def groups(at: int, sizes: tuple[int, ...]) -> int | None:
+        for size in sizes:
+            at += text[at : at + 1] in tuple(" -/")
+            part = text[at : at + size]
+            if len(part) < size or not (part.isascii() and part.isdigit()):
+                return None
+            at += size
+        return at
 
-@cache
-def patterns() -> list[tuple[str, re.Pattern]]:
-    """Kind and pattern; a kind may have several."""
-    capitals = lambda n: f"[A-Z]{{{n}}}"
-    pair = f"[{UPPER}]{{2}}"
-    shapes = {
-        "ado_azonosito_jel": ["8" + _digits(9)],
-        "taj": ["(?<![0-9][ \\-])" + _digits(3, 3, 3, between="[ \\-]?")],
-        "adoszam": [f"{_digits(8)}-[1-5]-{_digits(2)}"],
-        "cegjegyzekszam": [_digits(2, 2, 6, between="-")],
-        "bankszamlaszam": [_digits(8, 8, between="-") + _maybe("-", _digits(8))],
-        "iban": ["HU" + _digits(2) + _any("[ \xa0]?" + _digits(4)) + "{6}"],
-        "helyrajzi_szam": [_plot()],
-        "iranyitoszam": [_postcode()],
-        "telefonszam": [_phone()],
-        "szemelyazonosito_igazolvany": [f"{_digits(6)} ?{pair}", pair + _digits(6)],
-        "birosagi_ugyszam": [_court()],
-        "rendszam": [_any(f"{capitals(3)}-{_digits(3)}", f"{capitals(2)}-{capitals(2)}-{_digits(3)}", f"{capitals(4)}-{_digits(3)}")],
-    }
-    # A plus sign is part of a phone number; towns and addresses may be followed by anything but a letter, or by anything.
-    before = {"telefonszam": f"(?<![{LETTERS}0-9+])"}
-    behind = {"iranyitoszam": f"(?![{LETTERS}])"}
-    found = [(kind, re.compile(before.get(kind, _ALONE[0]) + p + behind.get(kind, _ALONE[1]))) for kind, ways in shapes.items() for p in ways]
-    return [*found, ("cim", re.compile(_ALONE[0] + _address()))]
+    for m in _DIALLED.finditer(text):
+        at = m.end() + (text[m.end() : m.end() + 1] in tuple(" -/"))
+        at += text.startswith("(", at)
+        at = groups(at, (1 if text.startswith("1", at) else 2,)) if text[at : at + 1] in tuple("123456789") else None
+        if at is not None:
+            at += text.startswith(")", at)
+            ends = (groups(at, sizes) for sizes in _SUBSCRIBER)
+            end = next((e for e in ends if e and not re.match(f"[{LETTERS}0-9]", text[e : e + 1])), None)
+            if end:
+                yield m.start(), end
 
 
 @cache
 def labels() -> dict[str, re.Pattern]:
-    """What may stand near a number to name its kind."""
-
-    def phrase(words: str) -> str:
-        return _GAP.join(re.escape(w).replace("\\*", f"[{LOWER}]*") for w in words.split())
-
-    return {k: re.compile(f"(?<![{LETTERS}])(?:{'|'.join(map(phrase, ways.split('|')))})(?![{LETTERS}])", re.I) for k, ways in LABEL_WORDS.items()}
+    """What may stand near a number to name its kind; its words may be further apart than one blank."""
+    blanks = lambda ways: re.sub(r" (\??)", lambda m: r"[ \t]*" if m[1] else r"[ \t]+", ways)
+    return {k: re.compile(f"(?<![{LETTERS}])(?:{blanks(ways)})(?![{LETTERS}])", re.I) for k, ways in LABEL_WORDS.items()}
 
 
 #: Characters looked at for a label before and, for kinds that may be named afterwards, behind.
@@ -179,6 +131,8 @@ def raw_hits(text: str) -> list[tuple[int, int, str, str, str | None]]:
     """(start, end, text, kind, label), each span of a kind once."""
     spans = {(kind, m.start(), m.end()) for kind, p in patterns() for m in p.finditer(text)}
     spans |= {("email", a, b) for a, b, _, kind in tokens(text) if kind == "email"}
+    spans |= {("telefonszam", a, b) for a, b in phones(text)} | {("helyrajzi_szam", a, b) for a, b in plots(text)}
+    spans |= {(kind, a, b) for a, b, kind in addresses(text)}
     return [(a, b, text[a:b], kind, near_label(text, kind, a, b)) for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0]))]
 
 

@@ -41,3 +41,27 @@ def test_scores_and_overlaps(spark):
 def test_bad_check_digit_goes_to_review(spark):
     bad = I.find(spark.createDataFrame([(1, "8442130970 szám")], "doc long, text string"), ["doc"]).where("kind = 'ado_azonosito_jel'").first()
     assert bad.checksum == "invalid" and bad.confidence == 40 and bad.disposition == "review"
+
+
+@pytest.mark.parametrize(
+    "text, surface, kind",
+    [
+        ("1051 Budapest , Kis u. 5 III/12. lakos", "1051 Budapest , Kis u. 5 III/12.", "cim"),
+        ("1051 Budapest, Kis Péter krt. 5/12 2. emelet, ott", "1051 Budapest, Kis Péter krt. 5/12 2. emelet", "cim"),
+        ("8000 Székesfehérvár-Kisfalud, Ady Endre utca 1. földszint", "8000 Székesfehérvár-Kisfalud, Ady Endre utca 1. földszint", "cim"),
+        ("1051 Budapest, Kis utca 5 3/B ajtó", "1051 Budapest, Kis utca 5 3/B ajtó", "cim"),
+        ("1051 Budapest, Kis utca 5 IV. 12 felett", "1051 Budapest, Kis utca 5 IV. 12", "cim"),
+        ("Szentendre, 4127/8/A hrsz. alatt", "Szentendre, 4127/8/A hrsz.", "helyrajzi_szam"),
+        ("helyrajzi számú: 123/4 telek", "helyrajzi számú: 123/4", "helyrajzi_szam"),
+        ("a 12 hrsz-ú telek", "12 hrsz", "helyrajzi_szam"),
+        ("06 (20) 123 45 67 hívható", "06 (20) 123 45 67", "telefonszam"),
+        ("06-1-234-567", "06-1-234-567", "telefonszam"),
+    ],
+)
+def test_whole_surfaces(text, surface, kind):
+    assert (surface, kind) in [(h[2], h[3]) for h in I.raw_hits(text)]
+
+
+@pytest.mark.parametrize("text", ["0123 Pest", "1051 budapest, Kis utca 5", "1051 Budapest, kis utca 5", "1051 Budapest, Kis utca 12345", "+36 1 234 5678x", "hrsz. nélkül", "x06201234567"])
+def test_what_is_no_address_plot_or_phone(text):
+    assert not [h for h in I.raw_hits(text) if h[3] in ("cim", "helyrajzi_szam", "telefonszam")]
