@@ -126,6 +126,31 @@ def auto_accepted(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("by_program") & (F.col("decision") == "accept")).withColumn("common_word", F.coalesce("ambiguous", F.lit(False)))
 
 
+#: Which part of a person's name a core is; other cores hold a second part that tells a name from a word.
+PART_OF_CORE = {"surname": "surname", "family": "surname", "wife_surname": "surname", "maiden_surname": "maiden", "given": "given"}
+
+
+def with_common_words(hits: DataFrame, entities: DataFrame, words: DataFrame, case: str, word: str = "word") -> DataFrame:
+    """``hits`` (case, entity_id, core, surface, ...) with ``common_word``: the surface, or the part of a person's name that its
+    core stands for, is a word of the language, in any case of letters.
+
+    ``entities`` has (case, id, kind, surname, given, maiden); ``words`` is a dimension of any size that rows meet by two joins.
+    Hits of unknown or null entities are judged by their surface alone; null surfaces and parts are no words.
+    """
+    known = words.where(F.col(word).isNotNull()).select(F.lower(word).alias("_word")).distinct()
+    parts = entities.where("kind = 'person'").select(F.col(case).alias("_case"), F.col("id").alias("_id"), "surname", "given", "maiden").dropDuplicates(["_case", "_id"])
+    parts = parts.select("_case", "_id", F.struct("surname", "given", "maiden").alias("_parts"))
+    part = F.lit(None).cast("string")
+    for core, field in PART_OF_CORE.items():
+        part = F.when(F.col("core") == core, F.col(f"_parts.{field}")).otherwise(part)
+    joined = hits.join(parts, (F.col(case) == F.col("_case")) & (F.col("entity_id") == F.col("_id")), "left")
+    joined = joined.withColumns({"_surface": F.lower("surface"), "_part": F.lower(part)}).drop("_case", "_id", "_parts")
+    for key in ("_surface", "_part"):
+        joined = joined.join(known.select(F.col("_word").alias(f"{key}_word")), F.col(key) == F.col(f"{key}_word"), "left")
+    common = F.col("_surface_word").isNotNull() | F.col("_part_word").isNotNull()
+    return joined.withColumn("common_word", common).drop("_surface", "_part", "_surface_word", "_part_word")
+
+
 def export_name(path: Column, mode: Column | str) -> Column:
     """A document's name in an export: its stem, ``-obh`` for role labels or ``-alnevesitett``, its extension."""
     name = F.element_at(F.split(path, "/"), -1)

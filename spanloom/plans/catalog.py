@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checksums, hungarian, keyed, text
 from spanloom.operators import amounts, assign, dates, decisions, identifiers, names, ner, parties, render, spans, verify
-from spanloom.plans import cases, golds_files, packages, rescaled
+from spanloom.plans import cases, golds_files, packages, rescaled, searches
 from spanloom.plans.carrier import claims, claims_sql, digits, people, people_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,5 +480,5 @@ def entity_shapes(spark, sf_dir):
 
 
 # The other modules add theirs.
-QUERIES |= golds_files.QUERIES | cases.QUERIES | packages.QUERIES | rescaled.QUERIES
-SQL |= golds_files.SQL | cases.SQL | packages.SQL | rescaled.SQL
+QUERIES |= golds_files.QUERIES | cases.QUERIES | packages.QUERIES | rescaled.QUERIES | searches.QUERIES
+SQL |= golds_files.SQL | cases.SQL | packages.SQL | rescaled.SQL | searches.SQL
