@@ -285,6 +285,11 @@ def with_companions(keys: DataFrame) -> DataFrame:
     return map_rows(keys.repartition("key").sortWithinPartitions("key"), run, "key long, node long, fp long, pairs long")
 
 
+#: How many of a text's earlier shingles a row of the last join carries, so a text of any length takes room in proportion. Where
+#: two texts have none in common among so many, a pair is made once more; repeated pairs are dropped before they are compared.
+EARLIER = 64
+
+
 def _least(size: int, similarity: float) -> int:
     """Shingles that a set of ``size`` has at least in common with any set of that similarity."""
     return max(1, ceil(similarity * size - 1e-9))
@@ -379,8 +384,8 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
     now = met.join(label, "node")
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
-    # A pair is made once, in the first shingle that both have: later ones see that in what came before.
-    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    # A pair is made in the first shingle that both have; later ones see that in the few that came before them, or make it again.
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
     open_ = materialize(now.join(largest, "key").withColumn("earlier", earlier), "open")
     rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label", "earlier")))
     once = ((F.col("label") == F.col("top")) | (F.col("node") < F.col("o_node"))) & ~F.arrays_overlap("earlier", "o_earlier")

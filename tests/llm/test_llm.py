@@ -207,7 +207,9 @@ def test_one_of_each_group_stays(spark):
     assert simhash.deduplicate(twice).count() == 1
 
 
-def test_copies_with_added_and_removed_passages_are_found(spark):
+@pytest.mark.parametrize("earlier", [simhash.EARLIER, 1])
+def test_copies_with_added_and_removed_passages_are_found(spark, monkeypatch, earlier):
+    monkeypatch.setattr(simhash, "EARLIER", earlier)
     r = random.Random(21)
     word = lambda tag: f"{tag}{r.randint(0, 999)}"
     texts = []
@@ -223,6 +225,16 @@ def test_copies_with_added_and_removed_passages_are_found(spark):
     assert {x.doc_id for x in simhash.deduplicate(docs(spark, texts)).collect()} == set(components(links, range(len(texts))).values())
 
 
+def test_very_long_texts_with_a_shingle_in_all_texts(spark):
+    """Two texts of 100,000 words with a tenth of it apart, one with half, and 300 texts that share one passage but nothing else."""
+    r = random.Random(31)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(100_000)]
+    passage = "this very passage stands in each of the texts"
+    long = [base, [*base[:95_000], *(f"x{i}" for i in range(5_000))], [*base[:50_000], *(f"y{i}" for i in range(50_000))]]
+    texts = [" ".join([*t, passage]) for t in long] + [" ".join([f"t{i}w{k}" for k in range(40)] + [passage]) for i in range(300)]
+    assert {x.doc_id for x in simhash.deduplicate(docs(spark, texts)).collect()} == {*range(len(texts))} - {1}
+
+
 def test_repeated_rows_do_not_cost_other_rows_of_their_key(spark):
     texts = ["one two three four five six", "a b c d e f g", "red green blue black white grey", "red green blue black white grey"]
     keys = [None, None, 7, 7]
