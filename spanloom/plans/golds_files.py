@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text
 from spanloom.operators import themes
+from spanloom.plans.carrier import GIVEN, people, pick, table
 from spanloom.plans.golds import QUERIES, SQL, gold, inputs
 from spanloom.sources import documents, docx, pdf
 
@@ -129,24 +130,22 @@ def surface_keys(spark, sf_dir):
     return inputs(spark, sf_dir, "t string", [r[:1] for r in KEYS]).select("k", text.identifier_key(t).alias("identifier_key"), text.residue_key(t).alias("residue_key"), text.token_surface(t).alias("surface"))
 
 
-#: a theme's proposals (form, group, gender, why rejected)
-THEME_FORMS = (
-    ("Kavics", "surname", None, None), ("kavics", "surname", None, "letters"), ("Ab", "surname", None, "short"), ("Brrr", "surname", None, "no vowel"), ("János", "given", "M", "real name"),
-    ("Opálka", "given", None, "no gender"), ("Kvarcka", "given", "F", None), ("Kvarcka", "given", "M", "two genders"), ("Kvarcka", "given", "F", "repeated"), ("Kavics", "given", "M", "other list"), ("", "org", None, "empty"),
-)
-
-
-def _theme_sql() -> str:
-    rows = ", ".join(f"({i}, {'NULL' if r[3] is None else repr(r[3])})" for i, r in enumerate(THEME_FORMS))
-    return f"SELECT CAST(no AS INT) AS no, reject, CAST((SELECT count(*) FROM nation) AS BIGINT) AS nations FROM (VALUES {rows}) AS t(no, reject)"
+#: Two customers in turn propose one form, spelled from their number or, for every fifth pair, a real name: the second repeats the
+#: first, gives it the other gender, or puts it on the other list; every sixteenth customer names no gender.
+_PAIRS = "SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey - c_custkey % 2 AS BIGINT) AS j FROM customer"
+_FORM = f"CASE WHEN j % 10 = 0 THEN {pick(GIVEN, '(j * 7)')} ELSE 'T' || translate(CAST(j AS STRING), '0123456789', 'aeioubdgkl') END"
+_GROUP = "CASE WHEN j % 6 = 2 OR (j % 6 = 4 AND k % 2 = 1) THEN 'given' ELSE 'surname' END"
+_GENDER = "CASE WHEN k % 16 = 3 OR k % 16 = 13 THEN NULL WHEN k % 2 = 1 AND j % 4 = 2 THEN 'F' ELSE 'M' END"
+_THEME_SQL = f"""WITH p AS ({_PAIRS}), f AS (SELECT k, j, {_FORM} AS form, {_GROUP} AS list, {_GENDER} AS gender, k % 2 = 1 AND count(*) OVER (PARTITION BY j) = 2 AS second FROM p)
+SELECT k AS no, form, CASE WHEN j % 10 <> 0 AND NOT regexp_matches(form, '[aeiou]') THEN 'no vowel' WHEN length(form) < {themes.SHORTEST} THEN 'short' WHEN j % 10 = 0 THEN 'real name'
+WHEN list = 'given' AND gender IS NULL THEN 'no gender' WHEN NOT second THEN NULL WHEN j % 6 = 4 THEN 'other list' WHEN list = 'given' AND gender = 'F' THEN 'two genders' ELSE 'repeated' END AS reject FROM f"""
 
 
 def theme_rejects(spark, sf_dir):
-    """One theme's proposals judged in order."""
-    rows = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(THEME_FORMS)], "no int, form string, group string, gender string")
-    judged = themes.judge(rows, spark.createDataFrame([("János",)], "name string"))
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.count("*").alias("nations"))
-    return judged.select("no", "reject").join(F.broadcast(nations))
+    """Proposals of all customers judged in order against all given names."""
+    pairs = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS no", "CAST(c_custkey - c_custkey % 2 AS BIGINT) AS j").withColumn("k", F.col("no"))
+    rows = pairs.selectExpr("no", f"{_FORM} AS form", f"{_GROUP} AS `group`", f"{_GENDER} AS gender")
+    return themes.judge(rows, people(spark, sf_dir).select(F.col("given").alias("name"))).select("no", "form", "reject")
 
 
-QUERIES["theme_rejects"], SQL["theme_rejects"] = theme_rejects, _theme_sql()
+QUERIES["theme_rejects"], SQL["theme_rejects"] = theme_rejects, _THEME_SQL

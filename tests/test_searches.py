@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import LETTERS
-from spanloom.operators import names, search, shaping
+from spanloom.operators import names, search, shaping, themes
 from spanloom.sources import carriers
 
 TEXTS = ["Kovács Já-\nnos és János", "Já-\r\n  nos", "a-\nb-\n\tc d", "no break - here", "-\nJános-\n", "", "𝒜é-\nJános János.", "János-\n\nJános", None]
@@ -99,3 +99,16 @@ def test_empty_tables(spark, empty):
     edits = spark.createDataFrame([("a", "word/document.xml", 0, 1, "x")], "path string, part string, start int, end int, replacement string")
     out = carriers.edited(files.limit(0) if empty == "files" else files, edits.limit(0) if empty == "edits" else edits)
     assert out.count() == (0 if empty == "files" else 1)
+
+
+#: (form, group, gender, why rejected), judged in this order.
+THEME_FORMS = (
+    ("Kavics", "surname", None, None), ("kavics", "surname", None, "letters"), ("Ab", "surname", None, "short"), ("Brrr", "surname", None, "no vowel"), ("János", "given", "M", "real name"),
+    ("Opálka", "given", None, "no gender"), ("Kvarcka", "given", "F", None), ("Kvarcka", "given", "M", "two genders"), ("Kvarcka", "given", "F", "repeated"), ("Kavics", "given", "M", "other list"), ("", "org", None, "empty"),
+)
+
+
+def test_theme_proposals(spark):
+    rows = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(THEME_FORMS)], "no int, form string, group string, gender string")
+    judged = themes.judge(rows, spark.createDataFrame([("János",)], "name string")).orderBy("no").collect()
+    assert [r.reject for r in judged] == [r[3] for r in THEME_FORMS]
