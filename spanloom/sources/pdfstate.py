@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import batched, each
 from spanloom.sources.pdf import operations
 from spanloom.sources.staged import written
 
@@ -100,11 +101,8 @@ def read_streams(streams: DataFrame, by: list[str], content: str = "content") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(batch.column(len(by))):
-                rows = interpret(raw.as_py() or b"")
-                if rows:
-                    keys = [c.take(pa.array([i] * len(rows))) for c in batch.columns[: len(by)]]
-                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*by, *(f.split()[0] for f in STREAM.split(", "))])
+            rows = ((*keys, *row) for *keys, raw in each([batch]) for row in interpret(raw or b""))
+            yield from batched(rows, [*by, *(f.split()[0] for f in STREAM.split(", "))], [*(c.type for c in batch.columns[: len(by)]), *types])
 
     return streams.select(*by, content).mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds), STREAM]))
 

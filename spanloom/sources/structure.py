@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import batched, each
 from spanloom.sources.documents import part_kind
 from spanloom.sources.staged import written
 
@@ -86,13 +87,8 @@ def relation(files: DataFrame) -> DataFrame:
     more than once is one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_())
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [r for r in opened(content.as_py() or b"") if not (r[0] == "part" and r[1].endswith("/"))]
-                if rows:
-                    cols = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["path", "entry", "part", "target", "size", "reached"])
+        rows = ((path, *r) for path, content in each(batches) for r in opened(content or b"") if not (r[0] == "part" and r[1].endswith("/")))
+        return batched(rows, ["path", "entry", "part", "target", "size", "reached"], [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()])
 
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, f"path string, {SCHEMA}")
 
