@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,11 +44,22 @@ def _forms(names: Iterable[str]) -> set[str]:
     return {f.lower() for w in words for f in (w, *paradigm(w).values())}
 
 
+@cache
+def _safe_forms() -> frozenset[str]:
+    """``SAFE`` and its case forms: the same for every text."""
+    return frozenset(SAFE | {f.lower() for w in SAFE for f in paradigm(w).values()})
+
+
+@cache
+def _shapes() -> tuple[tuple[str, re.Pattern], ...]:
+    return tuple((label, re.compile(rf"(?<![\d\-])(?:{p})(?![\d\-]*\d)")) for label, p in SHAPES)
+
+
 def numbers(text: str, patterns: Iterable[tuple[str, re.Pattern | str]] = (), builtin: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, surface, label) of number-shaped identifiers, the first shape first, none inside a longer run of digits; amounts are none."""
     found: list[tuple[int, int, str, str]] = []
     own = [(label, re.compile(p) if isinstance(p, str) else p) for label, p in patterns]
-    shapes = [*own, *((label, re.compile(rf"(?<![\d\-])(?:{p})(?![\d\-]*\d)")) for label, p in SHAPES if builtin)]
+    shapes = [*own, *(_shapes() if builtin else ())]
     for label, p in shapes:
         for m in p.finditer(text):
             if m.end() > m.start() and not MONEY.match(text, m.end()) and all(m.end() <= a or b <= m.start() for a, b, _, _ in found):
@@ -72,10 +84,10 @@ def verify(text: str, entities: list[Entity], pseudonyms: Iterable[str] = (), ke
     leaks += [(text[a:b], "number", a) for a, b in taken]
     kept = {re.sub("[^0-9A-Za-z]", "", k) for k in keep_numbers}
     open_numbers = [(s, label, a) for a, b, s, label in numbers(text, patterns, builtin) if re.sub("[^0-9A-Za-z]", "", s) not in kept and all(b <= x or y <= a for x, y in taken)]
-    known = _forms([*pseudonyms, *keep]) | SAFE | {s.lower() for s in safe} | _forms(safe) | {f.lower() for w in SAFE for f in paradigm(w).values()}
+    known, ruled = _forms([*pseudonyms, *keep, *safe]) | {s.lower() for s in safe}, _safe_forms()
     blank = _LABEL.sub(lambda m: " " * len(m[0]), text)
     names = {(a, s) for s, _, a in leaks}
-    words = [(m[0], "", m.start()) for m in _CAPITAL.finditer(blank) if len(m[0]) > 1 and m[0] != m[0].upper() and m[0].lower() not in known and not sentence_start(blank, m.start()) and not any(a <= m.start() < a + len(s) for a, s in names)]
+    words = [(m[0], "", m.start()) for m in _CAPITAL.finditer(blank) if len(m[0]) > 1 and m[0] != m[0].upper() and m[0].lower() not in known and m[0].lower() not in ruled and not sentence_start(blank, m.start()) and not any(a <= m.start() < a + len(s) for a, s in names)]
     residual = [*open_numbers, *words]
     return {"ok": not leaks, "leaks": leaks, "residual": residual[:limit], "residual_total": len(residual)}
 

@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from spanloom.functions import batches
+from spanloom.operators import verify
 from spanloom.plans import carrier
 
 DATA = "/root/testdata/sf0.1"
@@ -22,3 +23,11 @@ def test_a_small_file_is_read_by_many_tasks(spark):
     assert carrier.claims(spark, DATA).rdd.getNumPartitions() == 8
     spread = carrier.spread(spark.range(100), "id", 30)
     assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
+
+
+def test_a_text_costs_no_constant_forms(monkeypatch):
+    made = []
+    monkeypatch.setattr(verify, "paradigm", lambda w, f=verify.paradigm: made.append(w) or f(w))
+    verify.verify("Egy Bazalt.", [])
+    made.clear()
+    assert verify.verify("A Bazalt és a Bíróságnak januárban Ft.", [])["residual"] == [("Bazalt", "", 2)] and made == []
