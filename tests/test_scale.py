@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from spanloom.functions import batches
-from spanloom.operators import verify
+from spanloom.operators import names, verify
 from spanloom.plans import carrier
 
 DATA = "/root/testdata/sf0.1"
@@ -31,3 +31,21 @@ def test_a_text_costs_no_constant_forms(monkeypatch):
     verify.verify("Egy Bazalt.", [])
     made.clear()
     assert verify.verify("A Bazalt és a Bíróságnak januárban Ft.", [])["residual"] == [("Bazalt", "", 2)] and made == []
+
+
+def test_words_are_found_as_by_trying_all():
+    words, after = ["a", "ab", "abc", "abcd ef", "abd", "bc"], names._AFTER
+    sought = names.Words(words)
+    for text in ("abcd ef", "abcd eg ab", "abc", "ab", "a", "x abd.", "bc", ""):
+        for at in range(len(text) + 1):
+            fits = [w for w in words if text.startswith(w, at) and not after.match(text, at + len(w))]
+            assert sought.longest(text, at, after) == max(fits, key=len, default=None)
+
+
+def test_equal_entities_share_a_matcher():
+    built = []
+    first, again = names.Entity("p", "person", surname="Kiss", given="Anna"), names.Entity("p", "person", surname="Kiss", given="Anna")
+    make = lambda cast: built.append(cast) or names.Matcher([names.Entity(**dict(zip(names.ENTITY_COLUMNS, e, strict=True))) for e in cast])
+    held = names.Held(make)
+    cast = lambda e: (tuple(getattr(e, c) for c in names.ENTITY_COLUMNS),)
+    assert held[cast(first)] is held[cast(again)] and len(built) == 1
