@@ -115,16 +115,19 @@ def faults(found: DataFrame) -> DataFrame:
     has = lambda name: F.coalesce(F.bool_or((F.col("entry") == "part") & (F.col("part") == name)), F.lit(False))
     whole = found.groupBy("path").agg(F.bool_or(F.col("entry") == "unreadable").alias("shut"), has(TYPES).alias("typed"), has(MAIN).alias("main"))
     of_file = whole.select("path", F.explode(F.array_compact(F.array(F.when(F.col("shut"), "unreadable"), F.when(~F.col("shut") & ~F.col("typed"), "no types"), F.when(F.col("typed") & ~F.col("main"), "no document")))).alias("fault"), none.alias("part"), none.alias("target"))
-    sound = found.join(whole.where("typed").select("path"), "path", "left_semi")
+    # Both sides of each join have rows for every package, and files of short strings are far smaller than what is in them: by
+    # their size alone they would be broadcast, through the driver.
+    met = lambda df: df.hint("merge")
+    sound = found.join(met(whole.where("typed").select("path")), "path", "left_semi")
     there = parts(sound)
     named = there.select("path", "part").distinct()
     listed = lambda entry: sound.where(F.col("entry") == entry)
     row = lambda df, fault, target=none: df.select("path", F.lit(fault).alias("fault"), "part", target.alias("target"))
-    untyped = named.where(F.col("part") != TYPES).join(listed("override").select("path", "part"), ["path", "part"], "left_anti").withColumn("extension", _extension(F.col("part")))
-    untyped = untyped.join(listed("default").select("path", F.col("part").alias("extension")), ["path", "extension"], "left_anti")
-    dead = listed("link").select("path", "part", "target").join(named.withColumnRenamed("part", "target"), ["path", "target"], "left_anti")
+    untyped = named.where(F.col("part") != TYPES).join(met(listed("override").select("path", "part")), ["path", "part"], "left_anti").withColumn("extension", _extension(F.col("part")))
+    untyped = untyped.join(met(listed("default").select("path", F.col("part").alias("extension"))), ["path", "extension"], "left_anti")
+    dead = listed("link").select("path", "part", "target").join(met(named.withColumnRenamed("part", "target")), ["path", "target"], "left_anti")
     by_part = F.explode(F.array_compact(F.array(F.when(~F.col("reached"), "unreachable"), F.when(F.col("kind") == "other", "unclassified"), F.when(F.col("kind") == "embedding", "embedded"), F.when(F.col("kind") == "media", "image"))))
     out = of_file.unionByName(row(listed("malformed"), "malformed"))
-    out = out.unionByName(row(listed("override").join(named, ["path", "part"], "left_anti"), "dead type"))
+    out = out.unionByName(row(listed("override").join(met(named), ["path", "part"], "left_anti"), "dead type"))
     out = out.unionByName(row(untyped, "untyped")).unionByName(row(dead, "dead link", F.col("target")))
     return out.unionByName(there.select("path", by_part.alias("fault"), "part", none.alias("target"))).distinct()

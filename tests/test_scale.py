@@ -4,7 +4,7 @@ import pyarrow as pa
 
 from spanloom.functions import batches
 from spanloom.operators import names, verify
-from spanloom.plans import carrier
+from spanloom.plans import carrier, catalog
 
 DATA = "/root/testdata/sf0.1"
 
@@ -49,3 +49,8 @@ def test_equal_entities_share_a_matcher():
     held = names.Held(make)
     cast = lambda e: (tuple(getattr(e, c) for c in names.ENTITY_COLUMNS),)
     assert held[cast(first)] is held[cast(again)] and len(built) == 1
+
+
+def test_faults_of_packages_pass_nothing_through_the_driver(spark):
+    plan = catalog.QUERIES["package_faults"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") >= 5 and "Broadcast" not in plan
