@@ -208,19 +208,23 @@ def plan_case(values: list[tuple[str, float, float]], factor: float, relations:
 
 def rescale(values: DataFrame, case: str, factor: str) -> DataFrame:
     """(case, currency, value, new_value): the plan of each case; ``factor`` names the column of its factor. A case's distinct amounts fit one task."""
-    kind = values.schema[case].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found, vs = [], list(group[["currency", "value", "step"]].itertuples(index=False, name=None))
+    def plan(vs: list[tuple[str, float, float]], by: float) -> list[dict]:
+        found = []
         for cur in sorted({c for c, _, _ in vs}):
             own = sorted(v for c, v, _ in vs if c == cur)
             if len(own) <= 200:
                 there = set(own)
                 found += [(cur, a, b, s) for i, a in enumerate(own) if a > 0 for b in own[i:] if (s := round(a + b, 6)) in there and s not in (a, b)]
-        new, _ = plan_case(vs, float(group[factor].iloc[0]), found)
-        return pd.DataFrame([(group[case].iloc[0], c, v, x) for (c, v), x in new.items()], columns=[case, "currency", "value", "new_value"])
+        return [{"currency": c, "value": v, "new_value": x} for (c, v), x in plan_case(vs, by, found)[0].items()]
 
-    return values.groupBy(case).applyInPandas(run, f"`{case}` {kind}, currency string, value double, new_value double")
+    @F.pandas_udf("array<struct<currency:string,value:double,new_value:double>>")
+    def planned(cases: pd.Series, factors: pd.Series) -> pd.Series:
+        return pd.Series([plan([(v["currency"], v["value"], v["step"]) for v in vs], by) for vs, by in zip(cases, factors, strict=True)])
+
+    # A case's values travel in one row, so thousands of cases share a batch.
+    packed = values.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("currency", "value", "step"))).alias("_values"), F.min(factor).cast("double").alias("_factor"))
+    return packed.select(case, F.explode(planned("_values", "_factor")).alias("_v")).select(case, "_v.*")
 
 
 def number_text(value: Column) -> Column:
