@@ -3,8 +3,9 @@
 import pyarrow as pa
 
 from spanloom.functions import batches
-from spanloom.operators import names, verify
+from spanloom.operators import amounts, names, parties, verify
 from spanloom.plans import carrier, catalog
+from spanloom.sources import pdf
 
 DATA = "/root/testdata/sf0.1"
 
@@ -54,3 +55,30 @@ def test_equal_entities_share_a_matcher():
 def test_faults_of_packages_pass_nothing_through_the_driver(spark):
     plan = catalog.QUERIES["package_faults"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") >= 5 and "Broadcast" not in plan
+
+
+def test_a_case_of_many_units_is_matched_in_many_tasks(spark):
+    units = spark.range(400).selectExpr("CAST(id % 1 AS INT) AS case_id", "id", "'Kiss Anna ' || id AS text")
+    persons = spark.createDataFrame([(0, "p", "person", "Kiss", "Anna")], "case_id int, id string, kind string, surname string, given string")
+    found = names.match(units, persons, "case_id", ["id"]).selectExpr("id", "spark_partition_id() AS task").collect()
+    assert sorted(r["id"] for r in found) == list(range(400)) and len({r["task"] for r in found}) > 1
+
+
+def test_names_that_recur_are_unfolded_and_bent_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(names, "forms", lambda *a, f=names.forms: made.append(a) or f(*a))
+    monkeypatch.setattr(parties, "paradigm", lambda n, f=parties.paradigm: made.append(n) or f(n))
+    for i in "ab":
+        matcher = names.Matcher([names.Entity(i, "person", surname="Recze", given="Ibolya")])
+        assert [h["entity_id"] for h in matcher.find("Recze Ibolyának")] == [i]
+        assert parties.merge_inflected(["Recze Tihamér", "Recze Tihamérnak"]) == {"Recze Tihamér": "Recze Tihamér", "Recze Tihamérnak": "Recze Tihamér"}
+    assert len(made) == 2
+
+
+def test_grouped_steps_take_a_batch_of_groups(spark):
+    values = spark.range(50).selectExpr("id AS c", "'Ft' AS currency", "100.0D AS value", "10.0D AS step", "2.0D AS factor")
+    lines = spark.range(50).selectExpr("id AS k", "0 AS no", "1.0D AS x", "2.0D AS y", "3.0D AS width", "4.0D AS size", "'s' AS stream")
+    for df in (amounts.rescale(values, "c", "factor"), pdf.paragraphs(lines, ["k"]), parties.detect(lines.selectExpr("k", "'Felperes: Kiss Anna' AS text"), "k")[0]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "FlatMapGroupsInPandas" not in plan
+    assert {tuple(r) for r in amounts.rescale(values, "c", "factor").collect()} == {(i, "Ft", 100.0, 200.0) for i in range(50)}
