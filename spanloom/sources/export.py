@@ -16,7 +16,7 @@ from spanloom.operators.decisions import accepted, undecided
 from spanloom.operators.labels import IDENTIFIERS
 from spanloom.operators.shaping import export_name
 from spanloom.sources import keyfile
-from spanloom.sources.staged import Staged
+from spanloom.sources.staged import Staged, held
 
 #: The certificate's lines. Readers of the format look for them by their words.
 HEADER, SUFFIX, MOST_NAMES = "ANONIMIZÁLÁSI JEGYZŐKÖNYV", "-jegyzokonyv", 999
@@ -197,9 +197,20 @@ class Exports:
 
     def export(self, ledger: DataFrame, run: int, made_at: Column, mapping: DataFrame | None = None, passphrase: str = "", salt: bytes | None = None, taken: DataFrame | None = None) -> bool:
         """One run over ``ledger`` rows (with path, content); ``mapping`` (case, entity_id, original, replacement) goes into the keys of
-        cases that keep one and have a document that passed. False if the run is there already."""
-        case = self.case
+        cases that keep one and have a document that passed. False if the run is there already.
+
+        All four tables and the certificates' names are read off the ledger, so it is worked out once and held until they are written."""
+        if run in self.folders.numbers():
+            return False
+        if mapping is not None:
+            salt = salt or keyfile.new_salt()
+            keyfile.key(passphrase, salt)
         named = ledger.withColumns({"file_name": export_name(F.col("path"), F.col("mode")), "source_name": F.element_at(F.split("path", "/"), -1)})
+        with held(named, "ledger") as rows:
+            return self.folders.commit(run, lambda folder: self._write(folder, rows, made_at, mapping, passphrase, salt, taken))
+
+    def _write(self, folder: str, named: DataFrame, made_at: Column, mapping: DataFrame | None, passphrase: str, salt: bytes | None, taken: DataFrame | None) -> None:
+        case = self.case
         clean = named.where(F.size("leaks") == 0)
         ours = self.taken()
         used = ours if taken is None else taken if ours is None else ours.unionByName(taken)
@@ -208,15 +219,11 @@ class Exports:
         if mapping is not None:
             kept = clean.where("keep_key").select(case).distinct()
             sealed = keyfile.seal(mapping.join(kept, case, "left_semi"), passphrase, salt, keep=(case,))
-
-        def write(folder: str) -> None:
-            out = {
-                "documents": clean.select(case, "document_no", "file_name", "content"),
-                "certificates": written.select(case, "document_no", F.col("certificate_name").alias("file_name"), F.col("source_name").alias("source"), F.col("certificate").alias("content")),
-                "keys": sealed if sealed is not None else named.select(case, F.lit(None).cast("binary").alias("salt"), F.lit(None).cast("binary").alias("sealed")).where("false"),
-                "held_back": named.where(F.size("leaks") > 0).select(case, "document_no", F.col("source_name").alias("source"), "leaks"),
-            }
-            for table, rows in out.items():
-                rows.write.parquet(f"{folder}/{table}")
-
-        return self.folders.commit(run, write)
+        out = {
+            "documents": clean.select(case, "document_no", "file_name", "content"),
+            "certificates": written.select(case, "document_no", F.col("certificate_name").alias("file_name"), F.col("source_name").alias("source"), F.col("certificate").alias("content")),
+            "keys": sealed if sealed is not None else named.select(case, F.lit(None).cast("binary").alias("salt"), F.lit(None).cast("binary").alias("sealed")).where("false"),
+            "held_back": named.where(F.size("leaks") > 0).select(case, "document_no", F.col("source_name").alias("source"), "leaks"),
+        }
+        for table, rows in out.items():
+            rows.write.parquet(f"{folder}/{table}")

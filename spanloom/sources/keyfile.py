@@ -18,9 +18,13 @@ def key(passphrase: str, salt: bytes) -> bytes:
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=N, r=R, p=P, maxmem=64 << 20, dklen=32)
 
 
+def new_salt() -> bytes:
+    return os.urandom(16)
+
+
 def seal(mapping: DataFrame, passphrase: str, salt: bytes | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, salt, sealed) rows of (entity_id, original, replacement); columns in ``keep`` stay readable."""
-    salt = salt or os.urandom(16)
+    salt = salt or new_salt()
     row = F.to_json(F.struct("entity_id", "original", "replacement"))
     return mapping.select(*keep, F.lit(salt).alias("salt"), F.aes_encrypt(row, F.lit(key(passphrase, salt)), F.lit("GCM")).alias("sealed"))
 

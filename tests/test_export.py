@@ -1,5 +1,7 @@
 """Gated export: all or nothing, names that step aside, certificates."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,14 @@ def test_the_ledger_counts_decisions(spark):
     assert (one.replaced, one.pending, one.kept_by_program, [a.start for a in one.automatic]) == (4, 1, 1, [3, 9])
     assert one.lines == [f"{'személy':34} 2 fél, 3 előfordulás", f"{'azonosító — TAJ-szám':34} 1 fél, 0 előfordulás", f"{'dátum':34} 1 előfordulás eltolva"]
     assert (two.replaced, two.pending, two.automatic) == (0, 0, None) and two.lines == [f"{'azonosító — TAJ-szám':34} 1 fél, 0 előfordulás", f"{'személy':34} 2 fél, 0 előfordulás"]
+
+
+def test_a_ledger_is_worked_out_once_and_not_left_behind(spark, tmp_path, mapping):
+    seen = spark.sparkContext.accumulator(0)
+    leaks = F.udf(lambda path: seen.add(1) or [], "array<string>")
+    docs = ledger(spark, [(1, 1, "/x/a.txt", []), (1, 2, "/x/b.txt", [])]).withColumn("leaks", leaks("path"))
+    store = export.Exports(spark, f"file://{tmp_path}/out")
+    assert store.export(docs, 1, made(), mapping, "egy jó jelszó") and store.read("documents").count() == 2
+    assert seen.value == 2
+    place = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not list(Path("/" + place.lstrip("/")).glob("**/ledger-*"))
