@@ -12,12 +12,13 @@ leaves nothing half-done. The secret itself is never stored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import batched, each
 from spanloom.operators.assign import assign_case, original
 from spanloom.operators.names import Entity
 from spanloom.sources.staged import Staged
@@ -46,7 +47,7 @@ def advance(entities: DataFrame, cases: DataFrame, themes: dict[str, dict], vers
 
     ``entities``: (case, id, kind, ...) in the order ``listed``; repeated ids count once, null ids and cases without a secret not
     at all. ``state``: the rows so far (``Store.state``). Names of entities that are not listed any more stay, and stay taken.
-    A case is one group of ``applyInPandas``: its cast, some dozens of entities, not its documents.
+    A case is one row: its cast, some dozens of entities, not its documents. So cases share Arrow batches.
     """
     kind = cases.schema[case].dataType.simpleString()
     keyed = cases.where("secret IS NOT NULL AND theme_id IS NOT NULL").select(case, "secret", "theme_id", case_key(F.col("secret"), F.col("theme_id")).alias("key"))
@@ -62,24 +63,31 @@ def advance(entities: DataFrame, cases: DataFrame, themes: dict[str, dict], vers
         old = state.join(keyed, [case, "key"])
         rows = new.unionByName(old.select(case, "key", "secret", "theme_id", F.lit(None).cast(new.schema["new"].dataType).alias("new"), F.struct("entity_id", "kind", "original", "replacement", "surname", "given", "since").alias("old")))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        records = group.to_dict("records")
-        of, key, theme = group[case].iloc[0], records[0]["key"], themes[records[0]["theme_id"]]
+    def made(of, records: list[dict]) -> Iterator[tuple]:
+        key, theme = records[0]["key"], themes[records[0]["theme_id"]]
         kept = {o["entity_id"]: o for r in records if (o := r["old"]) is not None}
         fresh = [r["new"] for r in records if r["new"] is not None]
         late = float("inf")
         fresh.sort(key=lambda n: (late if n["_place"] is None else n["_place"], late if n["_listed"] is None else n["_listed"], n["id"]))
         found = [Entity(**{c: n[c] for c in COLUMNS}) for n in fresh]
         known = {i: (o["kind"], o["original"], o["replacement"], o["surname"], o["given"]) for i, o in kept.items()}
-        made = assign_case(found, theme, records[0]["secret"], known, ranked={n["id"] for n in fresh if n["_place"] is not None})
+        names = assign_case(found, theme, records[0]["secret"], known, ranked={n["id"] for n in fresh if n["_place"] is not None})
         out = {i: (of, key, i, o["kind"], o["original"], o["replacement"], o["surname"], o["given"], int(o["since"])) for i, o in kept.items()}
         for e in found:
-            m = made[e.id]
+            m = names[e.id]
             since = int(kept[e.id]["since"]) if m.get("sticky") else version
             out[e.id] = (of, key, e.id, e.kind, original(e), m["shown"], m.get("surname", ""), m.get("given", ""), since)
-        return pd.DataFrame([*out.values()], columns=[case, "key", "entity_id", "kind", "original", "replacement", "surname", "given", "since"])
+        yield from out.values()
 
-    return rows.groupBy(case).applyInPandas(run, f"`{case}` {kind}, {ROW}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.column(0).type, *[pa.string()] * 7, pa.int64()]
+            yield from batched((r for row in each([batch]) for r in made(*row)), [case, "key", "entity_id", "kind", "original", "replacement", "surname", "given", "since"], types)
+
+    # A number that is said outright keeps small shuffles in many tasks: names cost far more than their bytes tell.
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    casts = rows.repartition(tasks, case).groupBy(case).agg(F.collect_list(F.struct("key", "secret", "theme_id", "new", "old")).alias("cast"))
+    return casts.mapInArrow(run, f"`{case}` {kind}, {ROW}")
 
 
 class Store:

@@ -3,8 +3,9 @@
 import pyarrow as pa
 
 from spanloom.functions import batches
-from spanloom.operators import amounts, names, parties, verify
+from spanloom.operators import amounts, names, parties, registry, verify
 from spanloom.plans import carrier, catalog
+from spanloom.plans.cases import THEMES
 from spanloom.sources import pdf
 
 DATA = "/root/testdata/sf0.1"
@@ -82,3 +83,13 @@ def test_grouped_steps_take_a_batch_of_groups(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "FlatMapGroupsInPandas" not in plan
     assert {tuple(r) for r in amounts.rescale(values, "c", "factor").collect()} == {(i, "Ft", 100.0, 200.0) for i in range(50)}
+
+
+def test_cases_of_a_registry_share_batches_and_are_named_in_many_tasks(spark):
+    cases = spark.range(40).selectExpr("id AS case_id", "'s' AS secret", "'stones' AS theme_id")
+    persons = spark.range(40).selectExpr("id AS case_id", "'p' AS id", "'person' AS kind", "'Kiss' AS surname", "'Anna' AS given", "1 AS no")
+    made = registry.advance(persons, cases, THEMES, 1)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    found = made.selectExpr("case_id", "replacement", "spark_partition_id() AS task").collect()
+    assert sorted(r["case_id"] for r in found) == list(range(40)) and len({r["task"] for r in found}) == 4
