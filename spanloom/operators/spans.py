@@ -72,10 +72,11 @@ def apply_edits(units: DataFrame, edits: DataFrame, by: list[str], text: str = "
 
 
 def first_container(edits: DataFrame, spans: DataFrame, by: list[str], span_id: str = "span_id") -> DataFrame:
-    """Each edit with the first source span that contains it (null if none): a range join within documents."""
-    inside = spans.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(span_id).alias("_id"))
-    found = edits.join(inside, by, "left").withColumn("_in", F.when((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")), F.struct("_s", "_e", "_id")))
-    return found.groupBy(*edits.columns).agg(F.min("_in").alias("_in")).select(*edits.columns, F.col("_in._id").alias(span_id))
+    """Each edit with the first source span that contains it (null if none): an edit meets its document's spans as one array, so no
+    row is made for a pair of an edit and a span."""
+    inside = spans.groupBy(*by).agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col(span_id).alias("id"))).alias("_spans"))
+    first = F.array_min(F.filter("_spans", lambda x: (x["s"] <= F.col("start")) & (F.col("end") <= x["e"])))
+    return edits.join(inside, by, "left").select(*edits.columns, first["id"].alias(span_id))
 
 
 def unit_offsets(units: DataFrame, doc: str, no: str, text: str = "text") -> DataFrame:

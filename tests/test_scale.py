@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from spanloom.functions import batches
-from spanloom.operators import amounts, names, parties, registry, verify
+from spanloom.operators import amounts, names, parties, registry, spans, verify
 from spanloom.plans import carrier, catalog
 from spanloom.plans.cases import THEMES
 from spanloom.sources import pdf
@@ -93,3 +93,13 @@ def test_cases_of_a_registry_share_batches_and_are_named_in_many_tasks(spark):
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
     found = made.selectExpr("case_id", "replacement", "spark_partition_id() AS task").collect()
     assert sorted(r["case_id"] for r in found) == list(range(40)) and len({r["task"] for r in found}) == 4
+
+
+def test_an_edit_meets_its_documents_spans_as_one_row(spark):
+    edits = spark.createDataFrame([("d", 5, 7), ("d", 0, 30), ("d", None, 7), ("e", 1, 2), (None, 1, 2)], "doc string, start int, end int")
+    held = spark.createDataFrame([("d", 4, 9, 3), ("d", 2, 9, 2), ("d", 2, 9, 1), ("d", 2, 6, 0), ("d", 6, 8, 4), (None, 0, 9, 5)], "doc string, start int, end int, span_id int")
+    made = spans.first_container(edits, held, ["doc"])
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([("d", 5, 7, 1), ("d", 0, 30, None), ("d", None, 7, None), ("e", 1, 2, None), (None, 1, 2, None)], key=str)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") and "Aggregate" not in plan[: plan.index("Join")]
+    assert catalog.span_rows(spark, DATA).rdd.getNumPartitions() == 3
