@@ -12,6 +12,7 @@ from spanloom.operators import themes
 from spanloom.plans.carrier import GIVEN, people, pick, table
 from spanloom.plans.golds import QUERIES, SQL, gold, inputs
 from spanloom.sources import documents, docx, pdf
+from spanloom.sources.staged import written
 
 __all__ = ["QUERIES", "SQL"]
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -60,8 +61,10 @@ def package_texts(spark, sf_dir):
     files = rows.withColumn("path", F.concat_ws("/", F.col("k").cast("string"), F.col("case_no").cast("string"))).withColumns({"extension": F.lit("docx"), "error": F.lit(None).cast("string")})
     plans = [({"word/document.xml": r[1]} if r[1] else {}, r[2] or "accept") for r in PACKAGES]
     made = docx.rewrite_all(files, lambda path, _: plans[int(path.rsplit("/", 1)[1])][0], "accept")
+    # Rewritten once, although three readers follow.
+    made = written(made.where("error IS NULL").select("path", "content"), "packages")
     texts = lambda df, name: documents.units(df).where("kind = 'document'").select("path", F.col("text").alias(name))
-    after = made.where("error IS NULL").select("path", "content").withColumns({"extension": F.lit("docx"), "error": F.lit(None).cast("string")})
+    after = made.withColumns({"extension": F.lit("docx"), "error": F.lit(None).cast("string")})
     gone = F.element_at(F.array(*(F.lit(r[5]) for r in PACKAGES)), F.element_at(F.split("path", "/"), 2).cast("int") + 1)
     left = after.select("path", docx.residue_count(F.col("content"), gone).alias("left_over"))
     return texts(files, "before").join(texts(after, "after"), "path").join(left, "path").select(F.element_at(F.split("path", "/"), 1).cast("long").alias("k"), "before", "after", "left_over")

@@ -103,3 +103,8 @@ def test_an_edit_meets_its_documents_spans_as_one_row(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan[plan.index("Join") :].count("Aggregate") and "Aggregate" not in plan[: plan.index("Join")]
     assert catalog.span_rows(spark, DATA).rdd.getNumPartitions() == 3
+
+
+def test_packages_are_rewritten_once_for_all_their_readers(spark):
+    plan = catalog.QUERIES["package_texts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
