@@ -29,6 +29,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 from math import log2
 
 import numpy as np
@@ -143,7 +144,12 @@ class Prefixes:
 
     def find(self, names: np.ndarray) -> np.ndarray:
         found, at = self.index.find(names)
-        return np.where(found[:, None], self.counts[at], np.float32(0))
+        return np.where(found[:, None], _pairs(self.counts, at), np.float32(0))
+
+
+def _pairs(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at]`` of pairs of float32, each fetched as one word of eight bytes."""
+    return np.take(table.reshape(-1).view(np.uint64), at).view(np.float32).reshape(-1, 2)
 
 
 def _levels(prefix: np.ndarray, four: np.ndarray) -> np.ndarray:
@@ -199,18 +205,20 @@ class Learner:
         stream = Stream(batch, classes)
         weight = counts[stream.owner]
         slope, bend = np.zeros_like(w), np.zeros_like(self.curve)
-        every, place, long = np.arange(len(weight)), np.minimum(stream.place, 2), np.flatnonzero(stream.place >= SHARED)
+        every, place, long = np.arange(len(weight)) * 2, np.minimum(stream.place, 2), np.flatnonzero(stream.place >= SHARED)
         far = stream.take(long)
         for node, bit in stream.bits():
             x, found = np.ones((size, len(weight))), []
             for k, table in enumerate(self.tables):
-                found.append(table[stream.slots(k, node, self.bits)])
+                found.append(_pairs(table, stream.slots(k, node, self.bits)))
             whole = found[3].copy()
             whole[long] = prefixes.find(far.names(node[long]))
+            own = every + bit
             for k, n in enumerate([*found, whole]):
-                n[every, bit] = np.maximum(n[every, bit] - 1, 0)
+                flat = n.reshape(-1)
+                flat[own] = np.maximum(flat[own] - 1, 0)
                 x[k] = _odds(n)
-            gate = place * 24 + _levels(whole.sum(axis=1), found[3].sum(axis=1))
+            gate = place * 24 + _levels(whole[:, 0] + whole[:, 1], found[3][:, 0] + found[3][:, 1])
             z = np.einsum("kj,jk->j", x, w[gate])
             p = _squash(z)
             off = bit - p
@@ -287,7 +295,7 @@ class Model:
             slots = [part.slots(k, node, self.bits) for k in range(4)]
             odds, level = self.odds[3][slots[3]].copy(), self.whole[slots[3]].copy()
             own = prefixes.find(far.names(node[long]))
-            odds[long], level[long] = _odds(own), _levels(own.sum(axis=1), np.zeros(1, np.float32))
+            odds[long], level[long] = _odds(own), _levels(own[:, 0] + own[:, 1], np.zeros(1, np.float32))
             gate = place + level + self.four[slots[3]]
             w = self.weights[gate]
             z = w[:, -1] + w[:, 4] * odds
@@ -483,7 +491,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str |
                 for value in part.column(1):
                     tokens = words(value.as_py())
                     tokens.append(b"")
-                    i = np.fromiter((at.get(w, -1) for w in tokens), np.int64, len(tokens))
+                    i = np.fromiter(map(at.get, tokens, repeat(-1)), np.int64, len(tokens))
                     others = Counter(tokens[j] for j in np.flatnonzero(i < 0))
                     out.append((row, len(tokens), sum(map(len, tokens)) + len(tokens), *table[i[i >= 0]].sum(axis=0).tolist(), [*others], [*others.values()]))
                     row += 1
