@@ -9,8 +9,9 @@ neighbour in common and so share an index. These indices are the fuzzy keys of a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import ceil
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -194,30 +195,47 @@ def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Longs of a text's parities. They tell sets apart up to about as many shingles as they have bits; beyond that only sizes and places do.
+PARITIES = 16
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of each of 64 * ``PARITIES`` classes of distinct hashes, by their leading bits: whether it has an odd number of them.
+
+    A hash that only one of two sets has changes one parity, so no more parities differ than hashes do.
+    """
+    size = 64 * PARITIES
+    odd = np.bincount((hashes >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _node(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def text_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(node, fp, pairs, hashes): of each distinct text its hash, fingerprints over distinct words and over word pairs, and its
-    distinct shingle hashes in order."""
+    """(node, fp, pairs, odd, hashes): of each distinct text its hash, fingerprints over distinct words and over word pairs, and its
+    distinct shingle hashes in order, with their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                one, two, sets = [], [], []
+                one, two, odd, sets = [], [], [], []
                 for value in batch.column(1).slice(at, 256):
                     tokens = words(value.as_py())
                     one.append(simhash(np.unique(shingle_hashes(tokens, 1))))
                     two.append(simhash(shingle_hashes(tokens, 2)))
-                    sets.append(_filled(np.unique(shingle_hashes(tokens, width))).view(np.int64))
+                    hashes = _filled(np.unique(shingle_hashes(tokens, width)))
+                    odd.append(parities(hashes))
+                    sets.append(hashes.view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *prints, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "fp", "pairs", "hashes"])
+                lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(np.concatenate(x))) for e, x in ((np.arange(len(odd) + 1, dtype=np.int32) * PARITIES, odd), (ends, sets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *prints, *lists], names=["node", "fp", "pairs", "odd", "hashes"])
 
-    rows = map_rows(docs.select(_node(text).alias("node"), F.col(text).cast("binary").alias("text")), run, "node long, fp long, pairs long, hashes array<long>")
+    rows = map_rows(docs.select(_node(text).alias("node"), F.col(text).cast("binary").alias("text")), run, "node long, fp long, pairs long, odd array<long>, hashes array<long>")
     # Equal texts have equal sets: one of each is enough.
-    return rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("fp", "pairs", "hashes")))
+    return rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("fp", "pairs", "odd", "hashes")))
 
 
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
@@ -340,7 +358,8 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
     three times. Golay keys of fingerprints come first and join most copies cheaply: a bucket's members meet one leader, and
     what links joins a component. Then texts meet in every shingle of their prefix, rarest first: two sets of that similarity
     have one there in common, so no link is missed. Of a shingle's texts each meets one leader, and at last those outside its
-    largest component meet all others of another component, if sizes and places in the prefix leave room for the similarity.
+    largest component meet all others of another component, if sizes, places in the prefix and parities leave room for the
+    similarity: of edited copies of one text nearly all pairs below it go by their parities, before they are rows.
     So every pair is compared or already joined, while a group of copies of any size costs a bucket one row a member.
     """
     every = Window.partitionBy("key")
@@ -360,6 +379,11 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
         most = 1 + F.least(x - F.col(f"{a}place"), y - F.col(f"{b}place"))
         return (F.least(x, y) >= similarity * F.greatest(x, y)) & ((1 + similarity) * most >= similarity * (x + y) - 1e-6)
 
+    def alike(a: str, b: str):
+        # Sets of the similarity differ in no more hashes than this, and parities in no more than hashes.
+        differ = reduce(add, (F.bit_count(F.col(f"{a}odd")[i].bitwiseXOR(F.col(f"{b}odd")[i])) for i in range(PARITIES)))
+        return (1 + similarity) * differ <= (1 - similarity) * (F.col(f"{a}size") + F.col(f"{b}size")) + 1e-6
+
     def verify(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """The labels once the links among ``pairs`` (a, b, label_a, label_b) have joined their components."""
         pairs = materialize(pairs.distinct(), "pairs")
@@ -386,10 +410,10 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
     # A pair is made in the first shingle that both have; later ones see that in the few that came before them, or make it again.
     earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
-    open_ = materialize(now.join(largest, "key").withColumn("earlier", earlier), "open")
-    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label", "earlier")))
+    open_ = materialize(now.join(largest, "key").withColumn("earlier", earlier).join(sets.select("node", "odd"), "node"), "open")
+    rest = open_.where("label <> top").select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "place", "label", "earlier", "odd")))
     once = ((F.col("label") == F.col("top")) | (F.col("node") < F.col("o_node"))) & ~F.arrays_overlap("earlier", "o_earlier")
-    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & room("", "o_") & once)
+    left = open_.join(rest, "key").where((F.col("label") != F.col("o_label")) & room("", "o_") & alike("", "o_") & once)
     label = verify(left.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), *(F.when((F.col("node") < F.col("o_node")) == first, F.col("label")).otherwise(F.col("o_label")).alias(c) for first, c in ((True, "label_a"), (False, "label_b")))), label)
     whole = materialize(docs.select(_node(text).alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
     discard(near, sets, crowd, met, open_)
