@@ -28,7 +28,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 from math import log2
 
@@ -86,18 +86,23 @@ class Stream:
     def take(self, at: np.ndarray) -> Stream:
         """The chosen bytes alone, with their contexts."""
         part = object.__new__(Stream)
-        part.bytes, part.place, part.contexts = self.bytes[at], self.place[at], [c[at] for c in self.contexts]
+        part.bytes, part.place, part.contexts = np.take(self.bytes, at), np.take(self.place, at), [np.take(c, at) for c in self.contexts]
         return part
 
-    def slots(self, k: int, node: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+    @cached_property
+    def high(self) -> list[np.ndarray]:
+        """What the eight decisions of a byte share in their slots."""
+        return [c >> np.uint64(29) for c in self.contexts[:4]]
+
+    def slots(self, node: np.ndarray, bits: tuple[int, ...]) -> list[np.ndarray]:
+        """Slots in the dense tables."""
         with np.errstate(over="ignore"):
-            return (((self.contexts[k] ^ node * _M1) * _M2 ^ self.contexts[k] >> np.uint64(29)) * _M3 >> np.uint64(64 - bits[k])).astype(np.int64)
+            turned = node * _M1
+            return [(((c ^ turned) * _M2 ^ h) * _M3 >> np.uint64(64 - t)).view(np.int64) for c, h, t in zip(self.contexts[:4], self.high, bits, strict=True)]
 
     def names(self, node: np.ndarray) -> np.ndarray:
         """64-bit names of the whole prefixes and the bits so far."""
-        with np.errstate(over="ignore"):
-            name = (self.contexts[4] ^ node * _M1) * _M2
-            return (name ^ name >> np.uint64(29)) * _M3
+        return _names(self.contexts[4], node)
 
     def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(node, bit) of each byte, for its eight decisions in turn; node is the bits so far under a leading one."""
@@ -105,6 +110,12 @@ class Stream:
             yield ((1 << 7 - shift) | self.bytes.astype(np.uint64) >> np.uint64(shift + 1)).astype(np.uint64), (self.bytes >> shift & 1).astype(np.int64)
 
 
+def _names(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        name = (context ^ node * _M1) * _M2
+        return (name ^ name >> np.uint64(29)) * _M3
+
+
 def table_bits(words: int) -> tuple[int, ...]:
     """log2 of the tables' slots for so many distinct words."""
     return tuple(min(most, max(least, (max(words, 1) - 1).bit_length() - 1)) for least, most in zip(LEAST_BITS, MOST_BITS, strict=True))
@@ -118,12 +129,12 @@ def add_counts(tables: list[np.ndarray], bits: tuple[int, ...], batch: list[byte
     stream = Stream(batch, classes)
     n = counts.astype(np.float32)[stream.owner]
     for node, bit in stream.bits():
-        for k, table in enumerate(tables):
-            np.add.at(table.reshape(-1), stream.slots(k, node, bits) * 2 + bit, n)
+        for table, slots in zip(tables, stream.slots(node, bits), strict=True):
+            np.add.at(table.reshape(-1), slots * 2 + bit, n)
 
 
 class Prefixes:
-    """Exact bit counts of the whole prefixes of ``SHARED`` bytes or more of a stretch of words."""
+    """Exact bit counts of the whole prefixes of ``SHARED`` bytes or more of a stretch of words; of those words' own bytes the rows of counts are known."""
 
     def __init__(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray):
         stream = Stream(batch, classes)
@@ -135,12 +146,26 @@ class Prefixes:
             bits.append(bit)
         every = np.concatenate(names) if names else np.zeros(0, np.uint64)
         distinct, back = np.unique(every, return_inverse=True)
+        self.stream, self.times = stream, counts
+        self.rows, self.column = back.astype(np.int32).reshape(8, len(at)), np.cumsum(stream.place >= SHARED) - 1
         size, bit, n = len(distinct), np.concatenate(bits), np.tile(n, 8)
         self.counts = np.zeros((size + 1, 2), np.float32)
         if size:
             self.counts[:size] = np.column_stack([np.bincount(back[bit == b], n[bit == b], size) for b in (0, 1)])
+        self.distinct = distinct
+
+    @cached_property
+    def index(self) -> Sorted:
         # Names are in order already, so a name's place is its row of counts; the last row is of none.
-        self.index = Sorted(distinct)
+        return Sorted(self.distinct)
+
+    def words(self, part: np.ndarray) -> tuple[Stream, np.ndarray, np.ndarray]:
+        """The stream of some of the words, in that order, with their times at each byte, and for the eight decisions the rows of the bytes that have one."""
+        every = self.stream
+        size = np.diff(np.append(every.starts, len(every.bytes)))[part]
+        at = np.repeat(every.starts[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        stream = every.take(at)
+        return stream, np.repeat(self.times[part], size), np.take(self.rows, self.column[at[stream.place >= SHARED]], axis=1)
 
     def find(self, names: np.ndarray) -> np.ndarray:
         found, at = self.index.find(names)
@@ -200,26 +225,23 @@ class Learner:
         self.first, self.curve, self.bent, self.total = np.eye(size) * 50.0, np.zeros((GATES, size, size)), np.zeros(GATES), np.zeros(GATES)
         self.loss = np.zeros((GATES, 2))
 
-    def step(self, batch: list[bytes], classes: np.ndarray, counts: np.ndarray, prefixes: Prefixes, mapped: bool, curved: bool) -> None:
+    def step(self, prefixes: Prefixes, part: np.ndarray, mapped: bool, curved: bool) -> None:
         w, size = self.weights, self.weights.shape[1]
-        stream = Stream(batch, classes)
-        weight = counts[stream.owner]
+        stream, weight, rows = prefixes.words(part)
         slope, bend = np.zeros_like(w), np.zeros_like(self.curve)
         every, place, long = np.arange(len(weight)) * 2, np.minimum(stream.place, 2), np.flatnonzero(stream.place >= SHARED)
-        far = stream.take(long)
-        for node, bit in stream.bits():
-            x, found = np.ones((size, len(weight))), []
-            for k, table in enumerate(self.tables):
-                found.append(_pairs(table, stream.slots(k, node, self.bits)))
+        for (node, bit), row in zip(stream.bits(), rows, strict=True):
+            x = np.ones((size, len(weight)))
+            found = [_pairs(table, slots) for table, slots in zip(self.tables, stream.slots(node, self.bits), strict=True)]
             whole = found[3].copy()
-            whole[long] = prefixes.find(far.names(node[long]))
+            whole[long] = _pairs(prefixes.counts, row)
             own = every + bit
             for k, n in enumerate([*found, whole]):
                 flat = n.reshape(-1)
                 flat[own] = np.maximum(flat[own] - 1, 0)
                 x[k] = _odds(n)
             gate = place * 24 + _levels(whole[:, 0] + whole[:, 1], found[3][:, 0] + found[3][:, 1])
-            z = np.einsum("kj,jk->j", x, w[gate])
+            z = np.einsum("kj,jk->j", x, np.take(w, gate, axis=0))
             p = _squash(z)
             off = bit - p
             error = weight * off
@@ -241,7 +263,7 @@ class Learner:
         curve = self.first + self.curve * (self.total / np.maximum(self.bent, 1))[:, None, None]
         # A gate that has no curvature yet stays where it is.
         self.weights = np.where((self.bent > 0)[:, None], np.clip(w + np.linalg.solve(curve, slope[:, :, None])[:, :, 0], -2.0, 3.0), w)
-        self.seen += float(counts.sum())
+        self.seen += float(prefixes.times[part].sum())
 
     def run(self, stretches: Iterator[tuple[list[bytes], np.ndarray]]) -> None:
         """Once over all stretches, (words, counts by class). A first stretch of few batches is gone over until it has had ``LEAST_BATCHES``."""
@@ -254,7 +276,7 @@ class Learner:
             parts = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
             while True:
                 for part in parts:
-                    self.step([batch[i] for i in part], classes[part], n[part], prefixes, 3 * steps > min(LEAST_BATCHES, len(parts)), steps % 4 == 0)
+                    self.step(prefixes, part, 3 * steps > min(LEAST_BATCHES, len(parts)), steps % 4 == 0)
                     steps += 1
                 if steps >= LEAST_BATCHES:
                     break
@@ -290,20 +312,25 @@ class Model:
         part = stream.take(chosen)
         total = np.ones(len(chosen))
         place, long = np.minimum(part.place, 2) * 24, np.flatnonzero(part.place >= SHARED)
-        far = part.take(long)
+        # A prefix that was not seen with the bits so far is not seen with more of them: it has no counts and is looked up no more.
+        alive, context = long, part.contexts[4][long]
         for node, bit in part.bits():
-            slots = [part.slots(k, node, self.bits) for k in range(4)]
-            odds, level = self.odds[3][slots[3]].copy(), self.whole[slots[3]].copy()
-            own = prefixes.find(far.names(node[long]))
-            odds[long], level[long] = _odds(own), _levels(own[:, 0] + own[:, 1], np.zeros(1, np.float32))
-            gate = place + level + self.four[slots[3]]
-            w = self.weights[gate]
+            slots = part.slots(node, self.bits)
+            four = np.take(self.odds[3], slots[3])
+            odds, level = four.copy(), np.take(self.whole, slots[3])
+            odds[long] = level[long] = 0
+            seen, at = prefixes.index.find(_names(context, node[alive]))
+            alive, context, own = alive[seen], context[seen], _pairs(prefixes.counts, at[seen])
+            odds[alive], level[alive] = _odds(own), _levels(own[:, 0] + own[:, 1], np.zeros(1, np.float32))
+            gate = place + level + np.take(self.four, slots[3])
+            w = np.take(self.weights, gate, axis=0)
             z = w[:, -1] + w[:, 4] * odds
-            for k, at in enumerate(slots):
-                z += w[:, k] * self.odds[k][at]
+            for k in range(3):
+                z += w[:, k] * np.take(self.odds[k], slots[k])
+            z += w[:, 3] * four
             p = _squash(z)
             at = _map_place(node, z)
-            p += self.trust[at] * (self.map[at] - p)
+            p += np.take(self.trust, at) * (np.take(self.map, at) - p)
             total *= np.clip(np.where(bit == 1, p, 1 - p), 1e-9, 1)
         return np.log10(total)
 
@@ -492,7 +519,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", group: str |
                     tokens = words(value.as_py())
                     tokens.append(b"")
                     i = np.fromiter(map(at.get, tokens, repeat(-1)), np.int64, len(tokens))
-                    others = Counter(tokens[j] for j in np.flatnonzero(i < 0))
+                    others = Counter(tokens[j] for j in np.flatnonzero(i < 0).tolist())
                     out.append((row, len(tokens), sum(map(len, tokens)) + len(tokens), *table[i[i >= 0]].sum(axis=0).tolist(), [*others], [*others.values()]))
                     row += 1
                 kinds = (*[pa.int64()] * 3, *[pa.float64()] * (2 + len(logs)), pa.list_(pa.binary()), pa.list_(pa.int64()))
