@@ -7,7 +7,13 @@ case's values come from a join; values bound by sums are solved together in one
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from functools import reduce
+from heapq import heappop, heappush
+from itertools import islice
+from math import lcm
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -142,32 +148,204 @@ def sums(values: DataFrame, case: str, most: int = 200) -> DataFrame:
     return added.join(c, [*keys, "c"], "left_semi").select(*keys, "a", "b", "c")
 
 
-def solve(targets: dict[float, float], steps: dict[float, float], relations: list[tuple[float, float, float]], most: int = 9, reach: int = 2) -> dict[float, float] | None:
-    """New values for a component's old ones, within ``reach`` steps of their targets, all different, all sums kept; None if there are none."""
+def independent(relations: Iterable[tuple[int, int, int]], n: int) -> tuple[list[tuple[int, int, int]], dict[int, dict[int, Fraction]]]:
+    """The relations (places a, b, c of ``n`` values, a + b = c) that no others imply, and each place that they settle as shares of earlier ones.
+
+    All sums hold for the old values, so one place at least stays open; relations behind that are implied.
+    """
+    kept: list[tuple[int, int, int]] = []
+    settled: dict[int, dict[int, Fraction]] = {}
+    within: dict[int, set[int]] = {}
+    for r in relations:
+        if len(settled) >= n - 1:
+            break
+        row: dict[int, Fraction] = {}
+        for at, sign in zip(r, (1, 1, -1), strict=True):
+            for p, x in settled[at].items() if at in settled else ((at, 1),):
+                row[p] = row.get(p, Fraction(0)) + sign * x
+        row = {p: x for p, x in row.items() if x}
+        if not row:
+            continue
+        kept.append(r)
+        last = max(row)
+        share = -row.pop(last)
+        settled[last] = {p: x / share for p, x in row.items()}
+        for other in within.pop(last, ()):
+            x = settled[other].pop(last)
+            for p, y in settled[last].items():
+                if z := settled[other].get(p, 0) + x * y:
+                    settled[other][p] = z
+                    within.setdefault(p, set()).add(other)
+                else:
+                    del settled[other][p]
+                    within[p].discard(other)
+        for p in settled[last]:
+            within.setdefault(p, set()).add(last)
+    return kept, settled
+
+
+class Grid:
+    """Bounds of values on a common grid, narrowed by sums and by all values being different. Each bound knows, as bits, which decisions it rests on."""
+
+    #: Rows of more terms than this rule out too little to be read; the sums that they come from are read all the same.
+    TERMS = 16
+
+    def __init__(self, near: list[int], reach: int, relations: list[tuple[int, int, int]]):
+        n = len(near)
+        self.low, self.high = [max(1, x - reach) for x in near], [x + reach for x in near]
+        self.for_low, self.for_high, self.weight = [0] * n, [0] * n, [1] * n
+        self.trail: list[tuple[int, int, int, int, int]] = []
+        kept, settled = independent(relations, n)
+        rows = {tuple(sorted(({a: 1, b: 1} | ({a: 2} if a == b else {}) | {c: -1}).items())) for a, b, c in kept}
+        for at, shares in settled.items():
+            if len(shares) < self.TERMS:
+                whole = lcm(*(x.denominator for x in shares.values()))
+                rows.add(tuple(sorted([(at, -whole), *((p, int(x * whole)) for p, x in shares.items())])))
+        self.rows = sorted(rows)
+        self.touching: list[list[int]] = [[] for _ in near]
+        for i, row in enumerate(self.rows):
+            for p, _ in row:
+                self.touching[p].append(i)
+        # Values that may meet stand in a run of the ascending order.
+        self.run, self.runs = [0] * n, [[0]]
+        for p in range(1, n):
+            if near[p] - near[p - 1] > 2 * reach:
+                self.runs.append([])
+            self.run[p] = len(self.runs) - 1
+            self.runs[-1].append(p)
+
+    def bound(self, p: int, low: int, high: int, why_low: int, why_high: int) -> None:
+        self.trail.append((p, self.low[p], self.high[p], self.for_low[p], self.for_high[p]))
+        self.low[p], self.high[p], self.for_low[p], self.for_high[p] = low, high, why_low, why_high
+
+    def undo(self, to: int) -> None:
+        while len(self.trail) > to:
+            p, self.low[p], self.high[p], self.for_low[p], self.for_high[p] = self.trail.pop()
+
+    def narrow(self, changed: Iterable[int]) -> int | None:
+        """Bounds that follow from changed ones; the decisions that a contradiction rests on (0: none, there is no solution), else None."""
+        low, high = self.low, self.high
+        due, runs = dict.fromkeys(i for p in changed for i in self.touching[p]), {self.run[p] for p in changed}
+        while due:
+            row = self.rows[i := next(iter(due))]
+            del due[i]
+            least = sum(c * (low[p] if c > 0 else high[p]) for p, c in row)
+            most = sum(c * (high[p] if c > 0 else low[p]) for p, c in row)
+            for p, c in row:
+                small, big = (c * low[p], c * high[p]) if c > 0 else (c * high[p], c * low[p])
+                # The others' most bounds c * p from below, their least from above.
+                floor, ceiling = big - most, small - least
+                new_low, new_high = (-(-floor // c), ceiling // c) if c > 0 else (-(-ceiling // c), floor // c)
+                if new_low <= low[p] and new_high >= high[p]:
+                    continue
+                why_most = why_least = 0
+                for q, d in row:
+                    if q != p:
+                        why_most |= self.for_high[q] if d > 0 else self.for_low[q]
+                        why_least |= self.for_low[q] if d > 0 else self.for_high[q]
+                why_low, why_high = (why_most, why_least) if c > 0 else (why_least, why_most)
+                if new_low <= low[p]:
+                    new_low, why_low = low[p], self.for_low[p]
+                if new_high >= high[p]:
+                    new_high, why_high = high[p], self.for_high[p]
+                if new_low > new_high:
+                    for q, _ in row:
+                        self.weight[q] += 1
+                    return why_low | why_high
+                self.bound(p, new_low, new_high, why_low, why_high)
+                least += c * (new_low if c > 0 else new_high) - small
+                most += c * (new_high if c > 0 else new_low) - big
+                due |= dict.fromkeys(self.touching[p])
+                runs.add(self.run[p])
+        return next((why for r in sorted(runs) if (why := self.crowded(self.runs[r])) is not None), None)
+
+    def crowded(self, members: list[int]) -> int | None:
+        """Why values of a run cannot all be different, None if they can: each place of the grid goes to the value that must be placed soonest."""
+        if len(members) < 2:
+            return None
+        low, high = self.low, self.high
+        coming, waiting, placed = sorted(members, key=lambda p: -low[p]), [], {}
+        at = low[coming[-1]]
+        while coming or waiting:
+            if not waiting:
+                at = max(at, low[coming[-1]])
+            while coming and low[coming[-1]] <= at:
+                heappush(waiting, high[coming.pop()])
+            last = heappop(waiting)
+            if last < at:
+                while placed.get(at - 1, last + 1) <= last:
+                    at -= 1
+                full = [p for p in members if low[p] >= at and high[p] <= last]
+                for p in full:
+                    self.weight[p] += 1
+                return reduce(or_, (self.for_low[p] | self.for_high[p] for p in full))
+            placed[at] = last
+            at += 1
+        return None
+
+    def solution(self, like: list[int]) -> list[int] | None:
+        """Any values within the bounds that keep all sums and are all different, alike if they may be; None if there are none. Bounds are left as they were.
+
+        Values that took part in most contradictions are decided first; from a contradiction it goes back to the last decision that it rests on.
+        """
+        start, low, high = len(self.trail), self.low, self.high
+        decisions: list[list] = []
+        met, patience = 0, 50
+        while (p := max((i for i in range(len(low)) if low[i] < high[i]), key=lambda i: self.weight[i] / (high[i] - low[i]), default=None)) is not None:
+            choices = sorted(range(low[p], high[p] + 1), key=lambda m: abs(m - like[p]))
+            decisions.append([p, iter(choices), len(self.trail), self.for_low[p] | self.for_high[p]])
+            why: int | None = 0
+            while why is not None:
+                p, choices, before, blamed = decisions[-1]
+                self.undo(before)
+                bit = 1 << (len(decisions) - 1)
+                if (m := next(choices, None)) is not None:
+                    self.bound(p, m, m, bit, bit)
+                    why = self.narrow([p])
+                else:
+                    why = blamed
+                    decisions.pop()
+                while why is not None and decisions and not why >> (len(decisions) - 1) & 1:
+                    self.undo(decisions.pop()[2])
+                if not decisions:
+                    self.undo(start)
+                    return None
+                if why is not None:
+                    decisions[-1][3] |= why & ~(1 << (len(decisions) - 1))
+                    met += 1
+            if met > patience:
+                # It begins again with what the weights tell by now, ever later, so the search stays complete.
+                met, patience = 0, patience * 3 // 2
+                self.undo(start)
+                decisions.clear()
+        found = [*low]
+        self.undo(start)
+        return found
+
+
+def solve(targets: dict[float, float], step: float, relations: list[tuple[float, float, float]], reach: int = 2) -> dict[float, float] | None:
+    """New values for a component's old ones on a grid of ``step``, within ``reach`` steps of their targets, all different, all sums kept; None if there are none.
+
+    ``relations`` hold for the old values. Of all solutions it is the first by ascending targets, the nearest choices coming first.
+    Components may be of any size, the search is complete: each value in turn gets its nearest choice that some solution has, and
+    the last solution found answers for most. ``reach`` says what counts as a solution: beyond it an amount is no longer in proportion.
+    """
     order = sorted(targets, key=targets.get)
-    if not 0 < len(order) <= most:
+    place = {v: i for i, v in enumerate(order)}
+    grid = Grid([int(targets[v] / step + 0.5) for v in order], reach, [tuple(place[x] for x in r) for r in relations])
+    distance = lambda p: lambda m: abs(round(m * step, 6) - targets[order[p]])
+    known = [min(range(a, b + 1), key=distance(p), default=0) for p, (a, b) in enumerate(zip(grid.low, grid.high, strict=True))]
+    if not order or 0 in known or grid.narrow(range(len(order))) is not None or (known := grid.solution(known)) is None:
         return None
-    place, choices = {v: i for i, v in enumerate(order)}, []
-    for v in order:
-        step, base = steps[v], int(targets[v] / steps[v] + 0.5) * steps[v]
-        near = dict.fromkeys(round(base + d * step, 6) for d in range(-reach, reach + 1))
-        choices.append(sorted((x for x in near if x > 0), key=lambda x, v=v: abs(x - targets[v])))
-    due = [[r for r in relations if max(place[x] for x in r) == i] for i in range(len(order))]
-    taken: dict[float, float] = {}
-
-    def search(i: int) -> bool:
-        if i == len(order):
-            return True
-        for x in choices[i]:
-            if x in taken.values():
-                continue
-            taken[order[i]] = x
-            if all(round(taken[a] + taken[b], 6) == taken[c] for a, b, c in due[i]) and search(i + 1):
-                return True
-            del taken[order[i]]
-        return False
-
-    return taken if search(0) else None
+    for p in range(len(order)):
+        for m in sorted(range(grid.low[p], grid.high[p] + 1), key=distance(p)):
+            before = len(grid.trail)
+            grid.bound(p, m, m, 0, 0)
+            if grid.narrow([p]) is None and (m == known[p] or (other := grid.solution(known)) is not None):
+                known = known if m == known[p] else other
+                break
+            grid.undo(before)
+    return {v: round(x * step, 6) for v, x in zip(order, known, strict=True)}
 
 
 def plan_case(values: list[tuple[str, float, float]], factor: float, relations: list[tuple[str, float, float, float]]) -> tuple[dict, list[tuple]]:
@@ -177,25 +355,24 @@ def plan_case(values: list[tuple[str, float, float]], factor: float, relations:
 
     def top(k):
         while root[k] != k:
-            k = root[k]
+            root[k] = k = root[root[k]]
         return k
 
     for cur, *r in relations:
         for other in r[1:]:
             root[top((cur, other))] = top((cur, r[0]))
-    groups: dict[tuple, list[tuple]] = {}
+    groups: dict[tuple, dict[tuple, None]] = {}
+    bound: dict[tuple, list[tuple]] = {}
     for cur, *r in relations:
-        for v in r:
-            if (cur, v) not in groups.setdefault(top((cur, v)), []):
-                groups[top((cur, v))].append((cur, v))
+        groups.setdefault(top((cur, r[0])), {}).update(dict.fromkeys((cur, v) for v in r))
+        bound.setdefault(top((cur, r[0])), []).append(tuple(r))
     for members in groups.values():
         least = min(steps[k] for k in members)
         steps |= dict.fromkeys(members, least)
     new = {k: round(int(k[1] * factor / steps[k] + 0.5) * steps[k], 6) for k in steps}
-    for members in groups.values():
-        own = [tuple(r[1:]) for r in relations if (r[0], r[1]) in members]
-        if found := solve({v: v * factor for _, v in members}, {v: steps[c, v] for c, v in members}, own):
-            new |= {(members[0][0], v): x for v, x in found.items()}
+    for head, members in groups.items():
+        if found := solve({v: v * factor for _, v in members}, steps[head], bound[head]):
+            new |= {(head[0], v): x for v, x in found.items()}
     mended = set()
     for cur, a, b, c in relations:
         total = round(new[cur, a] + new[cur, b], 6)
@@ -206,16 +383,23 @@ def plan_case(values: list[tuple[str, float, float]], factor: float, relations:
     return new, report
 
 
+def case_sums(values: Iterable[float]) -> Iterator[tuple[float, float, float]]:
+    """(a, b, c) with a <= b and a + b = c among the positive ones of a currency's values, however many they are."""
+    own = sorted(v for v in set(values) if v > 0)
+    there = set(own)
+    for i, a in enumerate(own):
+        for b in islice(own, i, None):
+            if (c := round(a + b, 6)) > own[-1]:
+                break
+            if c in there and c not in (a, b):
+                yield a, b, c
+
+
 def rescale(values: DataFrame, case: str, factor: str) -> DataFrame:
     """(case, currency, value, new_value): the plan of each case; ``factor`` names the column of its factor. A case's distinct amounts fit one task."""
 
     def plan(vs: list[tuple[str, float, float]], by: float) -> list[dict]:
-        found = []
-        for cur in sorted({c for c, _, _ in vs}):
-            own = sorted(v for c, v, _ in vs if c == cur)
-            if len(own) <= 200:
-                there = set(own)
-                found += [(cur, a, b, s) for i, a in enumerate(own) if a > 0 for b in own[i:] if (s := round(a + b, 6)) in there and s not in (a, b)]
+        found = [(cur, *r) for cur in sorted({c for c, _, _ in vs}) for r in case_sums(v for c, v, _ in vs if c == cur)]
         return [{"currency": c, "value": v, "new_value": x} for (c, v), x in plan_case(vs, by, found)[0].items()]
 
     @F.pandas_udf("array<struct<currency:string,value:double,new_value:double>>")
